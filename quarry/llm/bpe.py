@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -173,7 +174,7 @@ def encoder(path: str) -> PrefixEncoder:
 def in_parts(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most so many bytes of a text column (one row at least)."""
     texts = batch.column(column)
-    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0)) if len(texts) else np.zeros(0, int)
+    sizes = np.array(pc.fill_null(pc.binary_length(texts), 0)) if len(texts) else np.zeros(0, int)
     part = np.cumsum(sizes) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(edges, edges[1:], strict=False):
