@@ -35,20 +35,29 @@ K = 32
 BITS = 20
 PIECE = (1 << BITS) - 256
 FLUSH = 1_000_000
-LOCAL, HOT = 8, 4096
-BLOCK = 20_000
+LOCAL, HOT = 64, 4096
+BLOCK = 5_000
 COPY, MARK, LONE, GONE, MANY = 0, 1, 2, 3, 4  # kinds of rows: anchor, mark of a hot anchor, window by window, removed, by context
 U = np.uint64
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of the bytes for two hashes, and powers of the odd base modulo 2^64."""
+def _values() -> np.ndarray:
+    """Random values of the bytes for two hashes."""
     rng = np.random.default_rng(20240229)
-    values = rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
-    power = np.full(1 << (BITS + 1), 0x9E3779B97F4A7C15, np.uint64)
+    return rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
+
+
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> np.ndarray:
+    power = np.full(1 << bits, 0x9E3779B97F4A7C15, np.uint64)
     power[0] = 1
-    return values[0], values[1], np.cumprod(power, dtype=np.uint64)
+    return np.cumprod(power, dtype=np.uint64)
+
+
+def _power(n: int) -> np.ndarray:
+    """At least n powers of the odd base modulo 2^64."""
+    return _powers(max(BITS + 1, n.bit_length()))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,19 +67,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _prefixes(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * _tables()[2][: len(data)], out=out[1:])
+    np.cumsum(values[data] * _power(len(data))[: len(data)], out=out[1:])
     return out
 
 
 def _hash(prefix: np.ndarray, at: np.ndarray, length) -> np.ndarray:
     """Equal strings have equal values wherever they lie: the difference is scaled to one common power."""
-    return (prefix[at + length] - prefix[at]) * _tables()[2][len(prefix) - at]
+    return (prefix[at + length] - prefix[at]) * _power(len(prefix) + 1)[len(prefix) - at]
 
 
 def _anchors(data: np.ndarray, starts_ok: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For the window starts in starts_ok (ascending): first start, number of windows, anchor, k-gram hash and context
     hash of each run of windows with one anchor."""
-    values, others, power = _tables()
+    (values, others), power = _values(), _power(len(data) + 1)
     prefix = _prefixes(data, values)
     w = length - K + 1
     grams = _mix((prefix[K:] - prefix[:-K]) * power[len(data) - np.arange(len(data) - K + 1)])
@@ -228,7 +237,7 @@ CONTEXT_TYPES = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("pos", pa.
 
 def _windows(rows: list[tuple], length: int) -> Iterator[tuple]:
     """Windows of hot anchors, each string once: later ones in these rows are removed at once (no bytes)."""
-    values, _, power = _tables()
+    values, power = _values()[0], _power(256)
     seen: set[bytes] = set()
     for uid, pos, n, part in sorted(rows):
         prefix = _prefixes(np.frombuffer(part, np.uint8), values)
@@ -267,8 +276,7 @@ class _Suffixes:
 
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length = data, length
-        self.prefix, self.power = _prefixes(data, _tables()[0]), _tables()[2]
-        self.top = len(data) + 1
+        self.prefix, self.power = _prefixes(data, _values()[0]), _power(len(data) + 1)
 
     def same(self, p, q, n) -> np.ndarray:
         """Whether n bytes at p and q have equal hashes; the shift between p and q evens out the powers."""
@@ -383,8 +391,8 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(0)).alias("uid"), F.struct("*").alias("row"))
 
 
-def _cut_out(length: int):
-    @F.pandas_udf("struct<n_bytes: long, spans: array<struct<start: long, length: long>>, kept: binary>")
+def _cut_out(length: int, as_text: bool):
+    @F.pandas_udf(f"struct<n_bytes: long, spans: array<struct<start: long, length: long>>, kept: {'string' if as_text else 'binary'}>")
     def cut(texts, gone):  # noqa: ANN001, ANN202
         import pandas as pd
 
@@ -403,13 +411,16 @@ def _cut_out(length: int):
             spans.append([{"start": a, "length": b - a} for a, b in found])
             ends = [0, *(x for ab in found for x in ab), len(data)]
             kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
+        if as_text:  # a cut can fall inside a character, whose other bytes then go as well
+            kept = [k.decode("utf-8", "ignore") for k in kept]
         return pd.DataFrame({"n_bytes": sizes, "spans": spans, "kept": kept})
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, local: int = LOCAL, hot: int = HOT) -> DataFrame:
-    """row (all columns of docs as a struct) and cut: n_bytes, spans (maximal removed runs), kept (remaining bytes)."""
+def remove_repeats(docs: DataFrame, length: int = 100, local: int = LOCAL, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """row (all columns of docs as a struct) and cut: n_bytes, spans (maximal removed runs), kept (the remaining bytes, or
+    as text those that are whole characters)."""
     if not K + 8 <= length <= 100 + K:
         raise ValueError("length is between 40 and 132 bytes")
     n = partitions(docs.sparkSession)
@@ -422,4 +433,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, local: int = LOCAL, hot:
     late = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_contexts(length), "uid long, pos long, n int")
     gone = found.filter(F.col("kind") == GONE).select("uid", "pos", "n").unionByName(late)
     gone = gone.groupBy("uid").agg(F.flatten(F.collect_list(F.array("pos", F.col("n").cast("long")))).alias("gone"))
-    return rows.join(gone, "uid", "left").select("row", _cut_out(length)("row.text", "gone").alias("cut"))
+    return rows.join(gone, "uid", "left").select("row", _cut_out(length, as_text)("row.text", "gone").alias("cut"))
