@@ -21,13 +21,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.bpe import in_parts
-
 ORDER = 3
 
 
@@ -160,25 +157,49 @@ def _coder(model: Model) -> Coder:
     return Coder(model)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, bits (code length of the text under lang_pred)."""
+def identify(model: Model):
+    """A column function of text: struct of lang_pred, score and bits (code length of the text under lang_pred)."""
     names = model.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in in_parts(batch, 1, 1 << 20):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                n = len(texts)
-                lang, score, bits = ["und"] * n, np.zeros(n), np.zeros(n)
-                judged = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if names else []
-                if judged:
-                    lengths = _coder(model).code_lengths([texts[i].encode() for i in judged])
-                    best = lengths.argmin(axis=1)
-                    shortest = lengths.min(axis=1)
-                    score[judged] = 1 / np.exp2(np.maximum(shortest[:, None] - lengths, -1000)).sum(axis=1)
-                    bits[judged] = shortest
-                    for i, b in zip(judged, best.tolist(), strict=True):
-                        lang[i] = names[b]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "lang_pred", "score", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    @F.pandas_udf("struct<lang_pred: string, score: double, bits: double>")
+    def run(column):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        texts = [t or "" for t in column]
+        n = len(texts)
+        lang, score, bits = ["und"] * n, np.zeros(n), np.zeros(n)
+        judged = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if names else []
+        for some in _parts(judged, texts):
+            lengths = _coder(model).code_lengths([texts[i].encode() for i in some])
+            shortest = lengths.min(axis=1)
+            score[some] = 1 / np.exp2(np.maximum(shortest[:, None] - lengths, -1000)).sum(axis=1)
+            bits[some] = shortest
+            for i, b in zip(some, lengths.argmin(axis=1).tolist(), strict=True):
+                lang[i] = names[b]
+        return pd.DataFrame({"lang_pred": lang, "score": score, "bits": bits})
+
+    return run
+
+
+def _parts(rows: list[int], texts: list[str], most: int = 1 << 20) -> Iterator[list[int]]:
+    """Rows in parts of at most so many characters (one row at least)."""
+    held, size = [], 0
+    for i in rows:
+        if held and size + len(texts[i]) > most:
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += len(texts[i])
+    if held:
+        yield held
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, bits."""
+    return docs.select("doc_id", identify(model)("text").alias("l")).select("doc_id", "l.*")
+
+
+def keep(docs: DataFrame, sample: Sample = Sample(), least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of the languages by a score of at least least_score."""
+    found = identify(train(docs, sample))
+    return docs.select(F.struct("*").alias("row"), found("text").alias("l")).filter((F.col("l.lang_pred") != "und") & (F.col("l.score") >= least_score)).select("row.*")

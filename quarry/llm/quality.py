@@ -128,10 +128,18 @@ def _medians(fit: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """doc_id, the statistics, base_failed, distance (null where none was judged) and kept."""
+    return _judged(docs.select("doc_id", "text", "lang", "source", F.lit(0).alias("row")), rules).select("doc_id", "q.*", "distance", "kept")
+
+
+def keep(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The kept rows of docs, all columns."""
+    return _judged(docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row")), rules).filter("kept").select("row.*")
+
+
+def _judged(docs: DataFrame, rules: QualityRules) -> DataFrame:
     keys = {"fine": F.to_json(F.struct("lang", "source")), "coarse": F.to_json(F.struct("lang"))}
-    table = statistics(docs.select("doc_id", "text", "lang", "source"), rules).withColumns(keys).drop("text", "lang", "source")
-    table = written(table.withColumns(_vector()), "quality")
-    return judged(table, rules).select("doc_id", "q.*", "distance", "kept")
+    table = statistics(docs, rules).withColumns(keys).drop("text", "lang", "source")
+    return judged(written(table.withColumns(_vector()), "quality"), rules)
 
 
 def judged(table: DataFrame, rules: QualityRules) -> DataFrame:

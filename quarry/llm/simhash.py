@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quarry.llm.common import partitions, written
 from quarry.llm.components import components
@@ -187,3 +188,11 @@ def group_near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, most
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     member = groups.select("print", "component").join(least, "component").select("print", "component_id")
     return prints.join(member, "print").select("doc_id", "print", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = 2, width: int = 3, most: int = 2000) -> DataFrame:
+    """The rows of docs, all columns, with the least doc_id of their group; of repeated ids the least text stays."""
+    first = group_near_duplicates(docs, radius, width, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row")).join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    order = W.partitionBy("doc_id").orderBy("text")
+    return rows.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
