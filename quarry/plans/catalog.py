@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import metadata, scalars
+from quarry.plans import metadata, retrieval, scalars
 
-MODULES = (scalars, metadata)
+MODULES = (scalars, metadata, retrieval)
 
 
 def queries():
