@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import metadata, retrieval, scalars
+from quarry.plans import evaluation, metadata, retrieval, scalars
 
-MODULES = (scalars, metadata, retrieval)
+MODULES = (scalars, metadata, retrieval, evaluation)
 
 
 def queries():
