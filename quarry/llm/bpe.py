@@ -16,14 +16,42 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import small_batches
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED = 200_000
+CACHED = 150_000
+
+
+def byte_reader():
+    """A function from a vocabulary's spelling of a token to its bytes."""
+    letters = byte_letters()
+    return lambda s: bytes(letters[c] for c in s)
+
+
+class _Spaces(Exception):
+    """A word that the pattern has to see with its neighbours."""
+
+
+class _Cache(dict):
+    """Ids of words, made when they are missing; emptied when full."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.make(word)
+        if len(word) < 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = found
+        return found
 
 
 def byte_letters() -> dict[str, int]:
@@ -32,26 +60,39 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
 class PrefixEncoder:
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = byte_letters()
-        raw = lambda s: bytes(letters[c] for c in s)
+        raw = byte_reader()
         vocab = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes = [b""] * size
+        self.bytes = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for b, i in vocab.items():
             self.bytes[i] = b
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.pretokens = regex.compile(PATTERN).findall
+        self._learn(spec, vocab)
+        self.pieces = _Cache(lambda piece: _packed(self.encode_bytes(piece.encode())))
+        self.words, self.spaced = _Cache(self._whole), _Cache(self._after_space)
+        self.line_end = self._whole("\n")
+
+    def _learn(self, spec: dict, vocab: dict[bytes, int]) -> None:
+        """Merges, the parts and rank of merged tokens, and the automaton of all tokens."""
+        import ahocorasick
+
+        raw = byte_reader()
         self.merged: dict[tuple[int, int], int] = {}
-        self.parts: list[tuple[int, int] | None] = [None] * size
-        self.rank = [-1] * size  # of the merge that makes a token; single bytes have none
+        self.parts: list[tuple[int, int] | None] = [None] * len(self.bytes)
+        self.rank = [-1] * len(self.bytes)  # of the merge that makes a token; single bytes have none
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = (raw(s) for s in (pair if isinstance(pair, list) else pair.split(" ")))
             made = vocab[a + b]
@@ -62,13 +103,7 @@ class PrefixEncoder:
             if self.parts[i] is not None or len(b) == 1:
                 self.matches.add_word(b.decode("latin-1"), (i, len(b)))
         self.matches.make_automaton()
-        self.pretokens = regex.compile(PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.known: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.line_end = self._piece("\n")
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the pair stays two tokens. Of the two sides the later merge is undone, and no merge across the border
@@ -115,60 +150,60 @@ class PrefixEncoder:
             at -= n
         return ids[::-1]
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = np.array(self.encode_bytes(piece.encode()), "<u4").tobytes()
-            if len(piece) < 64:
-                if len(self.pieces) >= CACHED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
-
     def _whole(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.pretokens(text)))
-
-    def _line(self, line: str) -> bytes | None:
-        """A line word by word: a space before anything but white space always begins a pre-token."""
-        first, *rest = line.split(" ")
-        out = [self.words.get(first), *map(self.spaced.get, rest)]
-        if None in out:
-            for i, found in enumerate(out):
-                if found is not None:
-                    continue
-                word, cache = (first, self.words) if i == 0 else (rest[i - 1], self.spaced)
-                if i and (not word or word[0].isspace()):
-                    return None
-                out[i] = self._whole(f" {word}" if i else word)
-                if len(word) < 64:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    cache[word] = out[i]
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self.pretokens(text)))
+
+    def _after_space(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _Spaces
+        return self._whole(" " + word)
 
     def _plain(self, text: str) -> bytes:
+        """Line by line and word by word: a space before anything but white space always begins a pre-token, and so does
+        a line feed between two characters that are no white space."""
         out = []
         lines = text.split("\n")
-        for line in lines:
-            if len(lines) > 1 and (not line or line[0].isspace() or line[-1].isspace()) or (found := self._line(line)) is None:
-                return self._whole(text)  # runs of white space: by the pattern
-            out.append(found)
+        try:
+            for line in lines:
+                if len(lines) > 1 and (not line or line[0].isspace() or line[-1].isspace()):
+                    raise _Spaces
+                first, *rest = line.split(" ")
+                out.append(self.words[first] + b"".join(map(self.spaced.__getitem__, rest)))
+        except _Spaces:
+            return self._whole(text)
         return self.line_end.join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.cut is None or not any(s in text for s in self.special):
             return self._plain(text) if text else b""
-        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in self.cut(text) if p)
+        return b"".join(_packed([self.special[p]]) if p in self.special else self._plain(p) for p in self.cut(text) if p)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+class LibraryEncoder(PrefixEncoder):
+    """The same ids with a library's merges instead of the prefix method, for operators that need ids and not the method.
+    The vocabulary's ids must be in the order of its merges."""
+
+    def _learn(self, spec: dict, vocab: dict[bytes, int]) -> None:
+        import tiktoken
+
+        raw = byte_reader()
+        made = [vocab[raw("".join(pair if isinstance(pair, list) else pair.split(" ")))] for pair in spec["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError("ids are not in the order of merges")
+        self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={}).encode_ordinary
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.merge(text))
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PrefixEncoder:
+def encoder(path: str, library: bool = False) -> PrefixEncoder:
     """One encoder a worker process."""
-    return PrefixEncoder(path)
+    return LibraryEncoder(path) if library else PrefixEncoder(path)
 
 
 def in_parts(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -196,4 +231,5 @@ def encode_texts(docs: DataFrame, vocabulary: str, decode: bool = True) -> DataF
                     columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decode)

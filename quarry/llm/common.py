@@ -34,5 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the bytes of a batch that goes to a Python worker, whatever the length of texts (a row at least). Sets the
+    session's spark.sql.execution.arrow.maxBytesPerBatch where it is larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").strip().lower()
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    digits = "".join(c for c in now if c.isdigit() or c == "-")
+    if not 0 < int(digits or 0) * unit <= most:
+        spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

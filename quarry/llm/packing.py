@@ -4,7 +4,8 @@ the least room that fits it. The plan is a list of runs: so many pieces of one l
 sequences at one offset. Pieces take their slots by an equi-join on (length, rank within length).
 
 Ranks need no group in one task: pieces are dealt to buckets by hash, ranked within (bucket, length), and shifted by the
-counts of the buckets before. Texts are encoded once; the written table of pieces cuts the lineage.
+counts of the buckets before. Texts are encoded once, by a library's merges, which give the tokenizer's ids; the written
+table of pieces cuts the lineage.
 
 Defined results: a null text is empty; every document ends with `end_id`, so an empty one is a piece of one token; of a
 document longer than `size` tokens the first piece takes what whole pieces leave over; repeated rows are packed each; an
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quarry.llm.bpe import encoder, in_parts
-from quarry.llm.common import partitions, written
+from quarry.llm.common import partitions, small_batches, written
 
 CHUNK = 10_000
 
@@ -77,7 +78,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, buckets
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = encoder(vocabulary, library=True)
         for batch in batches:
             for part in in_parts(batch, 1):
                 rows = []
@@ -88,6 +89,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, buckets
                     rows.extend((doc_id, i, a, b - a, crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    small_batches(docs.sparkSession)
     pieces = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
 
@@ -110,7 +112,8 @@ def place(pieces: DataFrame, size: int) -> DataFrame:
     order = W.partitionBy("bucket", "length").orderBy(*(c for c in ("doc_id", "piece", "start") if c in pieces.columns))
     ranked = pieces.withColumn("rank", F.row_number().over(order) - 1).join(before, ["bucket", "length"])
     ranked = ranked.withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
-    return ranked.join(_slots(spark, plan(counts, size)), ["length", "rank"]).drop("rank", "before", "bucket")
+    slots = _slots(spark, plan(counts, size)).hint("merge")  # a row a piece: never broadcast
+    return ranked.join(slots, ["length", "rank"]).drop("rank", "before", "bucket")
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2) -> DataFrame:
