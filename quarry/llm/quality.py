@@ -43,6 +43,8 @@ class QualityRules:
     min_group: int = 50
     steps: int = 3
     bins: int = 20
+    #: Up to so many groups (one row each) their estimates are broadcast; beyond, joined by shuffle.
+    broadcast_groups: int = 20_000
 
 
 def statistics(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -146,15 +148,18 @@ def judged(table: DataFrame, rules: QualityRules) -> DataFrame:
     """Adds distance and kept to a written table of statistics."""
     fit = table.filter(~F.col("q.base_failed")).select(F.explode(F.array(F.concat(F.lit("f"), "fine"), F.concat(F.lit("c"), "coarse"))).alias("group"), *FEATURES)
     sizes = fit.groupBy("group").agg(F.count("*").alias("size")).filter(F.col("size") >= rules.min_group).select("group")
-    fit = fit.join(sizes, "group", "left_semi")
+    sizes = written(sizes, "quality-groups")
+    few = sizes.count() <= rules.broadcast_groups
+    near_by = (lambda df: F.broadcast(df)) if few else (lambda df: df)  # so a group of very many documents stays where it is read
+    fit = fit.join(near_by(sizes), "group", "left_semi")
     apart = lambda i: (F.col(FEATURES[i]) - F.col(f"med{i}")) / (UNIT * rules.floors[i])
     start = sum((apart(i) * apart(i) for i in range(1, 4)), apart(0) * apart(0))
-    params = _factor(_nearest_half(fit.join(_medians(fit), "group"), start, rules), rules)
+    params = _factor(_nearest_half(fit.join(near_by(_medians(fit)), "group"), start, rules), rules)
     for _ in range(rules.steps - 1):
         params = written(params, "quality-step")
-        params = _factor(_nearest_half(fit.join(params, "group"), _distance(), rules), rules)
+        params = _factor(_nearest_half(fit.join(near_by(params), "group"), _distance(), rules), rules)
     params = written(params, "quality-fit")
     near, wide = (params.select(F.substr("group", F.lit(2)).alias(k), F.col("p").alias(f"p_{k}")).filter(F.col("group").startswith(c)) for k, c in (("fine", "f"), ("coarse", "c")))
-    out = table.join(near, "fine", "left").join(wide, "coarse", "left").withColumn("p", F.coalesce("p_fine", "p_coarse"))
+    out = table.join(near_by(near), "fine", "left").join(near_by(wide), "coarse", "left").withColumn("p", F.coalesce("p_fine", "p_coarse"))
     distance = F.when(~F.col("q.base_failed"), _distance())
     return out.withColumn("distance", distance).withColumn("kept", ~F.col("q.base_failed") & (F.coalesce("distance", F.lit(0.0)) <= rules.cutoff))
