@@ -131,7 +131,7 @@ def test_rule_parser(spark):
         "what did I learn about docker networking": ("what did I learn about docker networking", []),
         "status: In Progress": ("", [("status", "equals", "In Progress")]),
         "deployment notes status: In Progress": ("deployment notes", [("status", "equals", "In Progress")]),
-        "retro leetcode topic: Graphs project: Vault team: AI tag: RAG": ("retro", [("leetcodeTopic", "equals", "Graphs"), ("project", "equals", "Vault"), ("team", "equals", "AI"), ("tags", "contains", "RAG")]),
+        "retro leetcode topic: Graphs project: Atlas team: AI tag: RAG": ("retro", [("leetcodeTopic", "equals", "Graphs"), ("project", "equals", "Atlas"), ("team", "equals", "AI"), ("tags", "contains", "RAG")]),
         "priority: high urgent tasks": ("priority: high urgent tasks", []),
         "what did I do on date: 21-07-2026": ("what did I do on", [("date", "equals", "2026-07-21")]),
         "team is 'A B'": ("", [("team", "equals", "A B")]),
