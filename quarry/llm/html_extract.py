@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import in_parts
-from quarry.llm.common import partitions, written
+from quarry.llm.common import partitions, small_batches, written
 from quarry.llm.url_filter import url_host_path
 
 #: A comment, a declaration, or a tag with attributes in which quoted values may hold ">".
@@ -309,6 +309,7 @@ def infer_wrappers(pages: DataFrame, salts: int = 16, least: int = 10, constant:
     slot is template if, filled `least` times or more, it has at most `constant` distinct texts a filling while another
     slot of the host has `varied` or more, or if links are over `linked` of its characters."""
     spark = pages.sparkSession
+    small_batches(spark)
     seen = written(pages.select("host", "html").mapInArrow(_observe, ROWS), "html-seen")
     n = partitions(spark)
     skeletons = seen.filter("kind = 0").groupBy("host", "skeleton").agg(F.sum("pages").alias("pages")).withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(salts)))

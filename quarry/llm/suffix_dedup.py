@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import partitions, written
+from quarry.llm.bpe import in_parts
+from quarry.llm.common import partitions, small_batches, written
 
 K = 32
 BITS = 20
 PIECE = (1 << BITS) - 256
-FLUSH = 1_000_000
+FLUSH = 400_000
 LOCAL, HOT = 64, 4096
 BLOCK = 5_000
 COPY, MARK, LONE, GONE, MANY = 0, 1, 2, 3, 4  # kinds of rows: anchor, mark of a hot anchor, window by window, removed, by context
@@ -170,9 +171,9 @@ def _removed(uid, pos, n) -> pa.RecordBatch:
 def _find_anchors(length: int, local: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for uid, pos, n, rel, gram, context in _pieces(batch.column(0).to_numpy(), texts, length):
+        for part in (p for batch in batches for p in in_parts(batch, 1, 4 << 20)):
+            texts = part.column(1).cast(pa.binary()).to_pylist()
+            for uid, pos, n, rel, gram, context in _pieces(part.column(0).to_numpy(), texts, length):
                 held.append((gram, context, uid, pos, n, rel))
                 size += len(uid)
                 if size >= FLUSH:
@@ -424,6 +425,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, local: int = LOCAL, hot:
     if not K + 8 <= length <= 100 + K:
         raise ValueError("length is between 40 and 132 bytes")
     n = partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = _identified(docs)
     found = rows.filter("row.text IS NOT NULL").select("uid", "row.text").mapInArrow(_find_anchors(length, local), ROWS)
     found = found.repartition(n, "key").sortWithinPartitions("key", "kind", "context", "uid", "pos").mapInArrow(_decide(hot), ROWS)
