@@ -68,24 +68,20 @@ def as_text(entries: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.lower(F.lpad(F.hex(e), 6, "0"))), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
-    """docs and `following`, a struct of the given columns of the next row by key. Rows are dealt to key ranges; the first
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", ranges: int = 20_000) -> DataFrame:
+    """docs and `following`, a struct of the given columns of the next row by key. Rows are dealt to at most `ranges` key ranges; the first
     row of each range is also sent to the range before, so no range needs to see more than its own rows."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    cuts = sorted(set(docs.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    cuts = [int(c) for c in cuts]
-    low = -(1 << 63)
-    place = F.coalesce(F.col(key), F.lit(low).cast("long"))
-    steps = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    ranged = docs.withColumns({"_place": place, "_range": bisect(steps, lambda c: c <= F.col(key)) + 1})
-    firsts = sorted((r["_range"], r["first"]) for r in ranged.groupBy("_range").agg(F.min("_place").alias("first")).collect())  # one row a range
-    before = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}  # first key of a range -> the range before, around the end
-    around = firsts[0][1] if firsts else low
-    back = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v))) if before else F.lit(None).cast("map<bigint,int>")
+    n = min(4 * partitions(docs.sparkSession), ranges)  # several ranges a partition, to even out their hashing
+    cuts = sorted({int(c) for c in docs.approxQuantile(key, [i / n for i in range(1, n)], 1 / (2 * n))})
+    long_array = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs)).cast("array<bigint>")
+    place = F.coalesce(F.col(key), F.lit(-(1 << 63)).cast("long"))
+    ranged = docs.withColumns({"_place": place, "_range": bisect(long_array(cuts), lambda c: c <= F.col(key)) + 1})
+    firsts = sorted((r["first"], r["_range"]) for r in ranged.groupBy("_range").agg(F.min("_place").alias("first")).collect())  # a row a range
+    keys, of = [k for k, _ in firsts], [r for _, r in firsts]
+    at = bisect(long_array(keys), lambda c: c <= F.col("_place"))
+    sent = F.when(F.get(long_array(keys), at) == F.col("_place"), F.get(long_array(of[-1:] + of[:-1]), at)).cast("int")
     own = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"), F.lit(False).alias("wrapped"))
-    sent = F.try_element_at(back, F.col("_place")) if before else F.lit(None).cast("int")
-    guest = F.struct(sent.alias("range"), F.lit(True).alias("guest"), (F.col("_place") == around).alias("wrapped"))
+    guest = F.struct(sent.alias("range"), F.lit(True).alias("guest"), (F.col("_place") == (keys[0] if keys else 0)).alias("wrapped"))
     dealt = ranged.withColumn("_to", F.explode(F.filter(F.array(own, guest), lambda t: t["range"].isNotNull())))
     order = W.partitionBy("_to.range").orderBy("_to.wrapped", "_to.guest", "_place", F.xxhash64("text"), "text")
     dealt = dealt.withColumn("following", F.lead(F.struct(*columns)).over(order))
