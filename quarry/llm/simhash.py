@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -184,16 +184,30 @@ def group_near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, most
     small_batches(docs.sparkSession)
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, print long"), "simhash")
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct.select("print"), radius, most))
-    groups = distinct.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    groups = _groups(distinct, radius, most)
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     member = groups.select("print", "component").join(least, "component").select("print", "component_id")
     return prints.join(member, "print").select("doc_id", "print", "component_id")
 
 
+def _groups(distinct: DataFrame, radius: int, most: int) -> DataFrame:
+    """print, least and component (a print) of distinct fingerprints."""
+    found = components(links(distinct.select("print"), radius, most))
+    return distinct.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+
+
 def keep_one_of_each(docs: DataFrame, radius: int = 2, width: int = 3, most: int = 2000) -> DataFrame:
-    """The rows of docs, all columns, with the least doc_id of their group; of repeated ids the least text stays."""
-    first = group_near_duplicates(docs, radius, width, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row")).join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    order = W.partitionBy("doc_id").orderBy("text")
-    return rows.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
+    """One row of docs, all columns, of each group: the least by doc_id (rows without one last), then by text hash."""
+    small_batches(docs.sparkSession)
+    keyed = docs.select(F.struct("doc_id", _row_key().alias("key")).alias("doc_id"), "text")
+    prints = written(keyed.mapInArrow(_fingerprints(width), "doc_id struct<doc_id: long, key: binary>, print long"), "simhash")
+    order = F.struct(F.col("doc_id.doc_id").isNull().alias("no_id"), F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.key").alias("key"))
+    distinct = prints.groupBy("print").agg(F.min(order).alias("least"))
+    first = _groups(distinct, radius, most).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.key").alias("kept_key"))
+    rows = docs.select(_row_key().alias("key"), F.struct("*").alias("row")).join(first, F.col("key") == F.col("kept_key"), "left_semi")
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("key"))).filter("nth = 1").select("row.*")
+
+
+def _row_key() -> Column:
+    """Digest of doc_id and text; rows that share it are repeated."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))

@@ -145,6 +145,21 @@ def test_simhash_of_repeated_ids(repeated, empty):
     assert simhash.keep_one_of_each(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, repeated):
+    """Null and repeated ids: texts of several groups under one id, copies without an id."""
+    other = "plain words that no other text of this table has, about rivers and boats in the north"
+    given = [(None, "first text without an id, on trees and birds of the valley"), (None, other), (7, other), (7, "second text of seven, on trains and stations of the south"), (8, "second text of seven, on trains and stations of the south"), (None, None), (None, "")]
+    more = spark.createDataFrame(given, "doc_id long, text string")
+    for df in (more, repeated):
+        texts = [r["text"] for r in df.select("text").collect()]
+        prints = [brute_print(t) for t in texts]
+        groups = brute_groups(range(len(texts)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+        group_of = {t or "": groups[i] for i, t in enumerate(texts)}
+        kept = simhash.keep_one_of_each(df).select("doc_id", "text").collect()
+        assert sorted(group_of[r["text"] or ""] for r in kept) == sorted(set(groups.values()))
+    assert {r["text"]: r["doc_id"] for r in simhash.keep_one_of_each(more).collect()}[other] == 7
+
+
 # op5
 
 
