@@ -8,7 +8,8 @@ aggregation with map-side sums over all documents, whatever the group's size. St
 so all sums are exact and no result depends on the order of rows.
 
 Defined results: a null or empty text has no words and fails the base rules; a null lang or source is a group of its
-own; groups under min_group documents at both levels reject nothing; repeated rows count as often as they occur; an
+own; groups under min_group documents at both levels reject nothing in op5 (`judge`, as its SQL states) and are judged among all
+documents in the pipeline (`keep`); repeated rows count as often as they occur; an
 empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
@@ -134,20 +135,22 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The kept rows of docs, all columns."""
-    return _judged(docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row")), rules).filter("kept").select("row.*")
+    """The kept rows of docs, all columns; documents of small groups are judged among all documents."""
+    return _judged(docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row")), rules, everywhere=True).filter("kept").select("row.*")
 
 
-def _judged(docs: DataFrame, rules: QualityRules) -> DataFrame:
+def _judged(docs: DataFrame, rules: QualityRules, everywhere: bool = False) -> DataFrame:
     keys = {"fine": F.to_json(F.struct("lang", "source")), "coarse": F.to_json(F.struct("lang"))}
     table = statistics(docs, rules).withColumns(keys).drop("text", "lang", "source")
-    return judged(written(table.withColumns(_vector()), "quality"), rules)
+    return judged(written(table.withColumns(_vector()), "quality"), rules, everywhere)
 
 
-def judged(table: DataFrame, rules: QualityRules) -> DataFrame:
-    """Adds distance and kept to a written table of statistics."""
-    fit = table.filter(~F.col("q.base_failed")).select(F.explode(F.array(F.concat(F.lit("f"), "fine"), F.concat(F.lit("c"), "coarse"))).alias("group"), *FEATURES)
-    sizes = fit.groupBy("group").agg(F.count("*").alias("size")).filter(F.col("size") >= rules.min_group).select("group")
+def judged(table: DataFrame, rules: QualityRules, everywhere: bool = False) -> DataFrame:
+    """Adds distance and kept to a written table of statistics. everywhere: all documents are one more group, of any
+    size, for those whose own groups are too small."""
+    levels = [F.concat(F.lit("f"), "fine"), F.concat(F.lit("c"), "coarse"), *([F.lit("a")] if everywhere else [])]
+    fit = table.filter(~F.col("q.base_failed")).select(F.explode(F.array(*levels)).alias("group"), *FEATURES)
+    sizes = fit.groupBy("group").agg(F.count("*").alias("size")).filter((F.col("size") >= rules.min_group) | (F.col("group") == "a")).select("group")
     sizes = written(sizes, "quality-groups")
     few = sizes.count() <= rules.broadcast_groups
     near_by = (lambda df: F.broadcast(df)) if few else (lambda df: df)  # so a group of very many documents stays where it is read
@@ -161,5 +164,8 @@ def judged(table: DataFrame, rules: QualityRules) -> DataFrame:
     params = written(params, "quality-fit")
     near, wide = (params.select(F.substr("group", F.lit(2)).alias(k), F.col("p").alias(f"p_{k}")).filter(F.col("group").startswith(c)) for k, c in (("fine", "f"), ("coarse", "c")))
     out = table.join(near_by(near), "fine", "left").join(near_by(wide), "coarse", "left").withColumn("p", F.coalesce("p_fine", "p_coarse"))
+    if everywhere:
+        whole = params.filter("group = 'a'").select(F.col("p").alias("p_all"))  # one row, none if nothing passes the base rules
+        out = out.join(F.broadcast(whole), F.lit(True), "left").withColumn("p", F.coalesce("p", "p_all"))
     distance = F.when(~F.col("q.base_failed"), _distance())
     return out.withColumn("distance", distance).withColumn("kept", ~F.col("q.base_failed") & (F.coalesce("distance", F.lit(0.0)) <= rules.cutoff))

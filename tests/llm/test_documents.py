@@ -199,6 +199,15 @@ def test_quality_of_repeated_ids(repeated, empty):
     assert quality.keep(repeated).columns == repeated.columns
 
 
+def test_quality_judges_documents_of_small_groups(spark):
+    """Labelled junk and texts full of symbols in languages of few documents go, clean ones of all languages stay."""
+    df, labels = small(spark), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    kept = {r["doc_id"] for r in quality.keep(df).select("doc_id").collect()}
+    assert not kept & {14, 17, 47, 48, 83, 148, 179}
+    clean = {r["doc_id"] for r in df.join(labels.filter("quality = 1"), "doc_id").collect() if len(r["text"].split()) >= 20}
+    assert clean <= kept
+
+
 # op6
 
 
