@@ -202,7 +202,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", identify(model)("text").alias("l")).select("doc_id", "l.*")
 
 
-def keep(docs: DataFrame, sample: Sample = Sample(), least_score: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose text is in one of the languages by a score of at least least_score."""
+def keep(docs: DataFrame, sample: Sample = Sample(), least_score: float = 0.5, slack: float = 2.5) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of the languages: by a score of at least least_score, and by
+    bits a byte of at most slack times the language's median."""
     found = identify(train(docs, sample))
-    return docs.select(F.struct("*").alias("row"), found("text").alias("l")).filter((F.col("l.lang_pred") != "und") & (F.col("l.score") >= least_score)).select("row.*")
+    usual = {r["lang"]: r["usual"] for r in _medians(docs, found).collect()}
+    fits = F.lit(True)
+    if usual:
+        limit = F.coalesce(F.create_map(*(F.lit(x) for kv in usual.items() for x in kv))[F.col("l.lang_pred")], F.lit(max(usual.values())))
+        fits = F.col("l.bits") <= slack * limit * F.octet_length("row.text")
+    return docs.select(F.struct("*").alias("row"), found("text").alias("l")).filter((F.col("l.lang_pred") != "und") & (F.col("l.score") >= least_score) & fits).select("row.*")
+
+
+def _medians(docs: DataFrame, found) -> DataFrame:  # noqa: ANN001
+    """lang, usual: median bits a byte of the documents that get the language of their label, of the held-out ones where there are any."""
+    seen = docs.select("lang", held_out().alias("held"), F.octet_length("text").alias("size"), found("text").alias("l"))
+    each = F.when(F.col("l.lang_pred") == F.col("lang"), F.col("l.bits") / F.col("size"))  # a filter would evaluate l twice
+    middle = seen.groupBy("lang").agg(F.coalesce(F.percentile_approx(F.when(F.col("held"), each), 0.5), F.percentile_approx(each, 0.5)).alias("usual"))
+    return middle.filter("lang IS NOT NULL AND usual IS NOT NULL")

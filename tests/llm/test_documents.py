@@ -266,6 +266,22 @@ def test_language_of_odd_tables(spark, docs, repeated, empty):
     assert langid.keep(docs).columns == docs.columns
 
 
+def test_language_stage_rejects_unlearned_languages(spark):
+    df, labels = small(spark), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rng = np.random.default_rng(3)
+    letters = ["".join(chr(97 + i) for i in rng.integers(0, 26, n)) for n in rng.integers(3, 10, 40)]
+    foreign = [
+        "Wczoraj wieczorem poszliśmy do lasu zbierać grzyby, ale deszcz nas zaskoczył i musieliśmy wrócić do domu bez niczego, bardzo zmęczeni i mokrzy, a potem długo siedzieliśmy przy ogniu.",
+        "Eilen illalla menimme metsään keräämään sieniä, mutta sade yllätti meidät ja jouduimme palaamaan kotiin tyhjin käsin, hyvin väsyneinä ja märkinä, ja istuimme sitten kauan tulen ääressä.",
+        "Вчера вечером мы пошли в лес собирать грибы, но дождь застал нас врасплох, и нам пришлось вернуться домой ни с чем, очень усталыми и мокрыми, а потом мы долго сидели у огня.",
+        " ".join(letters),
+    ]
+    planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string").selectExpr("doc_id", "text", "CAST(NULL AS string) lang", "'s' source")
+    kept = {r["doc_id"] for r in langid.keep(df.select("doc_id", "text", "lang", "source").unionByName(planted)).select("doc_id").collect()}
+    assert not {k for k in kept if k < 0}
+    assert {r["doc_id"] for r in df.join(labels.filter("quality = 1"), "doc_id").collect() if len(r["text"].split()) >= 20} <= kept
+
+
 # op7
 
 
