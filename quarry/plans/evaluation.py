@@ -251,7 +251,7 @@ def case_counts(spark, d):
 @query(None)
 def eval_cases_scan(spark, d):
     """The benchmark's passages written as a case file and read back."""
-    rows = [{"id": f"case-{r['item_id']}", "query": r["text"], "rationale": "ignored"} for r in table(spark, d, "benchmark").orderBy("item_id").limit(50).collect()]
+    rows = [{"id": f"case-{r['item_id']}", "query": r["text"], "rationale": "ignored"} for r in table(spark, d, "benchmark").orderBy("item_id").collect()]
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     path = f"{shared.rstrip('/')}/cases-{id(rows)}"
     spark.createDataFrame([(json.dumps(rows),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -21,6 +21,11 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_eval_cases_scan_reads_all_passages(spark):
+    at = "/root/testdata/sf0.1"
+    assert QUERIES["eval_cases_scan"](spark, at).count() == spark.read.parquet(f"{at}/benchmark.parquet").count()
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
