@@ -1,29 +1,25 @@
-"""HTML extraction with wrappers inferred per host. A page is a stream of text blocks, each in a slot named by the block
-elements around it. Streams of one host are generalised, one after the other, into a union-free regular expression:
-runs of a slot or of a sequence of slots become repeated groups, slots that one side lacks become optional ones. The
-host's statistics then give each slot of the wrapper a role: slots whose text hardly varies where others vary, or that
-are mostly links, are template; the rest are fields. A page's text is that of its fields, within the article if it has
-one, and never of elements whose name or label says menu, header, footer, sidebar, notice, advert, form or comments.
+"""HTML extraction by wrappers inferred per host. Pages are token streams of tags and texts (html_tree). The streams of a
+host are aligned one after the other into a union-free regular expression (wrappers): what differs becomes a text slot,
+an optional node or a repeated group. Each page is then matched against its host's wrapper, and the texts that fall on
+its fields are the page's text. Element names and labels (menu, header, advert, ...) only say which slots of the wrapper
+are no fields.
 
-Only skeletons (streams with runs folded) and counts by host, slot and text hash are shuffled, each combined in the
-task first; a host's skeletons are folded in salted parts, then the parts, streaming, so that a large host is neither
-one task nor held in memory. Wrappers are broadcast while their written size is under broadcast_bytes, else joined by
-host.
+A task aligns the pages that it reads itself and sends one wrapper a host (several where it meets very many hosts), so a
+frequent host sends no more than any other; these are aligned in salted parts, then the parts, as a stream of which one
+wrapper is held. Wrappers are broadcast while their written size is under broadcast_bytes; beyond, pages and wrappers meet
+by host and salt.
 
 Defined results: a null html is empty; a page without text gives an empty string; a null url has the host ''; broken and
-unclosed markup is read as far as it goes; repeated rows are extracted each; an empty table gives no rows; other columns
-are ignored."""
+unclosed markup is read as far as it goes; elements nested deeper than 64 count as their 64th ancestor's text; very long
+pages take time in proportion to their length; repeated rows are extracted each; the order of pages can change how a
+wrapper groups its optional parts, not what it accepts; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
-import html as entities
 import json
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,327 +27,90 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import in_parts
 from quarry.llm.common import partitions, small_batches, written
+from quarry.llm.html_tree import parse
 from quarry.llm.url_filter import url_host_path
+from quarry.llm.wrappers import TEXT, Level, aligned, fields, main_text
 
-#: A comment, a declaration, or a tag with attributes in which quoted values may hold ">".
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-SPACE = re.compile(r"\s+")
-LABEL = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+ROWS = "host string, wrapper string"
+#: A task sends its wrappers when they have as many characters.
+HELD = 16 << 20
 
-# Element names.
-RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output picture progress q "
-    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
-)
-OUTSIDE = frozenset("nav header footer aside form script style head select button dialog menu option svg canvas audio video object noscript template iframe".split())
-ARTICLE = frozenset(("article", "main"))
-#: Elements that end where another of the same kind, or their parent, goes on.
-SELF_CLOSING = {"p": frozenset("p".split()), "li": frozenset("li".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split()), "tr": frozenset("tr td th".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset(("option",))}
-CLOSES_P = frozenset(
-    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
-)
-# Words of class, id and role that name what is not the article.
-LABELS = frozenset(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent "
-    "contentinfo cookie cookies dialog disqus footer form gdpr header masthead menu menubar modal nav navbar navigation newsletter notice "
-    "notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup "
-    "skip social sponsor sponsored subscribe toolbar topbar widget widgets complementary".split()
-)
 
+def hashed(nodes: list[list]) -> list[list]:
+    """A page's tree as a wrapper that accepts this page: texts by their hash."""
+    return [[n[0], blake2b(n[1].encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if n[0] == TEXT else hashed(n[1]), *n[2:]] for n in nodes]
 
-#: A slot's name begins so if it lies in an article, or in what is never part of one.
-IN, OUT = "@", "!"
 
-
-class Block(NamedTuple):
-    slot: str
-    text: str
-    links: int
-
-
-def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)} if "=" in text or "hidden" in text else {}
-
-
-def _labelled(attributes: dict[str, str], name: str) -> bool:
-    """Whether class, id, role or style say that an element is not part of the article."""
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    if name in ARTICLE or name in ("body", "html"):
-        return False
-    said = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    return any(w.lower() in LABELS for w in LABEL.findall(said))
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with white space settled."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, inside an article, outside of content
-    parts: list[tuple[str, bool]] = []
-    linked = 0
-
-    def flush() -> None:
-        if parts:
-            text = SPACE.sub(" ", "".join(t for t, _ in parts)).strip()
-            if text:
-                path = [s[1] for s in stack if s[1]]
-                inside, outside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                slot = (OUT if outside else IN if inside else "") + ">".join(path[-4:])
-                out.append(Block(slot, text, sum(len(t) for t, a in parts if a)))
-            parts.clear()
-
-    at = 0
-    while at < len(page):
-        tag = TOKEN.search(page, at)
-        upto = tag.start() if tag else len(page)
-        if upto > at:
-            parts.append((entities.unescape(page[at:upto]), linked > 0))
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
-            continue
-        if name in INLINE:
-            if name == "a":
-                linked = max(0, linked + (-1 if tag[1] else 1))
-            elif name in ("br", "img", "wbr"):
-                parts.append((" ", False)) if name == "br" else None
-            elif not tag[1] and _labelled(_attributes(tag[3]), name):
-                flush()
-                stack.append((name, "", stack[-1][2] if stack else False, True))
-                continue
-            elif tag[1] and any(s[0] == name for s in stack):
-                flush()
-                while stack.pop()[0] != name:
-                    pass
-            continue
-        flush()
-        if tag[1]:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-            linked = 0
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if name in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        while stack and stack[-1][0] in SELF_CLOSING.get(name, ()):
-            stack.pop()
-        if name in VOID:
-            continue
-        attributes = _attributes(tag[3])
-        inside, outside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        first = attributes.get("class", attributes.get("id", "")).split()
-        label = "" if name in ("html", "body") else name + (f".{first[0]}" if first else "")
-        outside = outside or name in OUTSIDE and not (name == "header" and inside) or _labelled(attributes, name)
-        inside = inside or name in ARTICLE or attributes.get("role") == "main"
-        stack.append((name, label, inside, outside))
-    flush()
-    return out
-
-
-# A wrapper is a list of nodes [slot or list of nodes, optional, repeated].
-
-
-def folded(slots: list[str], longest: int = 8) -> list[list]:
-    """Runs of a slot, then of short sequences, as repeated nodes."""
-    nodes = [[s, False, False] for s in slots]
-    for period in range(1, longest + 1):
-        keys = [_key(n) for n in nodes]
-        out, i = [], 0
-        while i < len(nodes):
-            j = i + period
-            while keys[j : j + period] == keys[i : i + period] and j + period <= len(nodes):
-                j += period
-            if j > i + period:
-                body = nodes[i : i + period]
-                for k in range(i + period, j, period):
-                    body = [_merged(a, b) for a, b in zip(body, nodes[k : k + period], strict=True)]
-                out.append([body[0][0], body[0][1], True] if period == 1 else [body, False, True])
-                i = j
-            else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-    return nodes
-
-
-def _key(node: list) -> str:
-    return node[0] if isinstance(node[0], str) else "(" + " ".join(map(_key, node[0])) + ")"
-
-
-def _merged(a: list, b: list) -> list:
-    """Two nodes of one key: optional or repeated if either is."""
-    body = a[0] if isinstance(a[0], str) else [_merged(x, y) for x, y in zip(a[0], b[0], strict=True)]
-    return [body, a[1] or b[1], a[2] or b[2]]
-
-
-def aligned(a: list[list], b: list[list]) -> list[list]:
-    """The least general common form: nodes in both streams stay, those in one become optional. A sequence that repeats a
-    neighbouring group of the other stream is resolved into the group."""
-    x, y = [_key(n) for n in a], [_key(n) for n in b]
-    i = 0
-    while i < min(len(a), len(b)) and x[i] == y[i]:
-        i += 1
-    j = 0
-    while j < min(len(a), len(b)) - i and x[-1 - j] == y[-1 - j]:
-        j += 1
-    head = [_merged(p, q) for p, q in zip(a[:i], b[:i], strict=True)]
-    tail = [_merged(p, q) for p, q in zip(a[len(a) - j :], b[len(b) - j :], strict=True)]
-    p, q, x, y = a[i : len(a) - j], b[i : len(b) - j], x[i : len(a) - j], y[i : len(b) - j]
-    middle: list[list] = []
-    m = n = 0
-    for s, t in [*_common(x, y), (len(x), len(y))]:
-        middle += [[v[0], True, v[2]] for v in [*p[m:s], *q[n:t]]]
-        if s < len(x):
-            middle.append(_merged(p[s], q[t]))
-        m, n = s + 1, t + 1
-    return head + middle + tail
-
-
-def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence; of very long streams, of the next equal nodes in turn."""
-    if len(x) * len(y) <= 1_000_000:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-        out, i, j = [], 0, 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                out.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-        return out
-    places: dict[str, list[int]] = {}
-    for j in range(len(y) - 1, -1, -1):
-        places.setdefault(y[j], []).append(j)
-    out, after = [], -1
-    for i, k in enumerate(x):
-        held = places.get(k, [])
-        while held and held[-1] <= after:
-            held.pop()
-        if held:
-            after = held.pop()
-            out.append((i, after))
-    return out
-
-
-def expression(wrapper: list[list]) -> str:
-    """The wrapper as a union-free regular expression over slots."""
-    one = lambda n: (f"<{n[0]}>" if isinstance(n[0], str) else "(" + " ".join(map(one, n[0])) + ")") + ("*" if n[1] and n[2] else "?" if n[1] else "+" if n[2] else "")
-    return " ".join(map(one, wrapper))
-
-
-def slots_of(wrapper: list[list]) -> Iterator[str]:
-    for node in wrapper:
-        if isinstance(node[0], str):
-            yield node[0]
-        else:
-            yield from slots_of(node[0])
-
-
-ROWS = "host string, kind int, skeleton string, slot string, text_hash long, pages long, chars long, links long"
+def _rows(found: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], ["host", "wrapper"])
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Skeletons (kind 0) and counts by slot and text (kind 1), summed over a batch."""
-    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """One wrapper for the pages of each host that this task reads."""
+    found: dict[str, list] = {}
+    size = 0
     for batch in batches:
         for part in in_parts(batch, 1):
-            skeletons: Counter = Counter()
-            seen: dict[tuple, list[int]] = {}
             for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                found = blocks(page or "")
-                skeletons[host, json.dumps(folded([b.slot for b in found]))] += 1
-                for b in found:
-                    if not b.slot.startswith(OUT):
-                        h = int.from_bytes(blake2b(b.text.encode(), digest_size=8).digest(), "little", signed=True)
-                        total = seen.setdefault((host, b.slot, h), [0, 0, 0])
-                        total[0] += 1
-                        total[1] += len(b.text)
-                        total[2] += b.links
-            rows = [(h, 0, s, None, None, n, 0, 0) for (h, s), n in skeletons.items()] + [(h, 1, None, s, t, *v) for (h, s, t), v in seen.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in ROWS.split(", ")])
+                tree = hashed(parse(page or ""))
+                if host in found:
+                    found[host] = aligned(found[host], tree)
+                else:
+                    found[host] = tree
+                    size += 1000 + len(page or "")
+                if size > HELD:
+                    yield _rows(found)
+                    found, size = {}, 0
+    if found:
+        yield _rows(found)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folds the sorted streams of each host into one; only that one is held."""
+    """Aligns the sorted wrappers of each host into one; only that one is held."""
     host, wrapper, any_yet = None, [], False
     for batch in batches:
-        for h, s in zip(batch.column("host").to_pylist(), batch.column("skeleton").to_pylist(), strict=True):
+        for h, w in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
             if any_yet and h == host:
-                nodes = json.loads(s)
-                wrapper = wrapper if list(map(_key, nodes)) == list(map(_key, wrapper)) and nodes == wrapper else aligned(wrapper, nodes)
+                wrapper = aligned(wrapper, json.loads(w))
                 continue
             if any_yet:
-                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(wrapper)])], ["host", "skeleton"])
-            host, wrapper, any_yet = h, json.loads(s), True
+                yield _rows({host: wrapper})
+            host, wrapper, any_yet = h, json.loads(w), True
     if any_yet:
-        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(wrapper)])], ["host", "skeleton"])
+        yield _rows({host: wrapper})
 
 
-def infer_wrappers(pages: DataFrame, salts: int = 16, least: int = 10, constant: float = 0.1, varied: float = 0.5, linked: float = 0.6) -> DataFrame:
-    """host, wrapper (nodes as JSON) and templates (slots of the wrapper that are no fields); pages has host and html. A
-    slot is template if, filled `least` times or more, it has at most `constant` distinct texts a filling while another
-    slot of the host has `varied` or more, or if links are over `linked` of its characters."""
+def infer_wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
+    """host and wrapper (nodes as JSON) of pages with host and html."""
     spark = pages.sparkSession
     small_batches(spark)
-    seen = written(pages.select("host", "html").mapInArrow(_observe, ROWS), "html-seen")
     n = partitions(spark)
-    skeletons = seen.filter("kind = 0").groupBy("host", "skeleton").agg(F.sum("pages").alias("pages")).withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(salts)))
-    parts = skeletons.repartition(n, "host", "salt").sortWithinPartitions("host", "salt", F.desc("pages"), "skeleton").select("host", "skeleton").mapInArrow(_fold, "host string, skeleton string")
-    whole = parts.repartition(n, "host").sortWithinPartitions("host", F.length("skeleton"), "skeleton").mapInArrow(_fold, "host string, skeleton string")
-    slots = seen.filter("kind = 1").groupBy("host", "slot", "text_hash").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "links")))
-    slots = slots.groupBy("host", "slot").agg(F.count("*").alias("texts"), *(F.sum(c).alias(c) for c in ("pages", "chars", "links")))
-    top = slots.groupBy("host").agg(F.max(F.col("texts") / F.col("pages")).alias("top"))
-    template = ((F.col("top") >= varied) & (F.col("texts") <= constant * F.col("pages")) & (F.col("pages") >= least)) | (F.col("links") > linked * F.col("chars"))
-    roles = slots.join(top, "host").filter(template).groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("templates"))
-    return whole.withColumnRenamed("skeleton", "wrapper").join(roles, "host", "left").withColumn("templates", F.to_json(F.coalesce("templates", F.array().cast("array<string>"))))
+    seen = written(pages.select("host", "html").mapInArrow(_observe, ROWS), "html-seen")
+    parts = seen.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "wrapper")
+    parts = parts.select("host", "wrapper").mapInArrow(_fold, ROWS)
+    return parts.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold, ROWS)
 
 
 @lru_cache(maxsize=256)
-def _fields(wrapper: str, templates: str) -> tuple[frozenset[str], frozenset[str]]:
-    """The wrapper's slots that hold article text, and the other fields."""
-    slots = {s for s in slots_of(json.loads(wrapper)) if not s.startswith(OUT)}
-    article = frozenset(s for s in slots if s.startswith(IN))
-    return article, frozenset(slots - article - set(json.loads(templates)))
-
-
-def main_text(page: str, wrapper: str, templates: str) -> str:
-    """The page's text in the wrapper's fields: those of the article where the page fills one, else all others."""
-    article, fields = _fields(wrapper, templates)
-    found = blocks(page)
-    wanted = article if any(b.slot in article for b in found) else fields
-    return "\n".join(b.text for b in found if b.slot in wanted)
+def _level(wrapper: str) -> Level:
+    return fields(json.loads(wrapper))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in in_parts(batch, 2):
-            texts = [main_text(p or "", w, t) for p, w, t in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [main_text(parse(p or ""), _level(w)) for p, w in zip(*(part.column(i).to_pylist() for i in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20, salts: int = 16) -> DataFrame:
     """page_id, url, text, n_chars."""
     pages = pages.select("page_id", "url", "html", url_host_path(F.col("url"))[0].alias("host"))
-    wrappers = written(infer_wrappers(pages), "html-wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("templates") + F.octet_length("host"))).first()[0] or 0
+    wrappers = written(infer_wrappers(pages, salts), "html-wrappers")
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     if size <= broadcast_bytes:
-        wrappers = F.broadcast(wrappers)
-    out = pages.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "templates")
-    return out.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+        out = pages.join(F.broadcast(wrappers), "host", "left")
+    else:
+        wrappers = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = pages.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(salts)).cast("int")).join(wrappers.hint("merge"), ["host", "salt"], "left")
+    return out.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import itertools
 import json
+import re
+from functools import reduce
 from urllib.parse import quote
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from quarry.llm import chat_format, html_extract, queries, url_filter
+from quarry.llm import chat_format, html_extract, html_tree, queries, url_filter, wrappers
 from tests.compare import same_as_sql
 from tests.conftest import SMALL
 
@@ -68,16 +74,99 @@ def test_template_slots_are_learned_without_markup_hints(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages, broadcast_bytes=0).collect()}
     assert got == {i: f"Story {i} {'word ' * (i % 7)}end" for i in range(40)}
     w = html_extract.infer_wrappers(pages.selectExpr("'plain' AS host", "html")).first()
-    assert html_extract.expression(json.loads(w["wrapper"])) == "<div.x1> <div.x2>p> <div.x3>"
+    assert wrappers.expression(json.loads(w["wrapper"])) == "<div.x0 'text'> <div.x0 <p #text>> <div.x0 #text>"
 
 
-def test_wrapper_generalises_both_streams():
-    f = html_extract.folded
-    w = html_extract.aligned(f("a b b c d c d e".split()), f("a c d e e g".split()))
-    assert html_extract.expression(w) == "<a> <b>* (<c> <d>)* <c>? <d>? <e>+ <g>?"
-    assert html_extract.expression(html_extract.aligned(f(list("abc")), f(list("abc")))) == "<a> <b> <c>"
-    assert html_extract.expression(html_extract.aligned(f([]), f(list("ab")))) == "<a>? <b>?"
-    assert html_extract._common(list("xaybz") * 400, list("ab") * 400)
+def wrapper_of(*pages):
+    return reduce(wrappers.aligned, (html_extract.hashed(html_tree.parse(p)) for p in pages))
+
+
+def text_of(page, wrapper=None):
+    return wrappers.main_text(html_tree.parse(page), wrappers.fields(wrapper if wrapper is not None else wrapper_of(page)))
+
+
+def test_a_label_never_takes_the_main_text():
+    for page, text in (
+        ('<div class="layout has-sidebar"><p>Story</p></div>', "Story"), ('<div class="post comments-open">Story</div>', "Story"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>', "Title\nBody"), ('<div class="content-sidebar"><p>' + "Story " * 50 + '</p></div><div class="sidebar">no</div>', ("Story " * 50).strip()),
+        ("<article></article><div class=ad>no</div>", ""), ('<article><p>Story</p><div class="comments">no</div><div class="share-buttons">no</div></article>', "Story"),
+    ):
+        assert text_of(page) == text
+
+
+def test_wrapper_generalises_streams():
+    assert wrappers.expression(wrapper_of("<p>a<p>b<p>c", "<p>a<p>x<p>c")) == "<p 'text'> <p #text> <p 'text'>"
+    assert wrappers.expression(wrapper_of("<h1>t</h1><p>a", "<h1>t</h1><p>a<p>b<p>c<hr><ul><li>x</ul>", "<h1>u</h1><p>z")) == "<h1 #text> <p #text>+ <ul <li 'text'>>?"
+    assert wrappers.expression(wrapper_of("<dl><dt>a<dd>b</dl>", "<dl><dt>c<dd>d<dt>e<dd>f<dt>g<dd>h</dl>", "<dl><dt>i<dd>j<dt>k<dd>l</dl>")) == "<dl (<dt #text> <dd #text>)+>"
+    assert wrappers.expression(wrapper_of("<div class=a>x</div>", "<div class=b>y</div>")) == "<div.a 'text'>? <div.b 'text'>?"
+
+
+def test_the_wrapper_decides_the_text():
+    pages = [f"<div>Shop of things</div><div>Story {i} that goes on and on for a while</div><div>All rights reserved</div>" for i in range(5)]
+    whole = wrapper_of(*pages)
+    assert text_of(pages[1], whole) == "Story 1 that goes on and on for a while"
+    assert text_of(pages[1], whole[::-1]) == text_of(pages[1], whole) and text_of(pages[1], whole[1:]) != text_of(pages[1], whole)
+    assert text_of(pages[1], wrapper_of(pages[1])).count("\n") == 2
+    assert text_of(pages[1], whole[:1]) == "Shop of things" and text_of(pages[1], []) == ""
+    shifted = "<p>Notice</p>" + pages[0]
+    assert text_of(shifted, whole) == "Story 0 that goes on and on for a while" and text_of(shifted, wrapper_of(*pages, shifted)).startswith("Notice\nStory 0")
+
+
+LEAF = st.sampled_from(["x", "y", "z", "<p>x", "<p>y</p>", "<p>z</p>", "<h2>x</h2>", "<ul><li>x<li>y</ul>", "<ul><li>x</ul>", "<dl><dt>x<dd>y</dl>"])
+TREE = st.recursive(LEAF, lambda inner: st.builds(lambda tag, kids: f"<{tag}>" + "".join(kids) + f"</{tag.split()[0]}>", st.sampled_from(["div", "div class=a", "div class=b", "section"]), st.lists(inner, max_size=5)), max_leaves=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(TREE, max_size=6).map("".join), min_size=1, max_size=6), st.integers(0, 5))
+def test_a_wrapper_accepts_all_its_pages(pages, cut):
+    trees = [html_tree.parse(p) for p in pages]
+    count = lambda nodes: sum(1 if n[0] == wrappers.TEXT else count(n[1]) for n in nodes)
+    for w in (wrapper_of(*pages), wrappers.aligned(wrapper_of(*pages[:cut], pages[0]), wrapper_of(*pages[cut:], pages[-1]))):
+        level = wrappers.fields(json.loads(json.dumps(w)))
+        for tree in trees:
+            assert [t for t, _ in wrappers.match(tree, level)] == [t for t, _ in wrappers.match(tree, wrappers.fields(html_extract.hashed(tree)))]
+            assert len(wrappers.match(tree, level)) == count(tree)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12), st.sampled_from([1, 6, 1 << 28]))
+def test_common_is_longest(x, y, most_bits):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, j in itertools.product(range(len(x)), range(len(y))):
+        best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+    got = wrappers.common(x, y, most_bits)
+    assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got) and all(p < q and s < t for (p, s), (q, t) in itertools.pairwise(got))
+
+
+def test_classes_that_differ_on_every_page_do_not_grow_a_wrapper():
+    pages = ["".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + j)}x{chr(97 + i // 26)}><p>text {i} {j}</p></div>" for j in range(20)) for i in range(100)]
+    whole = wrapper_of(*pages)
+    assert len(json.dumps(whole)) < 40_000
+    assert text_of(pages[7], whole) == "\n".join(f"text 7 {j}" for j in range(20))
+
+
+def plain_article(page):
+    """The synthetic pages' article, by their own form."""
+    body = re.search("<article>(.*?)</article>", page, re.S)[1]
+    parts = (re.sub(r"\s+", " ", html.unescape(re.sub("</?b>", "", x).replace("<br>", " "))).strip() for x in re.split("</?(?:p|h1)>", body))
+    return "\n".join(x for x in parts if x)
+
+
+def test_query_equals_brute_force_on_all_pages(spark):
+    out = queries.queries()["op4_html_extract"](spark, SMALL)
+    assert dict(out.dtypes) == {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"}
+    given_ = {r["page_id"]: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in out.collect()}
+    assert {k: (r["url"], r["text"], r["n_chars"]) for k, r in got.items()} == {k: (r["url"], (t := plain_article(r["html"])), len(t)) for k, r in given_.items()}
+
+
+def test_very_long_and_very_deep_pages():
+    deep = "<div>x" * 20_000 + "</section>" * 20_000
+    assert text_of(deep).count("x") == 20_000
+    long = "<article>" + "".join(f"<p>{i}" for i in range(50_000)) + "</article>"
+    longer = "<article>" + "".join(f"<p>{i}<hr>" for i in range(50_001)) + "</article>"
+    w = wrapper_of(long, longer, long)
+    assert text_of(longer, w) == "\n".join(map(str, range(50_001))) and wrappers.expression(w) == "<@article <p #text>+>"
 
 
 def test_chats(spark):
