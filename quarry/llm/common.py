@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,3 +48,11 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """uid and the whole row. uid is doc_id; where that repeats or is null, a number in the order of doc_id and text."""
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        docs = docs.select(F.struct("*").alias("row")).orderBy("row.doc_id", F.xxhash64("row.text"), "row.text")
+        return written(docs.select(F.monotonically_increasing_id().alias("uid"), "row"), "uid")
+    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("uid"), F.struct("*").alias("row"))

@@ -2,29 +2,27 @@
 differ in few bits are linked, and the components of links are groups of near duplicates.
 
 Search is by BK-trees, whose children are keyed by their Hamming distance to the parent; a query follows only the edges
-within the radius of its own distance. Trees are shards: with radius r the 64 bits are cut into r + 2 blocks, of which
-linked fingerprints share two, so each pair of blocks deals the distinct fingerprints to shards by the bits of both. A
-shard holds the few fingerprints that agree there and is searched by its own members, so no tree is sent to other
-shards or grows with the corpus. A shard past `most` members is dealt again on blocks of the other bits, which is exact
-for the same reason. A shard yields a spanning forest of its links, not all pairs.
+within the radius of its own distance. Trees are shards: with radius r the 64 bits are cut into r + 1 blocks, of which
+linked fingerprints share one, so each block deals the distinct fingerprints to shards by its bits. A shard holds the
+fingerprints that agree there and is searched by its own members, so no tree is sent to other shards or grows with the
+corpus. A shard past `most` members is dealt again on blocks of the other bits, which is exact for the same reason. A
+shard yields a spanning forest of its links, not all pairs.
 
 Only distinct fingerprints are searched; copies meet in one aggregation and carry their least doc_id.
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any other; a text
-of fewer words than a shingle is one shingle; rows with a null doc_id get no component id of their own but the least
+of fewer words than a shingle is one shingle; very long texts are hashed in parts and counted whole; rows with a null doc_id get no component id of their own but the least
 doc_id of their group (null if it has none); repeated rows each keep a row; an empty table gives no rows; other columns
 are ignored."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quarry.llm.common import partitions, small_batches, written
 from quarry.llm.components import components
@@ -144,7 +142,7 @@ def _search(radius: int, most: int):
         shard: list[int] = []
         last, out = None, []
         for batch in batches:
-            keys = zip(batch.column("pair").to_pylist(), batch.column("bits").to_pylist(), strict=True)
+            keys = zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True)
             for key, value in zip(keys, batch.column("print").to_numpy().view(np.uint64).tolist(), strict=True):
                 if key != last:
                     if len(shard) > 1:
@@ -173,9 +171,9 @@ def signed(mask: int) -> int:
 
 def links(distinct: DataFrame, radius: int, most: int = 2000) -> DataFrame:
     """Links a - b of a column `print` of distinct fingerprints that connect all those at most radius bits apart."""
-    masks = [signed(x | y) for x, y in combinations(blocks(list(range(64)), radius + 2), 2)]
-    deals = F.array(*(F.struct(F.lit(i).alias("pair"), F.col("print").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))
-    dealt = distinct.select("print", F.inline(deals)).repartition(partitions(distinct.sparkSession), "pair", "bits").sortWithinPartitions("pair", "bits", "print")
+    masks = [signed(m) for m in blocks(list(range(64)), radius + 1)]
+    deals = F.array(*(F.struct(F.lit(i).alias("block"), F.col("print").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))
+    dealt = distinct.select("print", F.inline(deals)).repartition(partitions(distinct.sparkSession), "block", "bits").sortWithinPartitions("block", "bits", "print")
     return dealt.mapInArrow(_search(radius, most), "a long, b long").distinct()
 
 
@@ -194,20 +192,3 @@ def _groups(distinct: DataFrame, radius: int, most: int) -> DataFrame:
     """print, least and component (a print) of distinct fingerprints."""
     found = components(links(distinct.select("print"), radius, most))
     return distinct.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-
-
-def keep_one_of_each(docs: DataFrame, radius: int = 2, width: int = 3, most: int = 2000) -> DataFrame:
-    """One row of docs, all columns, of each group: the least by doc_id (rows without one last), then by text hash."""
-    small_batches(docs.sparkSession)
-    keyed = docs.select(F.struct("doc_id", _row_key().alias("key")).alias("doc_id"), "text")
-    prints = written(keyed.mapInArrow(_fingerprints(width), "doc_id struct<doc_id: long, key: binary>, print long"), "simhash")
-    order = F.struct(F.col("doc_id.doc_id").isNull().alias("no_id"), F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.key").alias("key"))
-    distinct = prints.groupBy("print").agg(F.min(order).alias("least"))
-    first = _groups(distinct, radius, most).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.key").alias("kept_key"))
-    rows = docs.select(_row_key().alias("key"), F.struct("*").alias("row")).join(first, F.col("key") == F.col("kept_key"), "left_semi")
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("key"))).filter("nth = 1").select("row.*")
-
-
-def _row_key() -> Column:
-    """Digest of doc_id and text; rows that share it are repeated."""
-    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import in_parts
-from quarry.llm.common import partitions, small_batches, written
+from quarry.llm.common import identified, partitions, small_batches, written
 
 K = 32
 BITS = 20
@@ -384,14 +384,6 @@ def _sort_contexts(length: int):
     return run
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """uid and the whole row. uid is doc_id; where that repeats or is null, a number in the order of doc_id and text."""
-    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
-        docs = docs.select(F.struct("*").alias("row")).orderBy("row.doc_id", F.xxhash64("row.text"), "row.text")
-        return written(docs.select(F.monotonically_increasing_id().alias("uid"), "row"), "suffix-uid")
-    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("uid"), F.struct("*").alias("row"))
-
-
 def _cut_out(length: int, as_text: bool):
     @F.pandas_udf(f"struct<n_bytes: long, spans: array<struct<start: long, length: long>>, kept: {'string' if as_text else 'binary'}>")
     def cut(texts, gone):  # noqa: ANN001, ANN202
@@ -426,7 +418,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, local: int = LOCAL, hot:
         raise ValueError("length is between 40 and 132 bytes")
     n = partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
-    rows = _identified(docs)
+    rows = identified(docs)
     found = rows.filter("row.text IS NOT NULL").select("uid", "row.text").mapInArrow(_find_anchors(length, local), ROWS)
     found = found.repartition(n, "key").sortWithinPartitions("key", "kind", "context", "uid", "pos").mapInArrow(_decide(hot), ROWS)
     found = written(found, "suffix-anchors")

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, components, langid, order_minhash, packing, quality, simhash, suffix_dedup
+from quarry.llm import bpe, components, langid, near_dedup, order_minhash, packing, quality, simhash, suffix_dedup
 from tests.llm.conftest import rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -139,25 +139,94 @@ def test_components_of_chains(spark):
 
 
 def test_simhash_of_repeated_ids(repeated, empty):
-    assert simhash.group_near_duplicates(repeated).count() == repeated.count()
-    kept = simhash.keep_one_of_each(repeated)
-    assert kept.columns == repeated.columns and kept.filter("doc_id = 9").count() == 1 and kept.filter("doc_id = 10").count() == 0
-    assert simhash.keep_one_of_each(empty).count() == 0
+    """Prints row by row; the component is the least id of the group, null if it has none."""
+    given = [(r["doc_id"], r["text"]) for r in repeated.select("doc_id", "text").collect()]
+    prints = [brute_print(t) for _, t in given]
+    groups = brute_groups(range(len(given)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    least = {g: min((given[i][0] for i in range(len(given)) if groups[i] == g and given[i][0] is not None), default=None) for g in groups.values()}
+    got = Counter((r["doc_id"], r["print"] % (1 << 64), r["component_id"]) for r in simhash.group_near_duplicates(repeated).collect())
+    assert got == Counter((k, prints[i], least[groups[i]]) for i, (k, _) in enumerate(given))
+    assert simhash.group_near_duplicates(empty).count() == 0
 
 
-def test_one_row_of_each_group_stays_whatever_the_ids(spark, repeated):
-    """Null and repeated ids: texts of several groups under one id, copies without an id."""
+# Near-dedup stage
+
+
+def brute_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def brute_kept(rows_):
+    """Of rows (doc_id, text) the index of the first of each group; texts of the same words are one."""
+    order = sorted(range(len(rows_)), key=lambda i: (rows_[i][0] is not None, rows_[i][0] or 0))
+    sets = [brute_shingles(rows_[i][1]) for i in order]
+    groups = brute_groups(range(len(order)), lambda a, b: alike(sets[a], sets[b]))
+    return {order[g] for g in groups.values()}, {order[i]: order[g] for i, g in groups.items()}
+
+
+def edited_copies(n, seed=4):
+    """Edited copies of few originals, at all similarities around 0.8, and unrelated texts."""
+    rng = np.random.default_rng(seed)
+    pick = lambda k: [f"{w}{i}" for w, i in zip(rng.choice(["ka", "mo", "ti", "re", "shu", "lan"], k), rng.integers(0, 300, k), strict=True)]
+    out = []
+    for _ in range(n):
+        base = pick(int(rng.integers(60, 400)))
+        out.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 4, 6):
+            words = list(base)
+            for at in rng.integers(0, len(words), edits):
+                words[at] = pick(1)[0]
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("most", [4, 2000])
+def test_one_of_each_group_of_near_duplicates_stays(spark, most):
+    texts = edited_copies(40)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in near_dedup.keep_one_of_each(df, most=most, broadcast_rows=0 if most == 4 else 10**6).collect()}
+    expected, groups = brute_kept(list(enumerate(texts)))
+    assert expected <= kept  # what is removed is near to something that stays
+    caught = (len(texts) - len(kept)) / (len(texts) - len(expected))
+    assert caught >= 0.97
+    assert len({groups[k] for k in kept}) == len(expected)
+
+
+def test_an_original_is_found_among_very_many_copies(spark):
+    """Copies of one text, most of them not similar to one another: all go but one. No node gives more than two pairs."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    texts = [" ".join(base)]
+    for i in range(800):
+        words = list(base)
+        for at in rng.choice(300, 6, replace=False):
+            words[at] = f"new{i}x{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert near_dedup.keep_one_of_each(df, most=100).count() <= 8
+    hashes = [near_dedup.shingles(near_dedup.word_hashes(t.encode().split()), 2) for t in texts]
+    two = np.array([near_dedup.simhash(h)[0] for h in hashes], np.uint64)
+    pairs = list(near_dedup.shard_pairs(np.arange(len(texts)), two, two, 14, 100))
+    assert len(pairs) <= 2 * len(texts) and len({a for p in pairs for a in p}) == len(texts)
+
+
+def test_near_dedup_of_odd_tables(spark, docs, repeated, empty):
     other = "plain words that no other text of this table has, about rivers and boats in the north"
-    given = [(None, "first text without an id, on trees and birds of the valley"), (None, other), (7, other), (7, "second text of seven, on trains and stations of the south"), (8, "second text of seven, on trains and stations of the south"), (None, None), (None, "")]
+    given = [(None, "first text without an id, on trees and birds of the valley"), (None, other), (7, other), (7, "second text of seven, on trains and stations of the south"), (8, "second text of seven, on trains and stations of the south"), (None, None), (None, ""), (9, " \n")]
     more = spark.createDataFrame(given, "doc_id long, text string")
-    for df in (more, repeated):
-        texts = [r["text"] for r in df.select("text").collect()]
-        prints = [brute_print(t) for t in texts]
-        groups = brute_groups(range(len(texts)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
-        group_of = {t or "": groups[i] for i, t in enumerate(texts)}
-        kept = simhash.keep_one_of_each(df).select("doc_id", "text").collect()
-        assert sorted(group_of[r["text"] or ""] for r in kept) == sorted(set(groups.values()))
-    assert {r["text"]: r["doc_id"] for r in simhash.keep_one_of_each(more).collect()}[other] == 7
+    for df in (more, repeated, docs):
+        rows_ = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        expected, groups = brute_kept(rows_)
+        of_text = {(k, t): groups[i] for i, (k, t) in enumerate(rows_)}
+        out = near_dedup.keep_one_of_each(df)
+        assert out.columns == df.columns
+        assert sorted(of_text[r["doc_id"], r["text"]] for r in out.collect()) == sorted(expected)
+    assert near_dedup.keep_one_of_each(empty).count() == 0
 
 
 # op5
