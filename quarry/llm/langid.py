@@ -6,13 +6,15 @@ uniform choice among the bytes left. The language of the shortest code wins; the
 As statistics are frozen, the cost of a byte after a context is a constant: workers unfold the counts once into a table
 and a text is scored by table look-ups, in time proportional to its length.
 
-The sample, the only part that is bounded: for each of the `languages` most frequent lang values, the `documents` rows
-of least doc_id hash that are 1 to `longest` bytes long. Everything else covers all rows and whole texts.
+The sample, the only part that is bounded: of every lang value, the `documents` rows of least hash (fewer where there are
+so many values that they would be over `rows` in all), each cut after `longest` characters (fewer where that would be
+over `characters` in all). No value is left out. Everything else covers all rows and whole texts. Workers unfold BLOCK
+languages at a time, so their memory does not grow with the number of languages.
 
 Defined results: a null text or one without a letter is 'und' with score 0, as is every text where nothing could be
 learned; ties go to the first language by name; bytes that no sample has cost the uniform choice and count as the start
 of a text when they are context; a null doc_id is neither held out nor learned from; repeated rows are predicted each; an
-empty table gives no rows; other columns are ignored."""
+very long texts are scored whole; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -21,31 +23,38 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.llm.common import small_batches
 
 ORDER = 3
+BLOCK = 16
 
 
 @dataclass(frozen=True)
 class Sample:
     documents: int = 400
     longest: int = 20_000
-    languages: int = 16
+    rows: int = 20_000
+    characters: int = 32 << 20
+
+    def of(self, languages: int) -> tuple[int, int]:
+        """Documents of a language and characters of a document."""
+        documents = max(1, min(self.documents, self.rows // max(1, languages)))
+        return documents, max(1, min(self.longest, self.characters // max(1, documents * languages)))
 
 
 @dataclass(frozen=True)
 class Model:
-    """names of languages; alphabet: class of each byte (0: seen in no sample); grams: distinct runs of four classes as
-    one number, and how often each language has them."""
+    """names of languages; alphabet: class of each byte (0: seen in no sample); of each language, distinct runs of four
+    classes as one number, and how often it has them."""
 
     names: tuple[str, ...]
     alphabet: bytes
-    grams: bytes
-    counts: bytes
+    grams: tuple[bytes, ...]
+    counts: tuple[bytes, ...]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -82,11 +91,16 @@ def _grams(classes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def train(docs: DataFrame, sample: Sample = Sample()) -> Model:
     """From text and lang of the documents that are not held out."""
     small_batches(docs.sparkSession)
-    usable = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.octet_length("text").between(1, sample.longest) & F.col("doc_id").isNotNull())
-    usual = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample.languages).select("lang")
-    chosen = usable.select("doc_id", "lang").join(F.broadcast(usual), "lang").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = chosen.filter(F.col("n") <= sample.documents).select("doc_id", "lang")  # at most documents * languages rows
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").collect()
+    usable = docs.filter(F.col("lang").isNotNull() & ~held_out() & (F.octet_length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sizes.count()
+    documents, longest = sample.of(languages)
+    # rows whose hash lies in twice the share that is needed: few, whatever the language's size
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63)
+    some = usable.join(F.broadcast(sizes) if languages <= 10_000 else sizes, "lang").filter(place * F.col("n") <= 2 * documents + 50)
+    first = W.partitionBy("lang").orderBy("place", "doc_id", "text")
+    cut = some.select("lang", "doc_id", F.left("text", F.lit(longest)).alias("text"), place.alias("place"))
+    rows = cut.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= documents).select("lang", "text").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"].encode())
@@ -99,28 +113,27 @@ def train(docs: DataFrame, sample: Sample = Sample()) -> Model:
         classes, begins = _padded(texts[name], alphabet)
         grams, counts = np.unique(_grams(classes, _text_places(begins, len(classes)), int(alphabet.max()) + 1), return_counts=True)
         found[i] = grams, counts
-    grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(g for g, _ in found.values())]))
-    table = np.zeros((len(grams), len(names)), np.int32)
-    for i, (g, c) in found.items():
-        table[np.searchsorted(grams, g), i] = c
-    return Model(names, alphabet.tobytes(), grams.tobytes(), table.tobytes())
+    return Model(names, alphabet.tobytes(), *(tuple(found[i][j].astype(kind).tobytes() for i in range(len(names))) for j, kind in enumerate((np.int64, np.int32))))
 
 
 class Coder:
-    """The model's counts unfolded: bits[context, byte class, language]."""
+    """The counts of some languages unfolded: bits[context, byte class, language]."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, first: int = 0, languages: int = BLOCK):
         self.alphabet = np.frombuffer(model.alphabet, np.uint8)
         a = self.size = int(self.alphabet.max()) + 1
-        grams = np.frombuffer(model.grams, np.int64)
-        counts = np.frombuffer(model.counts, np.int32).reshape(len(grams), len(model.names))
+        own = [np.frombuffer(g, np.int64) for g in model.grams[first : first + languages]]
+        grams = np.unique(np.concatenate([np.zeros(0, np.int64), *own]))
+        counts = np.zeros((len(grams), len(own)), np.int32)
+        for j, (g, c) in enumerate(zip(own, model.counts[first : first + languages], strict=True)):
+            counts[np.searchsorted(grams, g), j] = np.frombuffer(c, np.int32)
         symbol, longest = grams % a, grams // a
         contexts = np.unique(longest)
-        bits = np.empty((len(contexts) + a * a, a, len(model.names)), np.float32)
+        bits = np.empty((len(contexts) + a * a, a, len(own)), np.float32)
         self.of_context = np.full(a**ORDER, -1, np.int32)
         self.of_context[contexts] = np.arange(len(contexts))
         pairs = np.arange(a * a)
-        for j in range(len(model.names)):
+        for j in range(len(own)):
             def table(context: np.ndarray, rows: int) -> np.ndarray:
                 return np.bincount(context * a + symbol, weights=counts[:, j], minlength=rows * a).reshape(rows, a)  # noqa: B023
 
@@ -128,7 +141,7 @@ class Coder:
             two, one, none = table(longest % (a * a), a * a), table(longest % a, a), table(longest * 0, 1)
             bits[: len(contexts), :, j] = self._bits([three, two[contexts % (a * a)], one[contexts % a], none])
             bits[len(contexts) :, :, j] = self._bits([two, one[pairs % a], none])
-        self.bits, self.known = bits.reshape(-1, len(model.names)), len(contexts)
+        self.bits, self.known = bits.reshape(-1, len(own)), len(contexts)
 
     @staticmethod
     def _bits(orders: list[np.ndarray]) -> np.ndarray:
@@ -155,14 +168,15 @@ class Coder:
         return np.add.reduceat(self.bits[row * self.size + classes[at]], starts, axis=0, dtype=np.float64)
 
 
-@lru_cache(maxsize=2)
-def _coder(model: Model) -> Coder:
-    return Coder(model)
+@lru_cache(maxsize=1)
+def _coder(model: Model, first: int) -> Coder:
+    return Coder(model, first)
 
 
-def identify(model: Model):
+def identify(model: Model, spark: SparkSession):
     """A column function of text: struct of lang_pred, score and bits (code length of the text under lang_pred)."""
     names = model.names
+    sent = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("struct<lang_pred: string, score: double, bits: double>")
     def run(column):  # noqa: ANN001, ANN202
@@ -172,12 +186,16 @@ def identify(model: Model):
         n = len(texts)
         lang, score, bits = ["und"] * n, np.zeros(n), np.zeros(n)
         judged = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if names else []
-        for some in _parts(judged, texts):
-            lengths = _coder(model).code_lengths([texts[i].encode() for i in some])
+        lengths = np.zeros((n, len(names)))
+        for first in range(0, len(names) if judged else 0, BLOCK):
+            for some in _parts(judged, texts):
+                lengths[some, first : first + BLOCK] = _coder(sent.value, first).code_lengths([texts[i].encode() for i in some])
+        if judged:
+            lengths = lengths[judged]
             shortest = lengths.min(axis=1)
-            score[some] = 1 / np.exp2(np.maximum(shortest[:, None] - lengths, -1000)).sum(axis=1)
-            bits[some] = shortest
-            for i, b in zip(some, lengths.argmin(axis=1).tolist(), strict=True):
+            score[judged] = 1 / np.exp2(np.maximum(shortest[:, None] - lengths, -1000)).sum(axis=1)
+            bits[judged] = shortest
+            for i, b in zip(judged, lengths.argmin(axis=1).tolist(), strict=True):
                 lang[i] = names[b]
         return pd.DataFrame({"lang_pred": lang, "score": score, "bits": bits})
 
@@ -199,13 +217,13 @@ def _parts(rows: list[int], texts: list[str], most: int = 1 << 20) -> Iterator[l
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, bits."""
-    return docs.select("doc_id", identify(model)("text").alias("l")).select("doc_id", "l.*")
+    return docs.select("doc_id", identify(model, docs.sparkSession)("text").alias("l")).select("doc_id", "l.*")
 
 
 def keep(docs: DataFrame, sample: Sample = Sample(), least_score: float = 0.5, slack: float = 2.5) -> DataFrame:
     """The rows of docs, all columns, whose text is in one of the languages: by a score of at least least_score, and by
     bits a byte of at most slack times the language's median."""
-    found = identify(train(docs, sample))
+    found = identify(train(docs, sample), docs.sparkSession)
     usual = {r["lang"]: r["usual"] for r in _medians(docs, found).collect()}
     fits = F.lit(True)
     if usual:

@@ -1,16 +1,18 @@
 """Quality rules: base rules on counts, then robust multivariate outliers. A minimum-covariance-determinant estimate per
-language and source (per language where a source has too few documents) rejects documents whose transformed statistics
-lie too far by Mahalanobis distance. Only built-in functions.
-
-The estimate takes concentration steps from coordinate-wise medians: the nearest half of a group gives the next mean and
-covariance. Which half is read off a histogram of log distances, one row per group and bin, so each step is one
+language and source rejects documents whose transformed statistics lie too far by Mahalanobis distance. A group of fewer
+than min_group documents is judged by the estimate of its language, a language of so few by that of all documents (of any
+number), so every document that passes the base rules is judged. Only built-in functions.
+
+The estimate has three starts (distances from the medians in fixed units, from the medians in median absolute deviations,
+and by the mean and covariance of all). From each, concentration steps take the nearest half of a group, whose mean and
+covariance give the next distances, until no half changes or after `steps`; of all estimates the one of least determinant
+counts. Which half is read off a histogram of log distances, one row per group, start and bin, so each step is one
 aggregation with map-side sums over all documents, whatever the group's size. Statistics are whole multiples of 1/10000,
 so all sums are exact and no result depends on the order of rows.
 
-Defined results: a null or empty text has no words and fails the base rules; a null lang or source is a group of its
-own; groups under min_group documents at both levels reject nothing in op5 (`judge`, as its SQL states) and are judged among all
-documents in the pipeline (`keep`); repeated rows count as often as they occur; an
-empty table gives no rows; other columns are ignored."""
+Defined results: a null or empty text has no words and fails the base rules; a null lang or source is a group of its own;
+very long texts are counted whole; equal determinants go to the first start, and equal distances to the same half;
+repeated rows count as often as they occur; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -26,8 +28,10 @@ from quarry.llm.words import covered_by_repeats, words
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 UNIT = 10_000
-FEATURES = ("x1", "x2", "x3", "x4")
-PAIRS = [(a, b) for a in range(4) for b in range(a + 1)]
+FEATURES = ("x1", "x2", "x3", "x4", "x5")
+N = len(FEATURES)
+PAIRS = [(a, b) for a in range(N) for b in range(a + 1)]
+STARTS = 3
 
 
 @dataclass(frozen=True)
@@ -35,14 +39,16 @@ class QualityRules:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    #: Standard deviations added to every estimate: word length (log), symbols a word, share of capitals, repeated share.
-    floors: tuple[float, float, float, float] = (0.15, 0.03, 0.03, 0.06)
-    #: Makes the covariance of the nearest half of a four-dimensional normal that of the whole.
-    consistency: float = 2.11
-    #: Squared distance; a normal vector of four exceeds it once in a billion.
+    #: Standard deviations added to every estimate: word length (log), symbols a word (log), shares of capitals, of
+    #: repeated words and of repeated lines. Without them constant statistics would make every difference an outlier. Under
+    #: them a repeated line or two reject nothing; repeated words alone are left to the base rule.
+    floors: tuple[float, float, float, float, float] = (0.15, 0.03, 0.03, 0.06, 0.12)
+    #: Makes the covariance of the nearest half of a five-dimensional normal that of the whole.
+    consistency: float = 1.92
+    #: Squared distance; a normal vector of five exceeds it twice in a billion.
     cutoff: float = 49.0
     min_group: int = 50
-    steps: int = 3
+    steps: int = 6
     bins: int = 20
     #: Up to so many groups (one row each) their estimates are broadcast; beyond, joined by shuffle.
     broadcast_groups: int = 20_000
@@ -64,6 +70,7 @@ def statistics(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFra
             F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
             (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
+            F.size("q_lines").cast("long").alias("n_lines"),
             covered_by_repeats(F.col("q_keys"), rules.window).alias("n_repeat_words"),
             (F.length(whole) - F.length(F.translate(whole, CAPITALS, ""))).cast("long").alias("capitals"),
         ),
@@ -73,15 +80,15 @@ def statistics(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFra
 
 
 def _vector() -> dict[str, Column]:
-    n = F.greatest(F.col("q.n_words"), F.lit(1))
-    x = (F.log(F.greatest(F.col("q.word_chars"), F.lit(1)) / n), F.col("q.n_symbols") / n, F.col("q.capitals") / F.greatest(F.col("q.word_chars"), F.lit(1)), F.col("q.n_repeat_words") / n)
-    return {f: F.least(F.round(v * UNIT), F.lit(10 * UNIT)).cast("long") for f, v in zip(FEATURES, x, strict=True)}
+    n, chars = F.greatest(F.col("q.n_words"), F.lit(1)), F.greatest(F.col("q.word_chars"), F.lit(1))
+    x = (F.log(chars / n), F.log(1 + F.col("q.n_symbols") / n), F.col("q.capitals") / chars, F.col("q.n_repeat_words") / n, F.col("q.n_dup_lines") / F.greatest(F.col("q.n_lines"), F.lit(1)))
+    return {f: F.round(v * UNIT).cast("long") for f, v in zip(FEATURES, x, strict=True)}
 
 
 def _distance(prefix: str = "p") -> Column:
     """Squared, by forward substitution with the Cholesky factor in the struct."""
     y: list[Column] = []
-    for i in range(4):
+    for i in range(N):
         rest = F.col(FEATURES[i]) / UNIT - F.col(f"{prefix}.m{i}")
         for j in range(i):
             rest = rest - F.col(f"{prefix}.l{i}{j}") * y[j]
@@ -89,44 +96,43 @@ def _distance(prefix: str = "p") -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _bin(distance: Column, rules: QualityRules) -> Column:
-    return F.floor(rules.bins * F.log(F.least(distance, F.lit(1e9)) + 1e-3)).cast("long")
-
-
-def _factor(sums: DataFrame, rules: QualityRules) -> DataFrame:
-    """group and p: means and the Cholesky factor of the scaled covariance plus the floors."""
+def _factor(sums: DataFrame, consistency: float, rules: QualityRules) -> DataFrame:
+    """group, start, n, p (means and the Cholesky factor of the scaled covariance plus the floors) and its log determinant."""
     n = F.col("n").cast("double")
-    mean = [F.col(f"s{i}").cast("double") / n / UNIT for i in range(4)]
-    out = sums.select("group", *(mean[i].alias(f"m{i}") for i in range(4)), *(((F.col(f"s{a}{b}").cast("double") / n / UNIT / UNIT - mean[a] * mean[b]) * rules.consistency + (rules.floors[a] ** 2 if a == b else 0.0)).alias(f"c{a}{b}") for a, b in PAIRS))
-    for i in range(4):
+    mean = [F.col(f"s{i}").cast("double") / n / UNIT for i in range(N)]
+    floor = lambda a, b: rules.floors[a] ** 2 if a == b else 0.0
+    out = sums.select("group", "start", "n", *(mean[i].alias(f"m{i}") for i in range(N)), *(((F.col(f"s{a}{b}").cast("double") / n / UNIT / UNIT - mean[a] * mean[b]) * consistency + floor(a, b)).alias(f"c{a}{b}") for a, b in PAIRS))
+    for i in range(N):
+        made = {}
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
             for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("group", F.struct(*(f"m{i}" for i in range(4)), *(f"l{a}{b}" for a, b in PAIRS)).alias("p"))
+                rest = rest - made[k] * F.col(f"l{j}{k}") if j < i else rest - made[k] * made[k]
+            made[j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}")
+        out = out.withColumns({f"l{i}{j}": c for j, c in made.items()})
+    det = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, N)), F.log(F.col("l00")))
+    return out.select("group", "start", "n", F.struct(*(f"m{i}" for i in range(N)), *(f"l{a}{b}" for a, b in PAIRS)).alias("p"), F.round(det, 6).alias("det"))
 
 
-def _nearest_half(fit: DataFrame, distance: Column, rules: QualityRules) -> DataFrame:
-    """Sums over the histogram bins of each group up to the one that completes half of its documents."""
+def _sums() -> list[Column]:
     exact = lambda c: F.sum(c.cast("decimal(38,0)"))
-    by_bin = fit.withColumn("bin", _bin(distance, rules)).groupBy("group", "bin").agg(
-        F.count("*").alias("n"),
-        *(exact(F.col(FEATURES[i])).alias(f"s{i}") for i in range(4)),
-        *(exact(F.col(FEATURES[a]) * F.col(FEATURES[b])).alias(f"s{a}{b}") for a, b in PAIRS),
-    )
-    whole = W.partitionBy("group")
+    return [F.count("*").alias("n"), *(exact(F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)), *(exact(F.col(FEATURES[a]) * F.col(FEATURES[b])).alias(f"s{a}{b}") for a, b in PAIRS)]
+
+
+def _nearest_half(fit: DataFrame, distance: Column, rules: QualityRules) -> DataFrame:
+    """Sums over the histogram bins of each group and start up to the one that completes half of its documents."""
+    place = F.floor(rules.bins * F.log(distance + 1e-3)).cast("long")
+    by_bin = fit.withColumn("bin", place).groupBy("group", "start", "bin").agg(*_sums())
+    whole = W.partitionBy("group", "start")
     upto = by_bin.withColumns({"before": F.sum("n").over(whole.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(whole)})
     kept = upto.filter(2 * F.col("before") < F.col("all"))
-    return kept.groupBy("group").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(4)), *(f"s{a}{b}" for a, b in PAIRS))))
+    return kept.groupBy("group", "start").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(N)), *(f"s{a}{b}" for a, b in PAIRS))))
 
 
-def _medians(fit: DataFrame) -> DataFrame:
-    counts = fit.select("group", F.posexplode(F.array(*FEATURES)).alias("i", "x")).groupBy("group", "i", "x").agg(F.count("*").alias("n"))
-    whole = W.partitionBy("group", "i")
-    upto = counts.withColumns({"upto": F.sum("n").over(whole.orderBy("x")), "all": F.sum("n").over(whole)})
-    middle = upto.filter(2 * F.col("upto") >= F.col("all")).groupBy("group", "i").agg(F.min("x").alias("x"))
-    return middle.groupBy("group").agg(*(F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"med{i}") for i in range(4)))
+def _medians(fit: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """Exact, by one aggregation over counts of distinct values (whole numbers of a bounded range)."""
+    middle = lambda i: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY v{i})").cast("long").alias(f"{name}{i}")
+    return fit.select("group", *(v.alias(f"v{i}") for i, v in enumerate(values))).groupBy("group").agg(*(middle(i) for i in range(N)))
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -135,37 +141,57 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The kept rows of docs, all columns; documents of small groups are judged among all documents."""
-    return _judged(docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row")), rules, everywhere=True).filter("kept").select("row.*")
+    """The kept rows of docs, all columns."""
+    return _judged(docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row")), rules).filter("kept").select("row.*")
 
 
-def _judged(docs: DataFrame, rules: QualityRules, everywhere: bool = False) -> DataFrame:
+def _judged(docs: DataFrame, rules: QualityRules) -> DataFrame:
     keys = {"fine": F.to_json(F.struct("lang", "source")), "coarse": F.to_json(F.struct("lang"))}
     table = statistics(docs, rules).withColumns(keys).drop("text", "lang", "source")
-    return judged(written(table.withColumns(_vector()), "quality"), rules, everywhere)
-
-
-def judged(table: DataFrame, rules: QualityRules, everywhere: bool = False) -> DataFrame:
-    """Adds distance and kept to a written table of statistics. everywhere: all documents are one more group, of any
-    size, for those whose own groups are too small."""
-    levels = [F.concat(F.lit("f"), "fine"), F.concat(F.lit("c"), "coarse"), *([F.lit("a")] if everywhere else [])]
+    return judged(written(table.withColumns(_vector()), "quality"), rules)
+
+
+def estimates(fit: DataFrame, near_by, rules: QualityRules) -> DataFrame:  # noqa: ANN001
+    """group and p of least determinant. fit: group and features; near_by marks a small side of a join."""
+    middle = written(_medians(fit, [F.col(f) for f in FEATURES], "med"), "quality-medians")
+    off = fit.join(near_by(middle), "group")
+    spread = _medians(off, [F.abs(F.col(f) - F.col(f"med{i}")) for i, f in enumerate(FEATURES)], "mad")
+    middle = written(middle.join(spread, "group"), "quality-spread")
+    whole = _factor(fit.groupBy("group").agg(*_sums()).withColumn("start", F.lit(2)), 1.0, rules).select("group", "p")
+    begin = written(middle.join(whole, "group"), "quality-starts")
+    apart = lambda i, scale: ((F.col(FEATURES[i]) - F.col(f"med{i}")) / scale) ** 2
+    plain = [apart(i, UNIT * rules.floors[i]) for i in range(N)]
+    scaled = [apart(i, F.col(f"mad{i}") + UNIT * rules.floors[i]) for i in range(N)]
+    distances = F.array(*(sum(x[1:], x[0]) for x in (plain, scaled)), _distance())
+    each = fit.join(near_by(begin), "group").select("group", *FEATURES, F.posexplode(distances).alias("start", "far"))
+    params = written(_factor(_nearest_half(each, F.col("far"), rules), rules.consistency, rules), "quality-step")
+    known, starts = [params], F.array(*(F.lit(i) for i in range(STARTS)))
+    for _ in range(rules.steps - 1):
+        each = fit.withColumn("start", F.explode(starts)).join(near_by(params), ["group", "start"])
+        nearer = written(_factor(_nearest_half(each, _distance(), rules), rules.consistency, rules), "quality-step")
+        same = nearer.join(params.select("group", "start", F.col("n").alias("m"), F.col("det").alias("d")), ["group", "start"]).filter("m <> n OR d <> det").isEmpty()
+        params = nearer
+        known.append(params)
+        if same:
+            break
+    every = known[0].withColumn("step", F.lit(0))
+    for i, one in enumerate(known[1:], 1):
+        every = every.unionByName(one.withColumn("step", F.lit(i)))
+    return every.groupBy("group").agg(F.min_by("p", F.struct("det", "start", "step")).alias("p"))
+
+
+def judged(table: DataFrame, rules: QualityRules) -> DataFrame:
+    """Adds distance and kept to a written table of statistics."""
+    levels = [F.concat(F.lit("f"), "fine"), F.concat(F.lit("c"), "coarse"), F.lit("a")]
     fit = table.filter(~F.col("q.base_failed")).select(F.explode(F.array(*levels)).alias("group"), *FEATURES)
     sizes = fit.groupBy("group").agg(F.count("*").alias("size")).filter((F.col("size") >= rules.min_group) | (F.col("group") == "a")).select("group")
     sizes = written(sizes, "quality-groups")
     few = sizes.count() <= rules.broadcast_groups
     near_by = (lambda df: F.broadcast(df)) if few else (lambda df: df)  # so a group of very many documents stays where it is read
-    fit = fit.join(near_by(sizes), "group", "left_semi")
-    apart = lambda i: (F.col(FEATURES[i]) - F.col(f"med{i}")) / (UNIT * rules.floors[i])
-    start = sum((apart(i) * apart(i) for i in range(1, 4)), apart(0) * apart(0))
-    params = _factor(_nearest_half(fit.join(near_by(_medians(fit)), "group"), start, rules), rules)
-    for _ in range(rules.steps - 1):
-        params = written(params, "quality-step")
-        params = _factor(_nearest_half(fit.join(near_by(params), "group"), _distance(), rules), rules)
-    params = written(params, "quality-fit")
+    params = written(estimates(fit.join(near_by(sizes), "group", "left_semi"), near_by, rules), "quality-fit")
     near, wide = (params.select(F.substr("group", F.lit(2)).alias(k), F.col("p").alias(f"p_{k}")).filter(F.col("group").startswith(c)) for k, c in (("fine", "f"), ("coarse", "c")))
-    out = table.join(near_by(near), "fine", "left").join(near_by(wide), "coarse", "left").withColumn("p", F.coalesce("p_fine", "p_coarse"))
-    if everywhere:
-        whole = params.filter("group = 'a'").select(F.col("p").alias("p_all"))  # one row, none if nothing passes the base rules
-        out = out.join(F.broadcast(whole), F.lit(True), "left").withColumn("p", F.coalesce("p", "p_all"))
+    whole = params.filter("group = 'a'").select(F.col("p").alias("p_all"))  # one row, none if nothing passes the base rules
+    out = table.join(near_by(near), "fine", "left").join(near_by(wide), "coarse", "left").join(F.broadcast(whole), F.lit(True), "left")
     distance = F.when(~F.col("q.base_failed"), _distance())
-    return out.withColumn("distance", distance).withColumn("kept", ~F.col("q.base_failed") & (F.coalesce("distance", F.lit(0.0)) <= rules.cutoff))
+    out = out.withColumn("p", F.coalesce("p_fine", "p_coarse", "p_all")).withColumn("distance", distance)
+    return out.withColumn("kept", ~F.col("q.base_failed") & (F.col("distance") <= rules.cutoff))

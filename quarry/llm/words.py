@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACES, WORD_GAP
 
-#: Descending powers of two: the steps of a binary search over an array of up to 2^23 elements.
-STEPS = [1 << i for i in range(22, -1, -1)]
+#: Descending powers of two: the steps of a binary search over an array of any length.
+STEPS = [1 << i for i in range(30, -1, -1)]
 
 
 def words(text: Column) -> Column:
@@ -23,19 +23,14 @@ def bisect(sorted_array: Column, goes_on) -> Column:
 
 
 def covered_by_repeats(keys: Column, width: int) -> Column:
-    """How many elements lie in windows (one key each, in text order) that occur twice or more."""
-    return F.coalesce(_covered(keys, width), F.lit(0)).cast("long")
-
-
-def _covered(keys: Column, width: int) -> Column:
+    """How many elements lie in windows (one key each, in text order) that occur twice or more. The keys are sorted with
+    their places once; equal neighbours mark the places."""
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  evaluates value once
 
-    def with_sorted(s: Column) -> Column:
-        return let(F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))), with_twice)
-
-    def with_twice(twice: Column) -> Column:
-        seen = lambda x: F.get(twice, bisect(twice, lambda y: y <= x)) == x
-        at = F.filter(F.transform(keys, lambda x, i: F.when(F.coalesce(seen(x), F.lit(False)), i)), lambda i: i.isNotNull())
-        return let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width)))), F.lit(0), lambda a, b: a + b))
+    def of_sorted(s: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(s, i)["key"] == x["key"], F.lit(False))
+        twice = F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["at"]))
+        return let(twice, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width)))), F.lit(0), lambda a, b: a + b))
 
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(F.sort_array(keys), with_sorted))
+    placed = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("at"))))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(placed, of_sorted)).cast("long")

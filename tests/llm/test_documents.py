@@ -293,16 +293,13 @@ def test_code_lengths_equal_a_plain_model(spark):
     """The tables against escapes computed symbol by symbol."""
     model = langid.train(small(spark), langid.Sample(documents=5))
     coder = langid.Coder(model)
-    grams = np.frombuffer(model.grams, np.int64)
-    counts = np.frombuffer(model.counts, np.int32).reshape(len(grams), -1)
     a = coder.size
     contexts = [defaultdict(Counter) for _ in model.names]
-    for g, c in zip(grams.tolist(), counts.tolist(), strict=True):
-        run = (g // a**3, g // a**2 % a, g // a % a)
-        for j, n in enumerate(c):
+    for j in range(len(model.names)):
+        for g, n in zip(np.frombuffer(model.grams[j], np.int64).tolist(), np.frombuffer(model.counts[j], np.int32).tolist(), strict=True):
+            run = (g // a**3, g // a**2 % a, g // a % a)
             for o in range(4):
-                if n:
-                    contexts[j][run[3 - o :]][g % a] += n
+                contexts[j][run[3 - o :]][g % a] += n
     for text in ("The quick fox", "été à la", "日本", "x"):
         held = [0, 0, 0, *(int(coder.alphabet[b]) for b in text.encode())]
         expected = []
@@ -351,6 +348,24 @@ def test_language_stage_rejects_unlearned_languages(spark):
     assert {r["doc_id"] for r in df.join(labels.filter("quality = 1"), "doc_id").collect() if len(r["text"].split()) >= 20} <= kept
 
 
+def test_every_language_is_learned_however_many(spark):
+    """40 languages of invented words, one of them with long documents only, one with 3000 rows of a single id."""
+    rng = np.random.default_rng(6)
+    given, n = [], 0
+    for lang in range(40):
+        words = ["".join(chr(0x61 + c) for c in rng.integers(0, 26, rng.integers(2, 7))) for _ in range(12)]
+        for _ in range(12):
+            given.append((n, " ".join(rng.choice(words, 9000 if lang == 7 else 60)), f"l{lang:02d}"))
+            n += 1
+    given += [(5_000_001, f"{given[0][1]} {i % 7}", "l00") for i in range(3000)]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model.names) == 40 and sum(map(len, model.grams)) < 40 << 20
+    out = langid.predict(df.filter("doc_id < 5000000"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in out} == {k: lang for k, _, lang in given[:480]}
+    assert langid.Sample().of(40) == (400, 2097) and langid.Sample().of(50_000) == (1, 671)
+
+
 # op7
 
 
