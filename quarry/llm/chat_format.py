@@ -3,7 +3,8 @@ conversation into text segments with a loss flag each. Only built-in functions:
 
 Defined results: a null text or role is empty; rows of equal turn follow by role, then text; repeated rows are repeated
 turns; a null conv_id is a conversation of its own; a conversation that breaks the turn order is formatted all the same,
-with valid = false and the index of its first bad turn; an empty table gives no rows; other columns are ignored."""
+with valid = false and the index of its first bad turn; very long texts and conversations are one row each, as the result
+is; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -88,16 +89,18 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate()) -> Da
 
 
 def read_back(chats: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Parses formatted text and loss mask again: conv_id, turns array<struct<role, text>>, loss_text, formatted, valid,
-    first_bad_turn."""
+    """Parses the formatted text again and lays the loss mask, a flag for each of its segments, over it: conv_id, turns
+    array<struct<role, text>>, loss_text, formatted, valid, first_bad_turn."""
     body = F.split("formatted", F.lit(r"\Q" + template.turn_close + r"\E"))
     turn = lambda p: F.struct(
         unescape_role(F.substring_index(p, template.role_end, 1)).alias("role"),
         unescape(F.substr(p, F.length(F.substring_index(p, template.role_end, 1)) + len(template.role_end) + 1)).alias("text"),
     )
     cut = F.transform(F.slice(F.col("parts"), F.lit(1), F.size("parts") - 1), lambda p: F.substr(p, F.lit(len(template.turn_open) + 1)))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    return chats.withColumn("parts", body).select("conv_id", F.transform(cut, turn).alias("turns"), loss.alias("loss_text"), "formatted", "valid", "first_bad_turn")
+    read = chats.withColumn("parts", body).select("conv_id", F.transform(cut, turn).alias("turns"), F.col("segments.loss").alias("mask"), "formatted", "valid", "first_bad_turn")
+    segments = F.flatten(F.transform("turns", lambda t: F.array(F.lit(None).cast("string"), t["text"], F.lit(None).cast("string"))))  # marks are in no text
+    loss = F.array_join(F.filter(segments, lambda s, i: F.get("mask", i)), "")
+    return read.select("conv_id", "turns", loss.alias("loss_text"), "formatted", "valid", "first_bad_turn")
 
 
 def digest_chats(chats: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:

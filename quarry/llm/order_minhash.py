@@ -1,13 +1,17 @@
-"""Order MinHash fingerprints: word k-mers numbered by occurrence, the l smallest hashes of each bin kept in text order
-and hashed as a tuple, so that the share of equal tuples falls with edit distance. Only built-in functions.
+"""Order MinHash fingerprints: k-mers numbered by occurrence, the l smallest hashes of each bin kept in text order and
+hashed as a tuple, so that the share of equal tuples falls with edit distance. Only built-in functions.
+
+K-mers are runs of k units. A unit is a word; of a run of over LONGEST characters without white space (scripts without
+spaces, long tokens) the first LONGEST characters are a unit and each further character is one, so that an edit in such a
+run changes only the k-mers around it.
 
 One permutation serves all components: a hash deals the numbered k-mers to m bins and orders them in each. A text of n
-words costs two sorts of n integers inside its row; the result holds at most m entries. A fingerprint is its entries in
+units costs two sorts of n entries inside its row; the result holds at most m entries. A fingerprint is its entries in
 bin order, six hex digits each (two for the bin, four for the tuple). Likeness is the share of equal entries among the
 bins that either text fills.
 
 Defined results: a null text is empty; a text without words has an empty fingerprint, and two empty ones are alike (1.0);
-a text with fewer than k words is one k-mer; equal texts have equal fingerprints; past 2^23 words positions are tied;
+a text with fewer than k units is one k-mer; equal texts have equal fingerprints; very long texts are taken whole;
 with_next orders by doc_id (null first), then by text; repeated rows are documents of their own; the next document of the
 last is the first, of a single document itself; an empty table gives no rows; other columns are ignored."""
 
@@ -17,42 +21,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.common import partitions
+from quarry.llm.common import SPACES, WORD_GAP, partitions
 from quarry.llm.words import bisect, words
 
-PLACE = 23
-PLACES = (1 << PLACE) - 1
-HASH40, HASH34 = (1 << 40) - 1, (1 << 34) - 1
+LONGEST = 16
+INSIDE = "[^\\x20\\x09-\\x0D]"
+
+
+def units(text: Column) -> Column:
+    """Words, and the characters of long runs past their first LONGEST."""
+    bare = F.btrim(text, F.lit(SPACES))
+    cut = F.split(bare, f"{WORD_GAP}|(?<={INSIDE}{{{LONGEST}}})(?={INSIDE})")
+    return F.when(F.rlike(text, F.lit(f"{INSIDE}{{{LONGEST + 1}}}")), cut).otherwise(words(text))
 
 
 def add_fingerprint(df: DataFrame, text: str, out: str, k: int = 3, bins: int = 64, l: int = 2) -> DataFrame:  # noqa: E741
     """df with the entries (bin * 65536 + tuple hash) of the text column as array<bigint>."""
-    at = lambda i: F.least(i, F.lit(PLACES)).cast("long")
-    word = lambda i: F.get(F.col("_hashes"), i)
-    kmers = F.when(F.size("_hashes") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size("_hashes") - k, F.lit(0))), lambda i: F.xxhash64(*(word(i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_hashes", F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
-    df = df.withColumn("_sorted", F.sort_array(F.transform(kmers, lambda h, i: F.shiftleft(h.bitwiseAND(HASH40), PLACE).bitwiseOR(at(i)))))
+    unit = lambda i: F.get(F.col("_hashes"), i)
+    kmer = lambda i: F.struct(F.xxhash64(*(unit(i + j) for j in range(k))).alias("kmer"), i.alias("at"))
+    kmers = F.when(F.size("_hashes") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size("_hashes") - k, F.lit(0))), kmer)).otherwise(F.array().cast("array<struct<kmer:bigint,at:int>>"))
+    df = df.withColumn("_hashes", F.transform(units(F.col(text)), lambda w: F.xxhash64(w)))
+    df = df.withColumn("_sorted", F.sort_array(kmers))
 
     def numbered(x: Column, i: Column) -> Column:
-        """Hash of the k-mer and its occurrence number, which is the distance to the first equal k-mer in sorted order."""
-        kmer = F.shiftright(x, PLACE)
-        again = F.coalesce(F.shiftright(F.get(F.col("_sorted"), i - 1), PLACE) == kmer, F.lit(False))
-        first = bisect(F.col("_sorted"), lambda y: F.shiftright(y, PLACE) < kmer) + 1
-        h = F.xxhash64(kmer, F.when(again, i - first).otherwise(F.lit(0)))
-        bin_and_order = F.shiftleft(F.pmod(h, F.lit(bins)), 34).bitwiseOR(F.shiftrightunsigned(h, 20).bitwiseAND(HASH34))
-        return F.shiftleft(bin_and_order, PLACE).bitwiseOR(x.bitwiseAND(PLACES))
+        """Bin and order by the hash of the k-mer and its occurrence number, which is the distance to the first equal k-mer
+        in sorted order (searched for repeated ones only)."""
+        again = F.coalesce(F.get(F.col("_sorted"), i - 1)["kmer"] == x["kmer"], F.lit(False))
+        first = bisect(F.col("_sorted"), lambda y: y["kmer"] < x["kmer"]) + 1
+        h = F.xxhash64(x["kmer"], F.when(again, i - first).otherwise(F.lit(0)))
+        return F.struct(F.pmod(h, F.lit(bins)).alias("bin"), h.alias("hash"), x["at"].alias("at"))
 
     df = df.withColumn("_keyed", F.sort_array(F.transform("_sorted", numbered)))
-    of_bin = lambda x: F.shiftright(x, PLACE + 34)
-    least = F.filter("_keyed", lambda x, i: ~F.coalesce(of_bin(F.get(F.col("_keyed"), i - l)) == of_bin(x), F.lit(False)))
+    least = F.filter("_keyed", lambda x, i: ~F.coalesce(F.get(F.col("_keyed"), i - l)["bin"] == x["bin"], F.lit(False)))
     df = df.withColumn("_least", least)
 
     def entry(x: Column, i: Column) -> Column:
         """At the first k-mer of a bin: the bin and the hash of its l k-mers in text order."""
-        begins = ~F.coalesce(of_bin(F.get(F.col("_least"), i - 1)) == of_bin(x), F.lit(False))
-        own = F.filter(F.slice("_least", i + 1, F.lit(l)), lambda y: of_bin(y) == of_bin(x))
-        placed = F.array_sort(F.transform(own, lambda y: F.struct(y.bitwiseAND(PLACES).alias("at"), F.shiftright(y, PLACE).alias("kmer"))))
-        return F.when(begins, of_bin(x) * 65536 + F.pmod(F.xxhash64(F.transform(placed, lambda p: p["kmer"])), F.lit(65536)))
+        begins = ~F.coalesce(F.get(F.col("_least"), i - 1)["bin"] == x["bin"], F.lit(False))
+        own = F.filter(F.slice("_least", i + 1, F.lit(l)), lambda y: y["bin"] == x["bin"])
+        placed = F.array_sort(F.transform(own, lambda y: F.struct(y["at"].alias("at"), y["hash"].alias("hash"))))
+        return F.when(begins, x["bin"] * 65536 + F.pmod(F.xxhash64(F.transform(placed, lambda p: p["hash"])), F.lit(65536)))
 
     df = df.withColumn(out, F.filter(F.transform("_least", entry), lambda e: e.isNotNull()))
     return df.drop("_hashes", "_sorted", "_keyed", "_least")
@@ -68,24 +76,31 @@ def as_text(entries: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.lower(F.lpad(F.hex(e), 6, "0"))), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", ranges: int = 20_000) -> DataFrame:
-    """docs and `following`, a struct of the given columns of the next row by key. Rows are dealt to at most `ranges` key ranges; the first
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", most: int = 20_000) -> DataFrame:
+    """docs and `following`, a struct of the given columns of the next row by key, then by text. Rows are dealt to ranges of
+    the key; a key with so many rows that it would be a range of its own is cut into `sub` ranges of text hashes. The first
     row of each range is also sent to the range before, so no range needs to see more than its own rows."""
-    n = min(4 * partitions(docs.sparkSession), ranges)  # several ranges a partition, to even out their hashing
-    cuts = sorted({int(c) for c in docs.approxQuantile(key, [i / n for i in range(1, n)], 1 / (2 * n))})
+    n = min(4 * partitions(docs.sparkSession), most)  # several ranges a partition, to even out their hashing
+    sub = partitions(docs.sparkSession)
+    lowest = -(1 << 63)
+    placed = docs.withColumns({"_place": F.coalesce(F.col(key), F.lit(lowest)).cast("long"), "_hash": F.xxhash64("text")})
+    found = [int(c) for c in placed.approxQuantile("_place", [i / n for i in range(1, n)], 1 / (2 * n))] if n > 1 else []
+    crowded = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    cuts = sorted({*found, *crowded, *(c + 1 for c in crowded)})
     long_array = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs)).cast("array<bigint>")
-    place = F.coalesce(F.col(key), F.lit(-(1 << 63)).cast("long"))
-    ranged = docs.withColumns({"_place": place, "_range": bisect(long_array(cuts), lambda c: c <= F.col(key)) + 1})
-    firsts = sorted((r["first"], r["_range"]) for r in ranged.groupBy("_range").agg(F.min("_place").alias("first")).collect())  # a row a range
-    keys, of = [k for k, _ in firsts], [r for _, r in firsts]
-    at = bisect(long_array(keys), lambda c: c <= F.col("_place"))
-    sent = F.when(F.get(long_array(keys), at) == F.col("_place"), F.get(long_array(of[-1:] + of[:-1]), at)).cast("int")
+    within = F.when(F.array_contains(long_array(crowded), F.col("_place")), F.floor((F.shiftrightunsigned(F.col("_hash").bitwiseXOR(F.lit(lowest).cast("long")), 32) * sub) / float(1 << 32))).otherwise(F.lit(0))
+    ranged = placed.withColumn("_range", (bisect(long_array(cuts), lambda c: c <= F.col("_place")) + 1).cast("long") * sub + within.cast("long"))
+    firsts = ranged.groupBy("_range").agg(F.min(F.struct("_place", "_hash")).alias("first")).orderBy("_range").collect()  # a row a range
+    ranges = [r["_range"] for r in firsts]
+    at = bisect(long_array(ranges), lambda r: r <= F.col("_range"))
+    is_first = (F.get(long_array([r["first"]["_place"] for r in firsts]), at) == F.col("_place")) & (F.get(long_array([r["first"]["_hash"] for r in firsts]), at) == F.col("_hash"))
+    sent = F.when(is_first, F.get(long_array(ranges[-1:] + ranges[:-1]), at))  # the range before the first is the last
     own = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"), F.lit(False).alias("wrapped"))
-    guest = F.struct(sent.alias("range"), F.lit(True).alias("guest"), (F.col("_place") == (keys[0] if keys else 0)).alias("wrapped"))
+    guest = F.struct(sent.alias("range"), F.lit(True).alias("guest"), (F.col("_range") == (ranges[0] if ranges else 0)).alias("wrapped"))
     dealt = ranged.withColumn("_to", F.explode(F.filter(F.array(own, guest), lambda t: t["range"].isNotNull())))
-    order = W.partitionBy("_to.range").orderBy("_to.wrapped", "_to.guest", "_place", F.xxhash64("text"), "text")
+    order = W.partitionBy("_to.range").orderBy("_to.wrapped", "_to.guest", "_place", "_hash", "text")
     dealt = dealt.withColumn("following", F.lead(F.struct(*columns)).over(order))
-    return dealt.filter(~F.col("_to.guest")).drop("_place", "_range", "_to")
+    return dealt.filter(~F.col("_to.guest")).drop("_place", "_hash", "_range", "_to")
 
 
 def edited(text: Column, following: Column) -> Column:

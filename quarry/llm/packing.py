@@ -5,7 +5,7 @@ sequences at one offset. Pieces take their slots by an equi-join on (length, ran
 
 Ranks need no group in one task: pieces are dealt to buckets by hash, ranked within (bucket, length), and shifted by the
 counts of the buckets before. Texts are encoded once, by a library's merges, which give the tokenizer's ids; the written
-table of pieces cuts the lineage.
+table of pieces cuts the lineage. Pieces that tie in document, place and ids are the same piece, whichever takes a slot.
 
 Defined results: a null text is empty; every document ends with `end_id`, so an empty one is a piece of one token; of a
 document longer than `size` tokens the first piece takes what whole pieces leave over; repeated rows are packed each; an
@@ -109,7 +109,7 @@ def place(pieces: DataFrame, size: int) -> DataFrame:
     held = pieces.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     before = held.select("bucket", "length", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    order = W.partitionBy("bucket", "length").orderBy(*(c for c in ("doc_id", "piece", "start") if c in pieces.columns))
+    order = W.partitionBy("bucket", "length").orderBy(*(c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns))
     ranked = pieces.withColumn("rank", F.row_number().over(order) - 1).join(before, ["bucket", "length"])
     ranked = ranked.withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
     slots = _slots(spark, plan(counts, size)).hint("merge")  # a row a piece: never broadcast

@@ -397,7 +397,7 @@ def test_order_minhash_entries_equal_brute_force(spark):
     """Entries of the definition in Python, with Spark's hash of whole numbers."""
     from pyspark.sql import functions as F
 
-    texts = ["a b c a b c a b c d", "one", "", "x y", "the cat sat on the mat the cat sat on the mat again"]
+    texts = ["a b c a b c a b c d", "one", "", "x y", "the cat sat on the mat the cat sat on the mat again", "abcdefghijklmnopqrst uv", "日本語の文章には空白がないので一文字ずつ数える"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r["i"]: r["e"] for r in order_minhash.add_fingerprint(df, "t", "e", bins=8).collect()}
     cache = {}
@@ -408,16 +408,14 @@ def test_order_minhash_entries_equal_brute_force(spark):
         return cache[numbers]
 
     for i, t in enumerate(texts):
-        w = [xxhash.xxh64(x.encode(), 42).intdigest() for x in t.split()]
+        w = [xxhash.xxh64(x.encode(), 42).intdigest() for x in brute_units(t)]
         w = [x - (x >> 63 << 64) for x in w]
-        kmers = [h(*((x, "long") for x in w[j : j + 3])) & order_minhash.HASH40 for j in range(max(len(w) - 2, 1))] if w else []
+        kmers = [h(*((x, "long") for x in w[j : j + 3])) for j in range(max(len(w) - 2, 1))] if w else []
         bins, seen = defaultdict(list), Counter()
         for at, k in enumerate(kmers):
             v = h((k, "long"), (seen[k], "int"))
             seen[k] += 1
-            order = (v % (1 << 64)) >> 20 & order_minhash.HASH34
-            b = v % 8
-            bins[b].append(((b << 34 | order), at))
+            bins[v % 8].append((v, at))
         expected = []
         for b, found in sorted(bins.items()):
             two = sorted(sorted(found)[:2], key=lambda x: x[1])
@@ -426,6 +424,35 @@ def test_order_minhash_entries_equal_brute_force(spark):
         assert got[i] == expected
 
 
+def brute_units(text):
+    return [u for run in text.split() for u in [run[:16], *run[16:]]]
+
+
+def test_one_edit_changes_little_with_or_without_spaces(spark):
+    rng = np.random.default_rng(9)
+    dense = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 580))
+    spaced = " ".join(f"w{c}" for c in rng.integers(0, 900, 580))
+    for t in (dense, spaced):
+        edits = [t[:-1] + "x", "x" + t, t[:290] + "y" + t[290:], t[:300] + t[301:]]
+        df = spark.createDataFrame([(t, e) for e in edits], "t string, e string")
+        near = order_minhash.add_fingerprint(order_minhash.add_fingerprint(df, "t", "a"), "e", "b").select(order_minhash.likeness("a", "b").alias("n")).collect()
+        assert all(r["n"] >= 0.9 for r in near)
+    other = order_minhash.add_fingerprint(order_minhash.add_fingerprint(spark.createDataFrame([(dense, dense[290:] + dense[:290]), (dense, spaced)], "t string, e string"), "t", "a"), "e", "b")
+    near = [r["n"] for r in other.select(order_minhash.likeness("a", "b").alias("n")).collect()]
+    assert near[1] < 0.05 and near[0] < 0.9  # the order of parts counts
+
+
+def test_next_document_of_repeated_and_null_ids(spark, repeated):
+    many = spark.createDataFrame([(None if i % 3 else i % 50, f"text {i * 7919 % 600}") for i in range(600)], "doc_id long, text string").repartition(7)
+    for df in (many, repeated.select("doc_id", "text")):
+        given = [(r["doc_id"], r["h"], r["text"]) for r in df.selectExpr("doc_id", "xxhash64(text) h", "text").collect()]
+        given.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        expected = Counter((a[0], a[2], b[2]) for a, b in zip(given, given[1:] + given[:1], strict=True))
+        out = order_minhash.with_next(df, ["text"])
+        assert Counter((r["doc_id"], r["text"], r["following"]["text"]) for r in out.collect()) == expected
+        assert out.columns == ["doc_id", "text", "following"]
+
+
 # op8, op9
 
 

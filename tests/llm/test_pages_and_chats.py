@@ -41,12 +41,12 @@ def brute_verdict(url, rules):
     return host, path, best and best[3], best[4] if best else "allow"
 
 
-@pytest.mark.parametrize("most", [0, 100])
+@pytest.mark.parametrize("most", [0, 1 << 20])
 def test_urls_equal_brute_force(spark, most):
     rows = [(i, u, "x") for i, u in enumerate([*URLS, *URLS[5:9]])]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string").selectExpr("*", "'c' AS path", "'c' AS rule", "'c' AS digest")
     rules = url_filter.rules_frame(spark, RULES)
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules, broadcast_rules=most).collect()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules, broadcast_bytes=most).collect()}
     assert got == {i: brute_verdict(u, RULES) for i, u, _ in rows}
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
