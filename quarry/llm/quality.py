@@ -48,7 +48,7 @@ class QualityRules:
     #: Squared distance; a normal vector of five exceeds it twice in a billion.
     cutoff: float = 49.0
     min_group: int = 50
-    steps: int = 6
+    steps: int = 4
     bins: int = 20
     #: Up to so many groups (one row each) their estimates are broadcast; beyond, joined by shuffle.
     broadcast_groups: int = 20_000
@@ -85,48 +85,36 @@ def _vector() -> dict[str, Column]:
     return {f: F.round(v * UNIT).cast("long") for f, v in zip(FEATURES, x, strict=True)}
 
 
-def _distance(prefix: str = "p") -> Column:
-    """Squared, by forward substitution with the Cholesky factor in the struct."""
-    y: list[Column] = []
-    for i in range(N):
-        rest = F.col(FEATURES[i]) / UNIT - F.col(f"{prefix}.m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"{prefix}.l{i}{j}") * y[j]
-        y.append(rest / F.col(f"{prefix}.l{i}{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+def _with_distance(df: DataFrame, name: str = "far") -> DataFrame:
+    """df with the squared distance, by forward substitution with the Cholesky factor in the struct p."""
+    solved = [f"({f} / {UNIT} - p.m{i}" + "".join(f" - p.l{i}{j} * y{j}" for j in range(i)) + f") / p.l{i}{i} AS y{i}" for i, f in enumerate(FEATURES)]
+    return df.selectExpr("*", *solved, " + ".join(f"y{i} * y{i}" for i in range(N)) + f" AS {name}").drop(*(f"y{i}" for i in range(N)))
 
 
 def _factor(sums: DataFrame, consistency: float, rules: QualityRules) -> DataFrame:
     """group, start, n, p (means and the Cholesky factor of the scaled covariance plus the floors) and its log determinant."""
-    n = F.col("n").cast("double")
-    mean = [F.col(f"s{i}").cast("double") / n / UNIT for i in range(N)]
     floor = lambda a, b: rules.floors[a] ** 2 if a == b else 0.0
-    out = sums.select("group", "start", "n", *(mean[i].alias(f"m{i}") for i in range(N)), *(((F.col(f"s{a}{b}").cast("double") / n / UNIT / UNIT - mean[a] * mean[b]) * consistency + floor(a, b)).alias(f"c{a}{b}") for a, b in PAIRS))
+    said = [f"CAST(s{i} AS double) / n / {UNIT} AS m{i}" for i in range(N)]
     for i in range(N):
-        made = {}
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - made[k] * F.col(f"l{j}{k}") if j < i else rest - made[k] * made[k]
-            made[j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}")
-        out = out.withColumns({f"l{i}{j}": c for j, c in made.items()})
-    det = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, N)), F.log(F.col("l00")))
-    return out.select("group", "start", "n", F.struct(*(f"m{i}" for i in range(N)), *(f"l{a}{b}" for a, b in PAIRS)).alias("p"), F.round(det, 6).alias("det"))
+            said.append(f"(CAST(s{i}{j} AS double) / n / {UNIT} / {UNIT} - m{i} * m{j}) * {consistency}D + {floor(i, j)}D AS c{i}{j}")
+            rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            said.append(f"sqrt(greatest({rest}, 1e-12D)) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    parts = [*(f"m{i}" for i in range(N)), *(f"l{a}{b}" for a, b in PAIRS)]
+    det = " + ".join(f"ln(l{i}{i})" for i in range(N))
+    return sums.selectExpr("group", "start", "n", *said).selectExpr("group", "start", "n", f"struct({', '.join(parts)}) AS p", f"round({det}, 6) AS det")
 
 
-def _sums() -> list[Column]:
-    exact = lambda c: F.sum(c.cast("decimal(38,0)"))
-    return [F.count("*").alias("n"), *(exact(F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)), *(exact(F.col(FEATURES[a]) * F.col(FEATURES[b])).alias(f"s{a}{b}") for a, b in PAIRS)]
+#: Exact sums of the features and of their products.
+SUMS = ["count(*) AS n", *(f"sum(CAST({f} AS decimal(38,0))) AS s{i}" for i, f in enumerate(FEATURES)), *(f"sum(CAST({FEATURES[a]} * {FEATURES[b]} AS decimal(38,0))) AS s{a}{b}" for a, b in PAIRS)]
 
 
-def _nearest_half(fit: DataFrame, distance: Column, rules: QualityRules) -> DataFrame:
-    """Sums over the histogram bins of each group and start up to the one that completes half of its documents."""
-    place = F.floor(rules.bins * F.log(distance + 1e-3)).cast("long")
-    by_bin = fit.withColumn("bin", place).groupBy("group", "start", "bin").agg(*_sums())
-    whole = W.partitionBy("group", "start")
-    upto = by_bin.withColumns({"before": F.sum("n").over(whole.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(whole)})
-    kept = upto.filter(2 * F.col("before") < F.col("all"))
-    return kept.groupBy("group", "start").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(N)), *(f"s{a}{b}" for a, b in PAIRS))))
+def _nearest_half(fit: DataFrame, rules: QualityRules) -> DataFrame:
+    """Sums over the histogram bins of the distance `far` of each group and start up to the one that completes half of its
+    documents."""
+    by_bin = fit.withColumn("bin", F.expr(f"CAST(floor({rules.bins} * ln(far + 1e-3D)) AS long)")).groupBy("group", "start", "bin").agg(*map(F.expr, SUMS))
+    upto = by_bin.selectExpr("*", "sum(n) OVER (PARTITION BY group, start ORDER BY bin) - n AS before", "sum(n) OVER (PARTITION BY group, start) AS whole").filter("2 * before < whole")
+    return upto.groupBy("group", "start").agg(*(F.expr(f"sum({c}) AS {c}") for c in ("n", *(f"s{i}" for i in range(N)), *(f"s{a}{b}" for a, b in PAIRS))))
 
 
 def _medians(fit: DataFrame, values: list[Column], name: str) -> DataFrame:
@@ -157,18 +145,16 @@ def estimates(fit: DataFrame, near_by, rules: QualityRules) -> DataFrame:  # noq
     off = fit.join(near_by(middle), "group")
     spread = _medians(off, [F.abs(F.col(f) - F.col(f"med{i}")) for i, f in enumerate(FEATURES)], "mad")
     middle = written(middle.join(spread, "group"), "quality-spread")
-    whole = _factor(fit.groupBy("group").agg(*_sums()).withColumn("start", F.lit(2)), 1.0, rules).select("group", "p")
+    whole = _factor(fit.groupBy("group").agg(*map(F.expr, SUMS)).withColumn("start", F.lit(2)), 1.0, rules).select("group", "p")
     begin = written(middle.join(whole, "group"), "quality-starts")
-    apart = lambda i, scale: ((F.col(FEATURES[i]) - F.col(f"med{i}")) / scale) ** 2
-    plain = [apart(i, UNIT * rules.floors[i]) for i in range(N)]
-    scaled = [apart(i, F.col(f"mad{i}") + UNIT * rules.floors[i]) for i in range(N)]
-    distances = F.array(*(sum(x[1:], x[0]) for x in (plain, scaled)), _distance())
-    each = fit.join(near_by(begin), "group").select("group", *FEATURES, F.posexplode(distances).alias("start", "far"))
-    params = written(_factor(_nearest_half(each, F.col("far"), rules), rules.consistency, rules), "quality-step")
+    scale = lambda i, k: f"{UNIT * rules.floors[i]}D" + f" + mad{i}" * k
+    apart = [" + ".join(f"pow(({f} - med{i}) / ({scale(i, k)}), 2)" for i, f in enumerate(FEATURES)) for k in (0, 1)]
+    each = _with_distance(fit.join(near_by(begin), "group"), "d2").selectExpr("group", *FEATURES, f"posexplode(array({apart[0]}, {apart[1]}, d2)) AS (start, far)")
+    params = written(_factor(_nearest_half(each, rules), rules.consistency, rules), "quality-step")
     known, starts = [params], F.array(*(F.lit(i) for i in range(STARTS)))
     for _ in range(rules.steps - 1):
         each = fit.withColumn("start", F.explode(starts)).join(near_by(params), ["group", "start"])
-        nearer = written(_factor(_nearest_half(each, _distance(), rules), rules.consistency, rules), "quality-step")
+        nearer = written(_factor(_nearest_half(_with_distance(each), rules), rules.consistency, rules), "quality-step")
         same = nearer.join(params.select("group", "start", F.col("n").alias("m"), F.col("det").alias("d")), ["group", "start"]).filter("m <> n OR d <> det").isEmpty()
         params = nearer
         known.append(params)
@@ -192,6 +178,6 @@ def judged(table: DataFrame, rules: QualityRules) -> DataFrame:
     near, wide = (params.select(F.substr("group", F.lit(2)).alias(k), F.col("p").alias(f"p_{k}")).filter(F.col("group").startswith(c)) for k, c in (("fine", "f"), ("coarse", "c")))
     whole = params.filter("group = 'a'").select(F.col("p").alias("p_all"))  # one row, none if nothing passes the base rules
     out = table.join(near_by(near), "fine", "left").join(near_by(wide), "coarse", "left").join(F.broadcast(whole), F.lit(True), "left")
-    distance = F.when(~F.col("q.base_failed"), _distance())
-    out = out.withColumn("p", F.coalesce("p_fine", "p_coarse", "p_all")).withColumn("distance", distance)
+    out = _with_distance(out.withColumn("p", F.coalesce("p_fine", "p_coarse", "p_all")))
+    out = out.withColumn("distance", F.when(~F.col("q.base_failed"), F.col("far")))
     return out.withColumn("kept", ~F.col("q.base_failed") & (F.col("distance") <= rules.cutoff))
