@@ -25,6 +25,22 @@ class Settings:
         if self.upsert_batch <= 0 or self.rrf_k <= 0:
             raise ValueError("batch and k must be positive")
 
+    def today(self) -> str:
+        """The calendar day in the zone; of a zone that is not known, in UTC."""
+        from datetime import datetime, timezone
+        from zoneinfo import ZoneInfo
+
+        try:
+            zone = ZoneInfo(self.zone)
+        except (KeyError, ValueError, OSError):
+            zone = timezone.utc
+        return datetime.now(zone).date().isoformat()
+
+    @staticmethod
+    def of(mode: str = "hybrid", **others) -> Settings:  # noqa: ANN003
+        """Settings with the mode as it is written in a configuration (case and space aside)."""
+        return Settings(mode=mode.strip().lower(), **others)
+
     @property
     def depth(self) -> int:
         """How many candidates each strategy returns."""

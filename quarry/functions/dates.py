@@ -88,7 +88,7 @@ def resolve_phrase(phrase: Column, today: Column) -> Column:
 
 
 def _resolve(p: Column, today: Column) -> Column:
-    count, unit = F.regexp_extract(p, r"^([0-9]{1,4}) (day|week|month)s? ago$", 1), F.regexp_extract(p, r"^([0-9]{1,4}) (day|week|month)s? ago$", 2)
+    count, unit = F.regexp_extract(p, r"^([0-9]{1,4}) (day|week|month|year)s? ago$", 1), F.regexp_extract(p, r"^([0-9]{1,4}) (day|week|month|year)s? ago$", 2)
     n = F.nullif(count, F.lit("")).cast("int")
     named = r"^([a-z]+) ([0-9]{1,2})(?:,? ([0-9]{4}))?$"
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(p, named, 1)).cast("int")
@@ -102,6 +102,7 @@ def _resolve(p: Column, today: Column) -> Column:
         .when(unit == "day", F.date_sub(today, n))
         .when(unit == "week", F.date_sub(today, n * 7))
         .when(unit == "month", F.add_months(today, -n))
+        .when(unit == "year", F.add_months(today, -12 * n))
         .when(p.isin("this week", "this month"), today)
         .when(p == "last week", F.date_sub(today, 7))
         .when(p == "last month", F.add_months(today, -1))

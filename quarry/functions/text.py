@@ -98,6 +98,7 @@ def point_id(chunk_id: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Split at white space after . ! ? and before a capital, quote or bracket, but not after a capital with one or two
-    small letters and a full stop."""
-    return F.split(text, r'(?<![A-Z][a-z]\.)(?<![A-Z][a-z][a-z]\.)(?<=[.!?])\s+(?=[A-Z"(\[])')
+    """Split at white space (of any script) after . ! ? and before a capital, quote or bracket, but not after a capital with
+    one or two small letters and a full stop."""
+    # Fixed value: where a sentence ends.
+    return F.split(text, rf'(?<![A-Z][a-z]\.)(?<![A-Z][a-z][a-z]\.)(?<=[.!?]){SPACE}+(?=[A-Z"(\[])')

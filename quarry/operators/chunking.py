@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import SPACE, let, sentences, strip, words
 
 MAX_WORDS = 250
+# Fixed value: what a heading line looks like.
 HEADING = rf"(?s)^#{{1,3}}{SPACE}+.+\z"
 PACKED = "struct<n: int, held: string, out: array<string>>"
 

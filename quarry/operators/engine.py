@@ -1,42 +1,57 @@
-"""Search as one pipeline over a table of requests: strategies, fusion, reranking, cap."""
+"""Search as one pipeline over a table of requests: an analyzer turns queries into semantic text and filters, strategies
+rank, fusion and reranking follow. Each request has its own filters."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quarry.config import Settings
-from quarry.operators import bm25, fusion, vectors
+from quarry.operators import bm25, fusion, models, vectors
 from quarry.operators.predicates import Filter, compile_filters
+from quarry.operators.requests import DEFAULT_FIELDS, Field, parse_queries
+
+Analyzer = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Engine:
-    """chunks: chunk_id (long), content, properties and others; embeddings: chunk_id, embedding; index: a BM25 index."""
+    """chunks: chunk_id (long), content, properties and others; embeddings: chunk_id, embedding; index: a BM25 index (or a
+    callable that loads one when it is first needed); analyzer: from query_id, text to query_id, semantic_query, filters;
+    encode: texts to vectors, for requests without given ones."""
 
     chunks: DataFrame
     settings: Settings = Settings()
     embeddings: DataFrame | None = None
-    index: bm25.Index | None = None
+    index: bm25.Index | Callable[[], bm25.Index] | None = None
+    analyzer: Analyzer = parse_queries
+    encode: models.Encoder = models.hashed_tokens
+
+    def ask(self, queries: DataFrame, query_vectors: DataFrame | None = None, score: Column | None = None) -> DataFrame:
+        """search() of what the analyzer makes of query_id and text."""
+        return self.search(self.analyzer(queries), query_vectors, score)
 
-    def search(self, queries: DataFrame, query_vectors: list[tuple[int, list[float]]] | None = None, filters: list[Filter] | None = None, score: Column | None = None) -> DataFrame:
-        """query_id, fused_rank, chunk_id, score and the chunk, at most settings.sources a query. queries: query_id, text;
-        filters hold for all; score replaces the fused order where reranking is on."""
+    def search(self, requests: DataFrame, query_vectors: DataFrame | None = None, score: Column | None = None) -> DataFrame:
+        """query_id, fused_rank, chunk_id, score and the chunk, at most settings.sources a request. requests: query_id,
+        semantic_query and, if any has some, filters (array<struct<field, operator, value or values>>). query_vectors:
+        query_id and embedding. A request without semantic text ranks by its filters alone (by chunk_id, score 0).
+        score replaces the fused order where reranking is on."""
+        sets, asked = _filter_sets(requests)
         depth, lists = self.settings.depth, []
         if self.settings.mode in ("vector", "hybrid"):
             if self.embeddings is None:
                 raise ValueError("vector search needs embeddings")
-            rows = self.embeddings.join(self._passing(filters, "index"), "chunk_id", "left_semi") if filters else self.embeddings
-            lists.append(vectors.search(rows, query_vectors or [], depth))
+            lists.append(self._dense(asked, sets, query_vectors, depth))
         if self.settings.mode in ("bm25", "hybrid"):
             if self.index is None:
                 raise ValueError("lexical search needs an index")
-            found = bm25.scores(self.index, queries)
-            if filters:
-                found = found.join(self._passing(filters, "memory"), "chunk_id", "left_semi")
-            lists.append(bm25.top_k(found, depth))
+            index = self.index() if callable(self.index) else self.index
+            lists.append(bm25.top_k(self._passing(bm25.scores(index, asked, "semantic_query"), asked, sets, "memory"), depth))
         whole = None
         for i, one in enumerate(lists):
             part = one.select("query_id", F.lit(i).alias("strategy"), "rank", "chunk_id", "score")
@@ -44,10 +59,81 @@ class Engine:
         fused = fusion.reciprocal_rank(whole, self.settings.rrf_k) if len(lists) > 1 else fusion.concatenated(whole).drop("strategy", "rank")
         out = fused.join(self.chunks, "chunk_id")
         if self.settings.rerank:
-            asked = out.withColumn("rank", F.col("fused_rank")).join(queries.withColumnRenamed("text", "question"), "query_id")
+            ranked = out.withColumn("rank", F.col("fused_rank")).join(asked.select("query_id", F.col("semantic_query").alias("question")), "query_id")
             scored = score if score is not None else fusion.overlap_score(F.col("question"), F.col("content"))
-            out = fusion.rerank(asked, scored, self.settings.pool, self.settings.top_n).drop("rank", "fused_rank", "question").withColumnRenamed("new_rank", "fused_rank")
+            out = fusion.rerank(ranked, scored, self.settings.pool, self.settings.top_n).drop("rank", "fused_rank", "question").withColumnRenamed("new_rank", "fused_rank")
         return out.filter(F.col("fused_rank") <= self.settings.sources)
 
-    def _passing(self, filters: list[Filter], mode: str) -> DataFrame:
-        return self.chunks.filter(compile_filters(filters, mode, self.chunks.columns)).select("chunk_id")
+    def _conditions(self, sets: list[list[Filter]], mode: str) -> list[Column]:
+        return [compile_filters(s, mode, self.chunks.columns) for s in sets]
+
+    def _dense(self, asked: DataFrame, sets: list[list[Filter]], query_vectors: DataFrame | None, depth: int) -> DataFrame:
+        blank = F.trim(F.coalesce("semantic_query", F.lit(""))) == ""
+        spoken = asked.filter(~blank)
+        if query_vectors is None:
+            texts = spoken.select(F.col("query_id").alias("chunk_id"), F.col("semantic_query").alias("text"))
+            query_vectors = models.embed(texts, self.encode).withColumnRenamed("chunk_id", "query_id")
+        wanted = query_vectors.select("query_id", "embedding").join(spoken.select("query_id", "filter_set"), "query_id")
+        rows = self.embeddings.select("chunk_id", "embedding")
+        if sets:
+            rows = rows.join(self.chunks.drop("embedding"), "chunk_id")
+        found = vectors.search(rows, wanted, depth, self._conditions(sets, "index"))
+        return found.unionByName(self._by_filters(asked.filter(blank), sets, depth))
+
+    def _by_filters(self, asked: DataFrame, sets: list[list[Filter]], depth: int) -> DataFrame:
+        """The first chunks of each filter set, then of the requests that have it."""
+        held = self.chunks.select("chunk_id", F.explode(F.array(F.lit(-1), *(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(self._conditions(sets, "index"))))).alias("filter_set"))
+        first = held.filter("filter_set IS NOT NULL").withColumn("rank", F.row_number().over(W.partitionBy("filter_set").orderBy("chunk_id"))).filter(F.col("rank") <= depth)
+        return asked.select("query_id", "filter_set").join(first, "filter_set").select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.lit(0.0).alias("score"), "rank")
+
+    def _passing(self, found: DataFrame, asked: DataFrame, sets: list[list[Filter]], mode: str) -> DataFrame:
+        """The rows whose chunk passes the filters of their request."""
+        if not sets:
+            return found
+        passed = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(self._conditions(sets, mode)))), lambda x: x.isNotNull())
+        of_chunk = self.chunks.select("chunk_id", passed.alias("passed"))
+        both = found.join(asked.select("query_id", "filter_set"), "query_id").join(of_chunk, "chunk_id")
+        return both.filter((F.col("filter_set") < 0) | F.array_contains("passed", F.col("filter_set"))).select(*found.columns)
+
+
+def _filter_sets(requests: DataFrame) -> tuple[list[list[Filter]], DataFrame]:
+    """The distinct filter lists of the requests, and the requests with the index of theirs (-1: none). Requests often share
+    their filters, so the lists are few; they become conditions of the plan."""
+    if "filters" not in requests.columns:
+        return [], requests.withColumn("filter_set", F.lit(-1))
+    keyed = requests.withColumn("_key", F.when(F.size("filters") > 0, F.to_json("filters")))
+    keys = sorted(r["_key"] for r in keyed.select("_key").filter("_key IS NOT NULL").distinct().collect())
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, keys)).cast("array<string>"), F.col("_key")).cast("int") - 1, F.lit(-1))
+    return [[_filter(f) for f in json.loads(k)] for k in keys], keyed.withColumn("filter_set", place).drop("_key", "filters")
+
+
+def _filter(said: dict) -> Filter:
+    value = said.get("values", said.get("value"))
+    if isinstance(value, list) and len(value) == 1:
+        value = value[0]
+    if said.get("type") == "boolean" and isinstance(value, str):
+        value = value == "true"
+    elif said.get("type") == "number":
+        value = [float(v) for v in value] if isinstance(value, list) else float(value)
+    return Filter(said["field"], said["operator"], value)
+
+
+def build_engine(chunks: DataFrame, settings: Settings, embeddings: DataFrame | None = None, index=None, fields: DataFrame | None = None, schema: DataFrame | None = None, intent: Callable[[DataFrame], DataFrame] | None = None, today: str | None = None) -> Engine:  # noqa: ANN001
+    """The engine that the settings ask for. fields: names of indexed properties (name, multi), from which the field syntax
+    is learned (the defaults if there are none). intent: from query_id, text to query_id, answer of a model; it is asked
+    only if settings.intent is on and there is a schema."""
+    from quarry.operators.requests import analyze
+
+    known = DEFAULT_FIELDS if fields is None else registry_fields(fields) or DEFAULT_FIELDS
+    analyzer: Analyzer = lambda queries: parse_queries(queries, known)
+    if settings.intent and schema is not None and intent is not None and not schema.isEmpty():
+        analyzer = lambda queries: analyze(queries, intent(queries), known, schema, today or settings.today())
+    return Engine(chunks, settings, embeddings, index, analyzer)
+
+
+def registry_fields(fields: DataFrame) -> tuple[Field, ...]:
+    """Fields of the syntax from indexed names: one row a property name, so a small table."""
+    from quarry.operators.schema import registry
+
+    rows = registry(fields).groupBy("canonical").agg(F.sort_array(F.collect_set("surface")).alias("surfaces"), F.max("kind").alias("kind"), F.max("multi").alias("multi")).orderBy("canonical").collect()
+    return tuple(Field(r["canonical"], tuple(r["surfaces"]), "date" if r["kind"] == "date" else "text", r["multi"]) for r in rows)

@@ -12,9 +12,15 @@ from quarry.functions.text import decamel, slug
 CASE_SCHEMA = "id string, query string, category string, expected_documents array<string>, expected_chunks array<string>"
 
 
-def read_cases(spark, path: str) -> DataFrame:
-    """Cases of a JSON list; unknown keys are ignored, a case without id or query or a repeated id is refused."""
-    cases = spark.read.schema(CASE_SCHEMA).option("multiLine", True).json(path)
+def write_cases(cases: DataFrame, path: str) -> None:
+    """A file of JSON lines a task; a null category and other nulls are left out."""
+    cases.select("id", "query", "category", "expected_documents", "expected_chunks").write.mode("overwrite").json(path)
+
+
+def read_cases(spark, path: str, lines: bool = False) -> DataFrame:
+    """Cases of one JSON list, or of JSON lines; unknown keys are ignored, a case without id or query or a repeated id is
+    refused."""
+    cases = spark.read.schema(CASE_SCHEMA).option("multiLine", not lines).json(path)
     wrong = F.col("id").isNull() | (F.trim("id") == "") | F.col("query").isNull() | (F.trim("query") == "")
     once = F.count("*").over(W.partitionBy("id")) == 1
     refuse = lambda said: F.raise_error(F.lit(said))
@@ -84,6 +90,7 @@ def highlights(judged: DataFrame, k: int = 5) -> DataFrame:
 # Generating cases from the corpus
 
 
+# Titles that are no topic.
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -145,3 +152,60 @@ def table_text(df: DataFrame, markdown: bool = False, most: int = 200) -> str:
         return "\n".join([lines[0], "|" + " --- |" * len(rows[0]), *lines[1:]])
     width = [max(len(r[i]) for r in rows) for i in range(len(rows[0]))]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in rows)
+
+
+def performance_table(judged: DataFrame, timings: DataFrame, markdown: bool = False, k: int = 5) -> str:
+    """One row a mode: recall at k, MRR and mean latency. timings: mode, stage, ms (one row a run and stage, `total` too)."""
+    whole = metrics(judged, "mode", ks=(k,)).select("mode", f"recall_{k}", "mrr")
+    total = timings.filter("stage = 'total'").groupBy("mode").agg(F.avg("ms").alias("avg_latency_ms"))
+    out = whole.join(total, "mode", "left").orderBy("mode")
+    return table_text(out, markdown) if not judged.isEmpty() else "(no runs)"
+
+
+def latency_table(timings: DataFrame, markdown: bool = False) -> str:
+    """Mean milliseconds of each stage (columns, in the order of the pipeline) for each mode; - where a mode lacks one."""
+    if timings.isEmpty():
+        return "(no runs)"
+    known = {r["stage"] for r in timings.select("stage").distinct().collect()}  # a handful of stage names
+    stages = [s for s in STAGES if s in known] + sorted(known - set(STAGES))
+    out = timings.groupBy("mode").pivot("stage", stages).agg(F.round(F.avg("ms"), 1)).orderBy("mode")
+    return table_text(out.select("mode", *(F.coalesce(F.col(s).cast("string"), F.lit("-")).alias(s) for s in stages)), markdown)
+
+
+STAGES = ("analysis", "vector", "bm25", "fusion", "rerank", "total")
+
+
+def report(cases: DataFrame, judged: DataFrame, k: int = 5, most: int = 200, title: str = "RETRIEVAL EVALUATION REPORT") -> str:
+    """Overall metrics, a block for each of the first `most` cases of each mode, and the problem cases."""
+    ks = tuple(int(c.removeprefix("found_")) for c in judged.columns if c.startswith("found_"))
+    overall = metrics(judged, "mode", ks=ks).orderBy("mode").collect()
+    said = status(F.col("first_rank"), k)
+    shown = judged.join(cases.select("case_id", "query", "expected"), "case_id").withColumn("status", said).orderBy("mode", "case_id").limit(most).collect()
+    line, thin = "=" * 72, "-" * 72
+    out = [line, title, line]
+    for r in overall:
+        out += [f"{r['mode']}: {r['cases']} queries", *(f"  {c:<12} {r[c]:.4f}" for c in (*(f"recall_{n}" for n in ks), "mrr")), thin]
+    for r in shown:
+        passed = "PASS" if r["status"] == "pass" else "FAIL"
+        rank = "none" if r["first_rank"] is None else r["first_rank"]
+        out += [f"[{passed}] {r['mode']} {r['case_id']} ({r['category']})", f"  query: {r['query']}", f"  expected: {r['expected']}", f"  first relevant rank: {rank}", ""]
+    for r in highlights(judged, k).orderBy("mode").collect():
+        out.append(f"{r['mode']}: {r['failed']} failed, {r['outside']} past the first {k}, {r['not_found']} not found")
+    return "\n".join([*out, line])
+
+
+def generation_report(answers: DataFrame, context: DataFrame, most: int = 200) -> str:
+    """Markdown of the first `most` queries: answer, sources, citations and how long the answer took. answers: query_id,
+    text, answer, generation_ms; context: query_id, reference_id, title, content."""
+    from quarry.functions.text import report_snippet
+    from quarry.operators.context import reference_ids
+
+    sources = context.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("reference_id", "title", report_snippet(F.col("content")).alias("snippet")))).alias("sources"))
+    rows = answers.withColumn("said", F.array_distinct(reference_ids(F.col("answer")))).join(sources, "query_id", "left").orderBy("query_id").limit(most).collect()
+    out = []
+    for r in rows:
+        known = [s["reference_id"] for s in r["sources"] or []]
+        good, bad = [i for i in r["said"] if i in known], [i for i in r["said"] if i not in known]
+        out += [f"## {r['text']}", "", r["answer"], "", f"- generation: {r['generation_ms']:.0f} ms", f"- citations: {good}", f"- dropped: {bad}", ""]
+        out += [f"{s['reference_id']}. **{s['title']}**: {s['snippet']}" for s in r["sources"] or []] + [""]
+    return "\n".join(out)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions.dates import iso_date
 from quarry.functions.text import strip
 
+# Operator names and the fields that are columns of their own.
 OPERATORS = ("equals", "contains", "gt", "gte", "lt", "lte", "between")
 RANGES = ("gt", "gte", "lt", "lte", "between")
 SYSTEM_FIELDS = ("last_edited_time", "created_time")

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.functions.dates import normalize_date_token
+from quarry.functions.dates import normalize_date_token, temporal_bounds
 from quarry.functions.text import clean_value, collapse, let, strip, surface_key
+from quarry.operators.schema import validate_filters
 
 HEAD, MID = "\x01", "\x02"
 DATE_TOKEN = r"\b[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}\b"
@@ -112,16 +113,45 @@ def intent_prompt(question: Column, schema_json: Column, today: str) -> tuple[Co
     return F.lit(system), F.concat(F.lit("Schema:\n"), schema_json, F.lit("\n\nQuestion: "), question)
 
 
-def analyze(queries: DataFrame, answers: DataFrame | None, fields: tuple[Field, ...] = DEFAULT_FIELDS) -> DataFrame:
-    """query_id, semantic_query, filters (rule filters, then the model's). answers: query_id, answer of a model; a query
+def analyze(queries: DataFrame, answers: DataFrame | None, fields: tuple[Field, ...] = DEFAULT_FIELDS, schema: DataFrame | None = None, today: str | None = None, authored: str = "last_edited_time") -> DataFrame:
+    """query_id, semantic_query, filters (array<struct<field, operator, values, type>>: the rule filters, then the
+    model's). answers: query_id, answer of a model. The model's filters come through only as far as the schema validates
+    them (all do, untyped, if none is given), its temporal part becomes a between filter on the authored time; a query
     without a usable answer keeps its rule result."""
+    kind = "array<struct<field:string,operator:string,values:array<string>,type:string>>"
     ruled = parse_queries(queries, fields)
+    ruled = ruled.withColumn("filters", F.transform("filters", lambda f: F.struct(f["field"].alias("field"), f["operator"].alias("operator"), F.array(f["value"]).alias("values"), F.lit("string").alias("type"))))
     if answers is None:
         return ruled.select("query_id", "semantic_query", "filters")
     both = ruled.join(answers, "query_id", "left").withColumn("intent", parse_intent(F.col("answer"), F.col("text")))
-    mine = F.transform("filters", lambda f: f["field"])
-    new = F.filter(F.coalesce("intent.filters", F.array().cast("array<struct<field:string,operator:string,value:string>>")), lambda f: ~F.array_contains(mine, f["field"]))
-    fields_of = F.transform(new, lambda f: f["field"])
-    first = F.filter(new, lambda f, i: F.array_position(fields_of, f["field"]) == i + 1)
+    said = both.select("query_id", "text", F.posexplode("intent.filters").alias("pos", "f")).select(
+        "query_id", "text", "pos", F.col("f.field").alias("field"), F.col("f.operator").alias("operator"), _values(F.col("f.value")).alias("values"))
+    if schema is not None:
+        day = F.lit(today).cast("date") if today else F.current_date()
+        has_year = F.rlike("text", F.lit("[0-9]{4}"))
+        keyed = said.withColumn("id", F.struct("query_id", "pos")).withColumn("keep_year", has_year)
+        typed = validate_filters(keyed.select("id", "field", "operator", "values", "keep_year"), schema, day)
+        said = typed.join(schema.select(F.col("name").alias("field"), "type"), "field").select("id.query_id", "id.pos", "field", "operator", "values", "type")
+    else:
+        said = said.select("query_id", "pos", "field", "operator", "values", F.lit("string").alias("type"))
+    item = F.struct("pos", F.struct("field", "operator", "values", "type").alias("f"))
+    mine = said.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["f"]).cast(kind).alias("proposed"))
+    both = both.join(mine, "query_id", "left").withColumn("proposed", F.coalesce("proposed", F.array().cast(kind)))
+    if today:
+        bounds = temporal_bounds(F.col("intent.temporal.kind"), F.col("intent.temporal.unit"), F.col("intent.temporal.anchor"), F.col("text"), F.lit(today).cast("date"))
+        others = F.filter("proposed", lambda f: ~f["field"].isin(authored, "date"))
+        span = F.struct(F.lit(authored).alias("field"), F.lit("between").alias("operator"), F.array("bounds.low", "bounds.high").alias("values"), F.lit("date").alias("type"))
+        both = both.withColumn("bounds", bounds).withColumn("proposed", F.when(F.col("bounds").isNotNull(), F.concat(others, F.array(span))).otherwise(F.col("proposed")))
+    ruled_fields = F.transform("filters", lambda f: f["field"])
+    new = F.filter("proposed", lambda f: ~F.array_contains(ruled_fields, f["field"]))
+    both = both.withColumn("new", new)
+    names = F.transform("new", lambda f: f["field"])
+    first = F.filter("new", lambda f, i: F.array_position(names, f["field"]) == i + 1)
     semantic = merge_semantic(F.size("filters") > 0, F.col("semantic_query"), F.coalesce("intent.semantic_query", F.lit("")))
     return both.select("query_id", semantic.alias("semantic_query"), F.concat("filters", first).alias("filters"))
+
+
+def _values(value: Column) -> Column:
+    """A JSON list of texts, or one text."""
+    listed = F.from_json(F.when(F.startswith(F.trim(value), F.lit("[")), value), "array<string>")
+    return F.coalesce(listed, F.array(value))

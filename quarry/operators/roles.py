@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import camel_case, strip, words
@@ -80,3 +81,13 @@ def merge_semantic(content: Column, semantic: Column) -> Column:
     said = F.filter(semantic, lambda x: strip(x["text"]) != "")
     sections = F.array_join(F.transform(said, lambda x: F.concat(F.lit("## "), x["label"], F.lit("\n\n"), strip(x["text"]))), "\n\n")
     return F.when(F.size(said) == 0, content).when(strip(content) == "", sections).otherwise(F.concat_ws("\n\n", content, sections))
+
+
+def read_overrides(spark: SparkSession, path: str) -> dict[str, str]:
+    """Roles by property name from a JSON object (or its `roles`); a file that is missing or malformed gives none."""
+    try:
+        rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("all"), F.from_json(F.get_json_object("value", "$.roles"), "map<string,string>").alias("roles")).collect()
+    except AnalysisException:
+        return {}
+    found = next(((r["roles"] or r["all"]) for r in rows if r["roles"] or r["all"]), None) or {}
+    return {k: v for k, v in found.items() if k and isinstance(v, str)}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -84,3 +85,37 @@ def validate_filters(proposed: DataFrame, schema: DataFrame, today: Column) -> D
     good = F.filter("typed", lambda v: v.isNotNull())
     known = known.withColumn("typed", F.when(token != "between", good).when((F.size("typed") == 2) & (F.size(good) == 2), F.col("typed")))
     return known.filter(F.size("typed") > 0).select("id", "field", by_type(token, OPERATOR_NAMES).alias("operator"), F.col("typed").alias("values"))
+
+
+def field(schema: DataFrame, name: str) -> DataFrame:
+    """The field of that name, or no row."""
+    return schema.filter(F.col("name") == name).limit(1)
+
+
+def supports(schema: DataFrame, name: str, operator: str) -> bool:
+    return not field(schema, name).filter(F.array_contains("operators", operator)).isEmpty()
+
+
+SCHEMA = "struct<fields: array<struct<name: string, type: string, operators: array<string>, multi: boolean, description: string>>>"
+
+
+def write_schema(schema: DataFrame, path: str) -> None:
+    """One JSON object with the fields in order of their names; what is empty is left out. A schema is a few rows."""
+    one = F.struct("name", "type", "operators", F.when(F.col("multi"), True).alias("multi"), *([F.nullif("description", F.lit("")).alias("description")] if "description" in schema.columns else []))
+    whole = schema.agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("fields"))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_schema(spark: SparkSession, path: str) -> DataFrame | None:
+    """name, type, multi, operators, description; None if there is nothing that can be read. Fields without a name are left
+    out, an unknown type is a string, and missing operators are those of the type; of repeated names the first stays."""
+    try:
+        said = spark.read.option("wholetext", True).text(path).select(F.from_json("value", SCHEMA).alias("s")).filter("s.fields IS NOT NULL")
+        if said.isEmpty():
+            return None
+    except AnalysisException:
+        return None
+    rows = said.select(F.posexplode("s.fields").alias("pos", "f")).select("pos", "f.*").filter("name <> ''")
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("pos"))).filter("n = 1")
+    kind = F.when(F.col("type").isin(*BY_TYPE), F.col("type")).otherwise("string")
+    return rows.select("name", kind.alias("type"), F.coalesce("multi", F.lit(False)).alias("multi"), F.when(F.size("operators") > 0, F.col("operators")).otherwise(by_type(kind, BY_TYPE)).alias("operators"), "description")

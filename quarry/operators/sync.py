@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.storage import written
+
 REQUIRED = ("chunk_id", "document_id", "document_title", "content")
 
 
@@ -40,3 +46,100 @@ def plan(documents: DataFrame, stored: DataFrame) -> DataFrame:
 def counters(planned: DataFrame) -> DataFrame:
     n = lambda a: F.count_if(F.col("action") == a)
     return planned.agg(F.count("*").alias("documents_seen"), n("new").alias("documents_new"), n("changed").alias("documents_changed"), n("unchanged").alias("documents_skipped"))
+
+
+KIND = "chunk_id string, document_id string, document_title string, chunk_index int, section_title string, content string, body string, last_edited_time string, embedding array<float>"
+BUCKETS = 64
+
+
+def bucket(document_id: Column) -> Column:
+    """Which part of the stored table a document is in."""
+    return F.pmod(F.xxhash64(document_id), F.lit(BUCKETS)).cast("int")
+
+
+def ensure_table(spark: SparkSession, path: str) -> DataFrame:
+    """The stored points; an empty table is written where there is none."""
+    try:
+        return stored_points(spark, path)
+    except AnalysisException:
+        spark.createDataFrame([], KIND + ", bucket int").write.mode("ignore").parquet(path)
+        return stored_points(spark, path)
+
+
+def stored_points(spark: SparkSession, path: str) -> DataFrame:
+    spark.read.parquet(path)  # an error where there is no table
+    return spark.read.schema(KIND + ", bucket int").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        stored_points(spark, path)
+        return True
+    except AnalysisException:
+        return False
+
+
+def write_documents(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame) -> int:
+    """Puts points in and takes those of the given documents (document_id) out; returns how many came in. Only the buckets
+    of touched documents are read and written again. A point without an embedding, where others have one, is refused."""
+    missing = F.coalesce(F.size("embedding") == 0, F.lit(False))
+    fresh = fresh.withColumn("chunk_id", F.when(missing, F.raise_error(F.lit("a point has an empty embedding"))).otherwise(F.col("chunk_id")))
+    touched = fresh.select(bucket(F.col("document_id")).alias("bucket")).union(gone.select(bucket(F.col("document_id")).alias("bucket"))).distinct()
+    parts = [r["bucket"] for r in touched.collect()]  # BUCKETS rows at most
+    if not parts:
+        return 0
+    stored = ensure_table(spark, path)
+    kept = delete_documents(stored.filter(F.col("bucket").isin(parts)), gone.select("document_id"))
+    after = upsert(kept.drop("bucket"), fresh.select(*(c for c in stored.columns if c != "bucket")), "chunk_id").withColumn("bucket", bucket(F.col("document_id")))
+    after = written(after, "points")  # read before its source is replaced
+    after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return fresh.count()
+
+
+def run(documents: DataFrame, path: str, encode: Callable | None = None) -> dict:
+    """One synchronisation of documents (id, title, content, last_edited_time, properties) with what is stored under path:
+    plan, chunk, embed, upsert, then the lexical index, the schema and the list of typed columns to provide. Schema and
+    columns never fail a run. Returns counters; a corpus without points cannot be indexed and raises."""
+    from quarry.operators import bm25, models, schema
+    from quarry.operators.chunking import chunk_documents
+
+    spark, began, said = documents.sparkSession, time.time(), {}
+    stored = ensure_table(spark, f"{path}/points")
+    known = stored.select("document_id", "last_edited_time").distinct()
+    planned = written(plan(documents.select(F.col("id").alias("document_id"), "last_edited_time"), known), "plan")
+    todo = planned.filter("action <> 'unchanged'").select("document_id")
+    fresh = documents.join(todo.withColumnRenamed("document_id", "id"), "id", "left_semi")
+    points = chunk_documents(fresh.select("id", "title", "content", "last_edited_time"))
+    vectors = models.embed(points.select("chunk_id", F.col("content").alias("text")), encode or models.hashed_tokens)
+    points = written(points.join(vectors, "chunk_id"), "chunks")
+    said["chunks_written"] = write_documents(spark, f"{path}/points", points, todo)
+    said |= counters(planned).first().asDict()
+    whole = stored_points(spark, f"{path}/points")
+    bm25.build(whole.select("chunk_id", F.concat_ws("\n", "document_title", "content").alias("text"))).save(f"{path}/bm25")
+    try:
+        found = schema.infer_schema(documents)
+        schema.write_schema(found, f"{path}/schema")
+        said["columns_planned"] = schema.index_plan(found, spark.createDataFrame([], "key string")).count()
+    except Exception as e:  # noqa: BLE001  a schema is a help, not a condition
+        said["schema_error"] = str(e)[:200]
+    said["seconds"] = round(time.time() - began, 1)
+    return said
+
+
+def main(args: list[str] | None = None) -> int:
+    """Synchronises a Parquet table of documents: python -m quarry.operators.sync DOCUMENTS PATH. Exit 0, 1 after a
+    failure, 130 after an interrupt."""
+    documents, path = sys.argv[1:] if args is None else args
+    try:
+        spark = SparkSession.builder.appName("sync").getOrCreate()
+        print(run(spark.read.parquet(documents), path))
+        return 0
+    except KeyboardInterrupt:
+        return 130
+    except Exception as e:  # noqa: BLE001  reported by the exit code
+        print(f"sync failed: {e}", file=sys.stderr)
+        return 1
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -1,5 +1,5 @@
-"""Exact cosine search: a block of query vectors goes to every task, which multiplies it with its vectors and keeps the
-best k of each query; a window picks the best of those."""
+"""Exact cosine search: query vectors go to every task, which multiplies them with its vectors and keeps the best k of each
+query; a window picks the best of those."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.bm25 import top_k
@@ -25,42 +25,66 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """query_id, rank, chunk_id, score. vectors: chunk_id (long), embedding, filtered beforehand if need be; queries are
-    given, and scanned for in blocks of at most BLOCK."""
+def search(vectors: DataFrame, queries: DataFrame, k: int, sets: list[Column] | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, rank, chunk_id, score. vectors: chunk_id (long), embedding; queries: query_id, embedding and, if sets are
+    given, `filter_set`, the index of the condition on the rows of vectors that the query asks for (-1: none). Queries are
+    given vectors, sent to the tasks in turns of most_bytes and multiplied in blocks of BLOCK, so the table is read once a
+    turn and nothing but the best k of a task and query moves."""
     if k <= 0:
         raise ValueError("k must be positive")
-    found = None
-    for a in range(0, len(queries), BLOCK):
-        block = queries[a : a + BLOCK]
-        ids, unit = [q for q, _ in block], _unit(np.array([v for _, v in block], np.float64))
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, unit=unit) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                score = unit @ _unit(_rows(batch.column(1))).T
-                n = min(k + 1, score.shape[1])  # one more, for ties that the key decides
-                kept = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(ids), 1))
-                floor = np.take_along_axis(score, kept, 1).min(axis=1) - 1e-9
-                q, at = np.nonzero(score >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q], pa.int64()), batch.column(0).take(pa.array(at)), pa.array(score[q, at])], ["query_id", "chunk_id", "score"])
-
-        part = vectors.select(F.col("chunk_id").cast("long"), "embedding").filter("embedding IS NOT NULL").mapInArrow(best, "query_id long, chunk_id long, score double")
+    spark, found = vectors.sparkSession, None
+    passed = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(sets or []))).cast("array<int>"), lambda x: x.isNotNull())
+    rows = vectors.select(F.col("chunk_id").cast("long"), "embedding", passed.alias("passed")).filter("embedding IS NOT NULL")
+    for turn in _turns(queries, most_bytes):
+        sent = spark.sparkContext.broadcast(turn)
+        part = rows.mapInArrow(_best(sent, k, len(sets or [])), "query_id long, chunk_id long, score double")
         found = part if found is None else found.unionAll(part)
     if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
     return top_k(found, k)
 
 
+def _turns(queries: DataFrame, most_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, filter sets and unit vectors of the queries, so many at a time."""
+    wanted = queries if "filter_set" in queries.columns else queries.withColumn("filter_set", F.lit(-1))
+    held: list = []
+
+    def emit():
+        return np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64), _unit(np.array([r[2] for r in held], np.float64))
+
+    for row in wanted.filter("embedding IS NOT NULL").select("query_id", "filter_set", "embedding").toLocalIterator():
+        held.append(row)
+        if len(held) * len(row[2]) * 8 >= most_bytes:
+            yield emit()
+            held = []
+    if held:
+        yield emit()
+
+
+def _best(sent, k: int, n_sets: int):  # noqa: ANN001
+    """The best k rows of each batch and query (and ties of the last)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ids, all_sets, all_unit = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = _unit(_rows(batch.column(1))).T
+            allowed = np.zeros((n_sets + 1, batch.num_rows), bool)
+            allowed[-1] = True
+            lists = batch.column(2)
+            allowed[lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))] = True
+            for a in range(0, len(all_ids), BLOCK):
+                ids = all_ids[a : a + BLOCK]
+                score = np.where(allowed[all_sets[a : a + BLOCK]], all_unit[a : a + BLOCK] @ own, -np.inf)
+                n = min(k + 1, score.shape[1])  # one more, for ties that the key decides
+                kept = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n < score.shape[1] else np.full(len(ids), -np.inf)
+                q, at = np.nonzero((score >= kept[:, None] - 1e-9) & np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), batch.column(0).take(pa.array(at)), pa.array(score[q, at])], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def filter_only(points: DataFrame, k: int, key: str = "point_id") -> DataFrame:
     """The first k points by key with score 0, for a request without a vector."""
     return points.orderBy(key).limit(k).withColumn("score", F.lit(0.0))
-
-
-def batch_vectors(rows: DataFrame, most: int = 10_000) -> list[tuple[int, list[float]]]:
-    """Query vectors (query_id, embedding) for search(); more than `most` are refused."""
-    found = rows.select("query_id", "embedding").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"over {most} query vectors in one batch")
-    return [(r["query_id"], r["embedding"]) for r in found]

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.operators import evaluation as E
 from quarry.operators import requests as R
+from quarry.operators.schema import infer_schema
 from quarry.plans.common import TODAY, sql_values, table, values
 from quarry.sources import corpus
+from quarry.storage import shared_dir
 
 QUERIES, ORACLES = {}, {}
 C = lambda c: F.col(c)
@@ -41,13 +42,13 @@ def parse_queries(spark, d):
     return out.select("o_orderkey", "semantic_query", F.array_join(F.transform("filters", lambda f: F.concat_ws(" ", f["field"], f["operator"], f["value"])), "|").alias("filters"))
 
 
-SQL_FILTERS = """filters AS (SELECT l_orderkey AS query_id, (l_linenumber % 2)::INTEGER AS source, l_partkey * 10 + l_linenumber AS pos, l_suppkey % 3 AS field FROM lineitem WHERE l_orderkey < 2000)"""
+SQL_FILTERS = """filters AS (SELECT l_orderkey AS query_id, (l_linenumber % 2)::INTEGER AS source, l_partkey * 10 + l_linenumber AS pos, l_suppkey % 3 AS field FROM lineitem)"""
 
 
 @query(f"""WITH {SQL_FILTERS} SELECT query_id, source, pos, field FROM filters f WHERE source = 0
   UNION ALL SELECT query_id, 1, min(pos), field FROM filters f WHERE source = 1 AND NOT EXISTS (SELECT 1 FROM filters r WHERE r.source = 0 AND r.query_id = f.query_id AND r.field = f.field) GROUP BY query_id, field""")
 def merge_filters(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 2000")
+    li = table(spark, d, "lineitem")
     return R.merge_filters(li.select(C("l_orderkey").alias("query_id"), (C("l_linenumber") % 2).cast("int").alias("source"), (C("l_partkey") * 10 + C("l_linenumber")).alias("pos"), (C("l_suppkey") % 3).alias("field")))
 
 
@@ -71,25 +72,32 @@ def temporal_fold(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(out, lambda x: F.concat_ws(" ", x["field"], x["operator"], F.array_join(x["values"], ","))), "|").alias("filters"))
 
 
-@query(None)
+@query("SELECT item_id, 'Schema:' || chr(10) || '{\"fields\":[]}' || chr(10) || chr(10) || 'Question: ' || text AS \"user\" FROM benchmark")
 def intent_prompt(spark, d):
     system, user = R.intent_prompt(C("text"), F.lit('{"fields":[]}'), TODAY)
-    return table(spark, d, "benchmark").select("item_id", system.alias("system"), user.alias("user"))
+    return table(spark, d, "benchmark").filter(F.contains(system, F.lit(TODAY))).select("item_id", user.alias("user"))
 
 
-@query(None)
+ASKED = [(1, "status: O find", MODEL[0][1]), (2, "plain words", MODEL[0][1]), (3, "plain words", None), (4, "tags: a b", "no json"), (5, "what happened last week", MODEL[1][1]),
+         (6, "spent", '{"semantic_query": "spent", "filters": [{"field": "price", "operator": ">=", "value": "12.5"}, {"field": "price", "operator": "=", "value": "1"}, {"field": "open", "operator": "=", "value": "maybe"}]}')]
+
+
+@query("""SELECT * FROM (VALUES (1, 'find it', 'status equals O find'), (2, 'find it', 'status equals O'), (3, 'plain words', ''), (4, '', 'tags contains a b'),
+  (5, 'what happened last week', 'last_edited_time between 2024-02-19T00:00:00+00:00,2024-02-25T23:59:59.999999+00:00'), (6, 'spent', 'price gte 12.5')) t(query_id, semantic_query, filters) WHERE (SELECT count(*) FROM orders) > 0""")
 def intent_apply(spark, d):
-    asked = values(spark, "query_id int, text string, answer string", [(1, "status: O find", MODEL[0][1]), (2, "plain words", MODEL[0][1]), (3, "plain words", None), (4, "tags: a b", "no json")])
-    return R.analyze(asked.select("query_id", "text"), asked.select("query_id", "answer"))
+    """Rule and model filters of a few questions, validated by the orders' schema."""
+    asked = values(spark, "query_id int, text string, answer string", ASKED)
+    out = R.analyze(asked.select("query_id", "text"), asked.select("query_id", "answer"), schema=infer_schema(corpus.orders(spark, d)), today=TODAY)
+    return out.withColumn("filters", F.array_join(F.transform("filters", lambda f: F.concat_ws(" ", f["field"], f["operator"], F.array_join(f["values"], ","))), "|"))
 
 
 # Evaluation: customers as cases, their orders as results of two modes
 
 
 SQL_EVAL = """cases AS (SELECT c_custkey AS case_id, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE c_mktsegment END AS category,
-    CASE WHEN c_custkey % 4 = 0 THEN [] ELSE [c_custkey % 20, (c_custkey + 7) % 20] END AS expected FROM customer WHERE c_custkey < 600),
-raw AS (SELECT 'a' AS mode, o_custkey AS case_id, o_orderkey AS chunk_id, o_orderkey % 20 AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_custkey < 600
-  UNION ALL SELECT 'b', o_custkey, o_orderkey, o_orderkey % 20, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) FROM orders WHERE o_custkey < 600),
+    CASE WHEN c_custkey % 4 = 0 THEN [] ELSE [c_custkey % 20, (c_custkey + 7) % 20] END AS expected FROM customer),
+raw AS (SELECT 'a' AS mode, o_custkey AS case_id, o_orderkey AS chunk_id, o_orderkey % 20 AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders
+  UNION ALL SELECT 'b', o_custkey, o_orderkey, o_orderkey % 20, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) FROM orders),
 ranked AS (SELECT mode, case_id, chunk_id, document_id, rank::INTEGER AS rank FROM raw WHERE rank <= 12),
 docs AS (SELECT mode, case_id, document_id, row_number() OVER (PARTITION BY mode, case_id ORDER BY min(rank))::INTEGER AS doc_rank FROM ranked GROUP BY mode, case_id, document_id),
 hits AS (SELECT d.mode, d.case_id, min(doc_rank) AS first_rank, count_if(doc_rank <= 5) AS n5, count_if(doc_rank <= 10) AS n10 FROM docs d JOIN cases c ON c.case_id = d.case_id AND list_contains(expected, document_id) GROUP BY ALL),
@@ -100,14 +108,14 @@ SQL_METRICS = "count(*) AS cases, round(coalesce(avg(found_5), 0), 9) AS recall_
 
 
 def _cases(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey < 600")
+    c = table(spark, d, "customer")
     category = F.when(C("c_custkey") % 5 == 1, " ").when(C("c_custkey") % 5 > 1, C("c_mktsegment"))
     expected = F.when(C("c_custkey") % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(C("c_custkey") % 20, (C("c_custkey") + 7) % 20))
     return c.select(C("c_custkey").alias("case_id"), category.alias("category"), expected.alias("expected"))
 
 
 def _ranked(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey < 600")
+    o = table(spark, d, "orders")
     one = lambda mode, *order: o.select(F.lit(mode).alias("mode"), C("o_custkey").alias("case_id"), C("o_orderkey").alias("chunk_id"), (C("o_orderkey") % 20).alias("document_id"), F.row_number().over(W.partitionBy("o_custkey").orderBy(*order)).alias("rank"))
     return one("a", F.desc("o_totalprice"), "o_orderkey").unionByName(one("b", "o_orderdate", "o_orderkey")).filter("rank <= 12")
 
@@ -178,10 +186,10 @@ def eval_diagnostics(spark, d):
     return both.select("mode", "case_id", "rank", "chunk_id", F.when(F.array_contains("expected", C("document_id")), "HIT").otherwise("miss").alias("mark"))
 
 
-@query("""WITH ranked AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 3000),
+@query("""WITH ranked AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank, p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
 firsts AS (SELECT query_id, min(rank) FILTER (p_name IN ('red widget', 'small ring')) AS r FROM ranked WHERE rank <= 3 GROUP BY query_id) SELECT count(*) AS queries, count(r) / count(*) AS hit_3, round(avg(coalesce(1 / r, 0)), 9) AS mrr FROM firsts""")
 def title_hit_at_k(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 3000").join(table(spark, d, "part"), C("p_partkey") == C("l_partkey"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), C("p_partkey") == C("l_partkey"))
     ranked = li.select(C("l_orderkey").alias("query_id"), "p_name", F.row_number().over(W.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey")).alias("rank")).filter("rank <= 3")
     first = ranked.groupBy("query_id").agg(F.min(F.when(C("p_name").isin("red widget", "small ring"), C("rank"))).alias("r"))
     return first.agg(F.count("*").alias("queries"), (F.count("r") / F.count("*")).alias("hit_3"), F.round(F.avg(F.coalesce(1 / C("r"), F.lit(0.0))), 9).alias("mrr"))
@@ -248,11 +256,11 @@ def case_counts(spark, d):
     return _made(spark, d).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query("SELECT 'case-' || item_id AS id, text AS query, NULL::VARCHAR AS category, 0 AS expected FROM benchmark")
 def eval_cases_scan(spark, d):
     """The benchmark's passages written as a case file and read back."""
-    rows = [{"id": f"case-{r['item_id']}", "query": r["text"], "rationale": "ignored"} for r in table(spark, d, "benchmark").orderBy("item_id").collect()]
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/cases-{id(rows)}"
-    spark.createDataFrame([(json.dumps(rows),)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    return E.read_cases(spark, path)
+    b = table(spark, d, "benchmark")
+    cases = b.select(F.concat(F.lit("case-"), "item_id").alias("id"), C("text").alias("query"), F.lit(None).cast("string").alias("category"), *(F.array().cast("array<string>").alias(c) for c in ("expected_documents", "expected_chunks")))
+    path = f"{shared_dir(spark)}/cases-{uuid.uuid4().hex}"
+    E.write_cases(cases, path)
+    return E.read_cases(spark, path, lines=True).select("id", "query", "category", F.size("expected_documents").alias("expected"))

@@ -120,10 +120,10 @@ def child_closure(spark, d):
 
 
 @query("""WITH found AS (SELECT 0 AS discovery, s_suppkey AS page_id, s_suppkey AS pos, 'data_source_id' AS parent_type FROM supplier WHERE s_suppkey % 2 = 0
-  UNION ALL SELECT 1, c_custkey, -c_custkey, 'page_id' FROM customer WHERE c_custkey < 150 UNION ALL SELECT 1, c_custkey // 2, c_custkey, 'workspace' FROM customer WHERE c_custkey < 150)
+  UNION ALL SELECT 1, c_custkey, -c_custkey, 'page_id' FROM customer UNION ALL SELECT 1, c_custkey // 2, c_custkey, 'workspace' FROM customer)
 SELECT page_id, pos, parent_type, discovery FROM found QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY discovery, pos) = 1""")
 def discovery_union_dedupe(spark, d):
-    s, c = table(spark, d, "supplier"), table(spark, d, "customer").filter("c_custkey < 150")
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     rows = s.filter("s_suppkey % 2 = 0").select(C("s_suppkey").alias("page_id"), C("s_suppkey").alias("pos"), F.lit("data_source_id").alias("parent_type"))
     linked = c.select(C("c_custkey").alias("page_id"), (-C("c_custkey")).alias("pos"), F.lit("page_id").alias("parent_type"))
     alone = c.select(F.floor(C("c_custkey") / 2).alias("page_id"), C("c_custkey").alias("pos"), F.lit("workspace").alias("parent_type"))

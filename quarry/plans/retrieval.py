@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from quarry.config import Settings
 from quarry.functions.text import strip, words
 from quarry.operators import bm25, chunking, context, fusion, sync, vectors
+from quarry.operators.engine import Engine
 from quarry.operators.predicates import Filter, compile_filters
 from quarry.plans.common import sql_collapse, sql_strip, sql_words, table
 from quarry.sources import corpus
+from quarry.storage import shared_dir, written
 
 QUERIES, ORACLES = {}, {}
 C = lambda c: F.col(c)
@@ -114,22 +119,32 @@ def sync_metrics(spark, d):
 # Lexical search: benchmark passages as queries
 
 
-SQL_BM25 = """tok AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tokens FROM documents),
+SQL_BM25 = """tok AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(concat_ws(chr(10), concat_ws('/', source, doc_id::VARCHAR), text)), '[a-z0-9]+') AS tokens FROM documents),
 corpus AS (SELECT count(*) AS n, sum(len(tokens)) / count(*) AS avgdl FROM tok),
 post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok) GROUP BY chunk_id, term),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM post GROUP BY term), corpus),
 stats AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
-asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 20) GROUP BY query_id, term),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY query_id, term),
 scored AS (SELECT query_id, chunk_id, sum(qtf * (idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS score FROM asked JOIN stats USING (term) JOIN post USING (term), corpus GROUP BY query_id, chunk_id),
 lexical AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM scored)"""
 
 
+SAVED: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, d):
-    return bm25.build(table(spark, d, "documents").select(C("doc_id").alias("chunk_id"), "text"))
+    """The index of the documents' titles and texts: built and saved by the first query of a session, read by the others."""
+    at = spark.sparkContext.applicationId, d
+    if at not in SAVED:
+        path = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+        title = F.concat_ws("/", "source", C("doc_id").cast("string"))
+        bm25.build(table(spark, d, "documents").select(C("doc_id").alias("chunk_id"), F.concat_ws("\n", title, "text").alias("text"))).save(path)
+        SAVED[at] = path
+    return bm25.Index.load(spark, SAVED[at])
 
 
 def _asked(spark, d):
-    return table(spark, d, "benchmark").filter("item_id < 20").select(C("item_id").alias("query_id"), "text")
+    return table(spark, d, "benchmark").filter("item_id % 20 = 0").select(C("item_id").alias("query_id"), "text")
 
 
 def _lexical(spark, d, k):
@@ -166,11 +181,11 @@ def bm25_filtered(spark, d):
 # Dense search
 
 
-SQL_DENSE = """dense AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20)"""
+SQL_DENSE = """dense AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)"""
 
 
 def _query_vectors(spark, d):
-    return vectors.batch_vectors(table(spark, d, "embeddings").filter("vec_id < 20").select(C("vec_id").alias("query_id"), "embedding"))
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(C("vec_id").alias("query_id"), "embedding")
 
 
 def _dense(spark, d, k, label=None):
@@ -218,6 +233,12 @@ def rrf_fusion(spark, d):
     return fusion.reciprocal_rank(_lists(spark, d)).select("query_id", "fused_rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
+def _chunks(spark, d):
+    """Documents as chunks of their own."""
+    docs = corpus.documents(spark, d)
+    return docs.select(C("id").cast("long").alias("chunk_id"), C("id").alias("document_id"), "title", "content", "properties")
+
+
 def _hybrid(spark, d, k=5):
     found = fusion.reciprocal_rank(_lists(spark, d)).filter(C("fused_rank") <= k)
     docs = table(spark, d, "documents").select(C("doc_id").alias("chunk_id"), "source", C("text").alias("content"))
@@ -280,14 +301,37 @@ def dropped_citations(spark, d):
     return context.dropped(_answers(spark, d), _sources(spark, d))
 
 
-@query(None)
+# The contexts are folded a rank at a time: a source is left out if a kept one holds it or is held by it, and the first that
+# passes the budget ends the list.
+SQL_CONTEXT = f"""{SQL_LISTS}, best AS (SELECT query_id, fused_rank AS rank, chunk_id, text AS content, lower({sql_collapse('text')}) AS norm, greatest(1, length(text) // 4) AS tokens FROM ranked JOIN documents ON doc_id = chunk_id WHERE fused_rank <= 5),
+walk AS (SELECT DISTINCT query_id, 0 AS rank, 0::BIGINT AS used, false AS done, []::VARCHAR[] AS norms, []::INTEGER[] AS kept FROM best
+  UNION ALL SELECT query_id, rank, CASE WHEN take THEN used + tokens ELSE used END, done OR (NOT again AND over), CASE WHEN take THEN list_append(norms, norm) ELSE norms END, CASE WHEN take THEN list_append(kept, rank) ELSE kept END
+  FROM (SELECT *, NOT done AND NOT again AND NOT over AS take FROM (
+    SELECT w.query_id, b.rank, used, done, norms, kept, norm, tokens, len(list_filter(norms, lambda k: contains(k, norm) OR contains(norm, k))) > 0 AS again, len(kept) > 0 AND used + tokens > 2000 AS over
+    FROM walk w JOIN best b ON b.query_id = w.query_id AND b.rank = w.rank + 1))),
+context AS (SELECT w.query_id, list_position(kept, b.rank)::INTEGER AS reference_id, b.rank, chunk_id, content, tokens FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1) w
+  JOIN best b ON b.query_id = w.query_id AND list_contains(kept, b.rank))"""
+
+
+def _context(spark, d):
+    found = _hybrid(spark, d).select("query_id", C("fused_rank").alias("rank"), "chunk_id").join(_chunks(spark, d).drop("document_id"), "chunk_id")
+    return context.build_context(found)
+
+
+@query(f"WITH RECURSIVE {SQL_CONTEXT} SELECT query_id, reference_id, rank, chunk_id, content, tokens FROM context")
 def context_budget(spark, d):
-    return context.build_context(_hybrid(spark, d).select("query_id", C("fused_rank").alias("rank"), "chunk_id", "content"))
+    return _context(spark, d).drop("title", "properties")
 
 
-@query(None)
+SYSTEM = context.template().system
+SQL_PROMPT = f"""{SQL_CONTEXT}, sourced AS (SELECT query_id, string_agg('[' || reference_id || '] ' || concat_ws('/', source, doc_id::VARCHAR) || chr(10) || 'Properties:' || coalesce(chr(10) || '  lang: ' || lang, '') || coalesce(chr(10) || '  source: ' || source, '')
+    || coalesce(chr(10) || '  nChars: ' || n_chars, '') || chr(10) || '  tags: ' || concat_ws(', ', lang, source) || coalesce(chr(10) || '  quality: ' || quality, '') || coalesce(chr(10) || '  toxic: ' || CASE toxic WHEN 1 THEN 'True' WHEN 0 THEN 'False' END, '')
+    || chr(10) || content, chr(10) || chr(10) ORDER BY reference_id) AS sources FROM context JOIN documents ON doc_id = chunk_id LEFT JOIN labels USING (doc_id) GROUP BY query_id)"""
+
+
+@query(f"WITH RECURSIVE {SQL_PROMPT} SELECT item_id AS query_id, '{SYSTEM}' AS system, 'Sources:' || chr(10) || chr(10) || coalesce(sources, '(no sources found)') || chr(10) || chr(10) || 'Question: ' || trim(text) AS user FROM benchmark LEFT JOIN sourced ON query_id = item_id WHERE item_id % 20 = 0")
 def prompt_build(spark, d):
-    return context.prompts(_asked(spark, d), context_budget(spark, d))
+    return context.prompts(_asked(spark, d), _context(spark, d))
 
 
 @query("SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'The sources say so [1].' ELSE 'The sources do not answer this question.' END AS answer FROM conversations WHERE role = 'user'")
@@ -297,13 +341,37 @@ def mock_answer(spark, d):
     return c.select("conv_id", "turn", context.mock_answer(user).alias("answer"))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {SQL_CONTEXT} SELECT item_id AS query_id, CASE WHEN chunk_id IS NULL THEN 'The sources do not answer this question.' ELSE 'The sources say so [1].' END AS answer, coalesce('1:' || chunk_id, '') AS cited FROM benchmark LEFT JOIN context ON query_id = item_id AND reference_id = 1 WHERE item_id % 20 = 0")
 def answer_pipeline(spark, d):
     """Search, context, prompt, answer by the stand-in model, citations: all queries at once."""
-    sources = context_budget(spark, d)
+    sources = written(_context(spark, d), "context")
     answers = context.prompts(_asked(spark, d), sources).select("query_id", strip(context.mock_answer(C("user"))).alias("answer"))
-    cited = context.citations(answers, sources).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "reference_id", "chunk_id"))).alias("citations"))
-    return answers.join(cited, "query_id", "left")
+    cited = context.citations(answers, sources).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "reference_id", "chunk_id"))).alias("c"))
+    said = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["reference_id"].cast("string"), x["chunk_id"].cast("string"))), "|")
+    return answers.join(cited, "query_id", "left").select("query_id", "answer", F.coalesce(said, F.lit("")).alias("cited"))
+
+
+# The engine: requests with filters of their own, some without text
+
+
+SQL_ENGINE = f"""{SQL_BM25}, requests AS (SELECT item_id AS query_id, text, (item_id // 20) % 2 AS filtered, 'en' AS want FROM benchmark WHERE item_id % 20 = 0 UNION ALL SELECT -1 - item_id, ' ', 1, 'de' FROM benchmark WHERE item_id % 20 = 0),
+allowed AS (SELECT query_id, doc_id AS chunk_id FROM requests, documents WHERE filtered = 0 OR lang = want),
+vec AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v, requests r WHERE q.vec_id = r.query_id),
+lists AS (SELECT query_id, 0 AS strategy, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, chunk_id FROM vec JOIN allowed USING (query_id, chunk_id)
+  UNION ALL SELECT query_id, 0, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id), chunk_id FROM allowed WHERE query_id < 0
+  UNION ALL SELECT query_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id), chunk_id FROM scored JOIN allowed USING (query_id, chunk_id)),
+fused AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score, min(strategy * 1000 + rank) AS seen FROM lists WHERE rank <= 5 GROUP BY query_id, chunk_id)"""
+
+
+@query(f"WITH {SQL_ENGINE} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen)::INTEGER AS fused_rank, chunk_id, round(score, 9) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) <= 5")
+def engine_search(spark, d):
+    lang = lambda v: F.array(F.struct(F.lit("lang").alias("field"), F.lit("equals").alias("operator"), F.lit(v).alias("value")))
+    asked = _asked(spark, d)
+    spoken = asked.select("query_id", C("text").alias("semantic_query"), F.when(F.floor(C("query_id") / 20) % 2 == 1, lang("en")).otherwise(F.slice(lang("en"), 1, 0)).alias("filters"))
+    blank = asked.select((-1 - C("query_id")).alias("query_id"), F.lit(" ").alias("semantic_query"), lang("de").alias("filters"))
+    rows = table(spark, d, "embeddings").select(C("vec_id").alias("chunk_id"), "embedding")
+    engine = Engine(_chunks(spark, d), Settings(sources=5), rows, lambda: _index(spark, d))
+    return engine.search(spoken.unionByName(blank), _query_vectors(spark, d)).select("query_id", "fused_rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
 @query(f"""SELECT conv_id, turn, '{{"sources":[{{"id":' || conv_id || ',"snippet":"' || left({sql_collapse('text')}, 20) || '"}}]}}' || chr(10) || text || chr(0) || '{{"citations":[' || turn || '],"generation_ms":' || (turn * 10) || '}}' AS frame FROM conversations WHERE role = 'assistant'""")

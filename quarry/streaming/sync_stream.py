@@ -8,29 +8,29 @@ from pyspark.sql import Window as W
 
 from quarry.operators import sync
 from quarry.operators.chunking import chunk_documents
+from quarry.storage import written
 
 
-def sync_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """The points after a batch of documents (id, title, content, last_edited_time): unchanged documents keep theirs, new
-    and changed ones are chunked again. Of a document that comes twice in a batch the latest counts."""
-    last = W.partitionBy("id").orderBy(F.desc("last_edited_time"))
+def changes(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new points of a batch of documents (id, title, content, last_edited_time) and the document_ids whose points go.
+    Unchanged documents are in neither. Of a document that comes twice in a batch the latest counts, of equal times the one
+    with the greater title and content."""
+    last = W.partitionBy("id").orderBy(F.desc("last_edited_time"), F.desc("title"), F.desc("content"))
     docs = batch.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n")
-    known = stored.select("document_id", "last_edited_time").distinct()
-    todo = sync.plan(docs.select(F.col("id").alias("document_id"), "last_edited_time"), known).filter("action <> 'unchanged'")
+    todo = sync.plan(docs.select(F.col("id").alias("document_id"), "last_edited_time"), stored.select("document_id", "last_edited_time").distinct()).filter("action <> 'unchanged'")
     fresh = docs.join(todo.select(F.col("document_id").alias("id")), "id", "left_semi")
-    points = chunk_documents(fresh.select("id", "title", "content", "last_edited_time"))
-    kept = sync.delete_documents(stored, todo.select("document_id"))
-    return kept.unionByName(points.select(*stored.columns))
+    points = chunk_documents(fresh.select("id", "title", "content", "last_edited_time")).withColumn("embedding", F.lit(None).cast("array<float>"))
+    return points, todo.select("document_id")
 
 
-def start(documents: DataFrame, path: str, checkpoint: str):
-    """Runs sync_batch on a stream into versions of a table under path, one directory a batch; a batch that is run again
-    writes its own version anew."""
+def apply_batch(batch: DataFrame, path: str) -> int:
+    """Puts a batch into the table under path; only the buckets of touched documents are written. Running a batch again
+    changes nothing, as its documents are then unchanged or replaced by the same points."""
+    spark = batch.sparkSession
+    points, todo = changes(written(batch, "batch"), sync.ensure_table(spark, path))
+    return sync.write_documents(spark, path, written(points, "batch-points"), written(todo, "batch-todo"))
 
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        kind = "chunk_id string, document_id string, document_title string, chunk_index int, section_title string, content string, body string, last_edited_time string"
-        stored = spark.read.schema(kind).parquet(f"{path}/version={number - 1}") if number else spark.createDataFrame([], kind)
-        sync_batch(batch, stored).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+def start(documents: DataFrame, path: str, checkpoint: str):
+    """Runs apply_batch on a stream."""
+    return documents.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, path)).option("checkpointLocation", checkpoint).start()

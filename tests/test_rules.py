@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from quarry.config import Settings
 from quarry.functions import text as X
-from quarry.operators import bm25, context, evaluation, fusion, models, requests, sync, vectors
-from quarry.operators.engine import Engine
+from quarry.operators import bm25, context, evaluation, fusion, models, requests, roles, schema, sync, vectors
+from quarry.operators.engine import Engine, build_engine
 from quarry.operators.predicates import Filter, compile_filters
-from quarry.sources import corpus
+from quarry.operators.requests import Field
+from quarry.plans import drivers
+from quarry.sources import corpus, listing, pages
 
 
 @pytest.fixture(scope="module")
@@ -95,7 +97,10 @@ def test_vector_search_is_exact(spark):
 
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
-    found = vectors.search(spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(7), rows[:3], 4).collect()
+    table = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(7)
+    asked = spark.createDataFrame([(*r, -1) for r in rows[:3]] + [(9, rows[0][1], 0)], "query_id long, embedding array<double>, filter_set int")
+    found = vectors.search(table, asked, 4, [F.col("chunk_id") % 2 == 1], most_bytes=100).collect()
+    assert len(found) == 16 and all(r["chunk_id"] % 2 for r in found if r["query_id"] == 9)
     m = np.array([v for _, v in rows], np.float32).astype(float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     for q in range(3):
@@ -103,7 +108,7 @@ def test_vector_search_is_exact(spark):
         best = np.argsort(-(m @ (v / np.linalg.norm(v))))[:4]
         assert [r["chunk_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == best.tolist()
     with pytest.raises(ValueError):
-        vectors.search(None, [], 0)
+        vectors.search(None, None, 0)
 
 
 def test_context_stops_at_the_budget(spark):
@@ -171,21 +176,152 @@ def test_points_need_their_values(spark):
 
 
 def test_engine_modes(spark):
-    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["red cat", "blue cat", "green dog", "cat"])], "chunk_id long, content string").withColumn(
+    chunks = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(["red cat", "blue cat", "green dog", "cat"])], "chunk_id long, content string, document_id string").withColumn(
         "properties", corpus.properties(kind=corpus.string_value(F.when(F.col("chunk_id") < 2, "Pet").otherwise("x")))
     )
     embedded = models.embed(chunks.withColumnRenamed("content", "text")).cache()
     index = bm25.build(chunks.withColumnRenamed("content", "text"))
     asked = spark.createDataFrame([(1, "red cat")], "query_id long, text string")
-    vector = [(1, models.hashed_tokens(["red cat"])[0].tolist())]
     for mode in ("vector", "bm25", "hybrid"):
         for rerank in (False, True):
-            got = Engine(chunks, Settings(mode=mode, rerank=rerank), embedded, index).search(asked, vector).orderBy("fused_rank").collect()
+            got = Engine(chunks, Settings(mode=mode, rerank=rerank), embedded, lambda: index).ask(asked).orderBy("fused_rank").collect()
             assert got[0]["chunk_id"] == 0 and len(got) <= 5
-    only = Engine(chunks, Settings(), embedded, index).search(asked, vector, [Filter("kind", "equals", "Pet")]).collect()
-    assert {r["chunk_id"] for r in only} == {0, 1}
+    kind = Field("kind", ("kind",))
+    engine = Engine(chunks, Settings(), embedded, index, lambda q: requests.parse_queries(q, (kind,)))
+    both = engine.ask(spark.createDataFrame([(1, "red cat kind: Pet"), (2, "red cat"), (3, "kind: x")], "query_id long, text string")).collect()
+    of = lambda q: [r["chunk_id"] for r in sorted(both, key=lambda r: r["fused_rank"]) if r["query_id"] == q]
+    assert set(of(1)) == {0, 1} and of(2)[0] == 0 and len(of(2)) == 4 and of(3) == [2, 3]
     with pytest.raises(ValueError):
         Settings(mode="other")
+    assert Settings.of(" BM25 ").mode == "bm25" and len(Settings(zone="No/Where").today()) == 10
+
+
+def test_built_engine_asks_a_model_only_with_a_schema(spark):
+    chunks = spark.createDataFrame([(1, "red cat", "1"), (2, "red dog", "2")], "chunk_id long, content string, document_id string").withColumn("properties", corpus.properties(kind=corpus.string_value(F.col("content"))))
+    schema_ = schema.infer_schema(chunks)
+    intent = lambda q: models.answer(q.select("query_id", F.lit("s").alias("system"), F.col("text").alias("user")), lambda s, u, how: '{"semantic_query": "dog", "filters": [{"field": "kind", "operator": "=", "value": "red dog"}]}', models.INTENT)
+    asked = spark.createDataFrame([(1, "which animal")], "query_id long, text string")
+    index = bm25.build(chunks.withColumnRenamed("content", "text"))
+    for settings, expected in ((Settings(mode="bm25", intent=True), [2]), (Settings(mode="bm25"), [])):
+        engine = build_engine(chunks, settings, index=index, fields=schema_.select("name", "multi"), schema=schema_, intent=intent)
+        assert [r["chunk_id"] for r in engine.ask(asked).collect()] == expected
+
+
+def test_drivers(spark):
+    texts = ["red cat", "blue cat", "green dog", "old tree"]
+    chunks = spark.createDataFrame([(i, t, f"d{i}", f"Title {i}") for i, t in enumerate(texts)], "chunk_id long, content string, document_id string, title string").withColumn("properties", corpus.properties(kind=corpus.string_value(F.lit("k"))))
+    engine = Engine(chunks, Settings(), models.embed(chunks.withColumnRenamed("content", "text")).cache(), bm25.build(chunks.withColumnRenamed("content", "text")))
+    cases = spark.createDataFrame([(1, "red cat", "easy", ["d0"]), (2, "old tree", None, ["d3"])], "case_id long, query string, category string, expected array<string>")
+    judged, timings, said = drivers.pipeline_comparison(engine, cases, depth=3)
+    assert {r["mode"] for r in judged.collect()} == {"vector", "bm25", "hybrid", "hybrid_reranked"} and all(r["first_rank"] == 1 for r in judged.collect())
+    assert {r["stage"] for r in timings.collect()} == {"analysis", "vector", "bm25", "fusion", "rerank", "total"}
+    assert "[PASS] hybrid 1 (easy)" in said and "avg_latency_ms" in said
+    _, _, moved = drivers.intent_comparison(engine, engine, cases, depth=3)
+    assert "delta_mrr" in moved and "vector" in drivers.vector_evaluation(engine, cases)[2]
+    answers, said = drivers.generation_evaluation(engine, cases.select(F.col("case_id").alias("query_id"), F.col("query").alias("text")))
+    assert [[c["chunk_id"] for c in r["citations"]] for r in answers.orderBy("query_id").collect()] == [[0], [3]]
+    assert "**Title 0**: red cat" in said and "- citations: [1]" in said
+
+
+def test_prompts_show_titles_and_properties(spark):
+    rows = spark.createDataFrame([(1, 1, "red cat", "T")], "query_id int, reference_id int, content string, title string").withColumn("properties", corpus.properties(kind=corpus.string_value(F.lit("Pet")), tags=corpus.list_value(F.array(F.lit("a"), F.lit("b"))), n=corpus.whole_value(F.lit(3))))
+    user = context.prompts(spark.createDataFrame([(1, " q ")], "query_id int, text string"), rows).first()["user"]
+    assert user == "Sources:\n\n[1] T\nProperties:\n  kind: Pet\n  tags: a, b\n  n: 3\nred cat\n\nQuestion: q"
+    assert context.template(" Grounded ") is context.TEMPLATES["grounded"]
+    with pytest.raises(ValueError, match="there are: grounded"):
+        context.template("other")
+
+
+def test_model_backends():
+    broken = lambda texts: 1 / 0
+    assert models.with_fallback(broken, models.hashed_tokens)(["a"]).shape == (1, 64)
+    with pytest.raises(RuntimeError):
+        models.with_fallback(broken, lambda texts: [])(["a"])
+    assert models.backend(" Mock ")("", "[1] x", models.ANSWER).endswith("[1].") and models.INTENT.json and models.mock(("a",))("", "u", models.ANSWER) == "a"
+    with pytest.raises(ValueError):
+        models.backend("other")
+
+
+def test_schema_and_role_files(spark, tmp_path):
+    at = str(tmp_path / "schema")
+    wanted = spark.createDataFrame([("b", "date", False), ("a", "string", True)], "name string, type string, multi boolean").withColumn("operators", schema.by_type(F.col("type"), schema.BY_TYPE))
+    schema.write_schema(wanted, at)
+    key = lambda df: sorted((r["name"], r["type"], r["multi"], tuple(r["operators"])) for r in df.collect())
+    assert key(schema.read_schema(spark, at)) == key(wanted)
+    assert schema.supports(wanted, "b", "between") and not schema.supports(wanted, "a", "<") and schema.field(wanted, "c").isEmpty()
+    odd = tmp_path / "odd.json"
+    odd.write_text('{"fields": [{"name": "x", "type": "colour"}, {"name": ""}, {"type": "date"}, {"name": "x", "type": "date"}, {"name": "y", "type": "number", "operators": ["="], "description": "d"}]}')
+    assert key(schema.read_schema(spark, str(odd))) == [("x", "string", False, ("=", "contains")), ("y", "number", False, ("=",))]
+    odd.write_text("no json")
+    assert schema.read_schema(spark, str(odd)) is None and schema.read_schema(spark, str(tmp_path / "none")) is None
+    given = tmp_path / "roles.json"
+    given.write_text('{"roles": {"Notes": "semantic", "Due": "ignore"}}')
+    assert roles.read_overrides(spark, str(given)) == {"Notes": "semantic", "Due": "ignore"}
+    given.write_text('{"Notes": "semantic"}')
+    assert roles.read_overrides(spark, str(given)) == {"Notes": "semantic"}
+    given.write_text("{")
+    assert roles.read_overrides(spark, str(given)) == {} == roles.read_overrides(spark, str(tmp_path / "none"))
+
+
+def client():
+    """A listing of three pages of results; the third cursor is blank."""
+    def fetch(kind, source_id, cursor, size):
+        if source_id == "broken":
+            raise OSError("down")
+        at = int(cursor or 0)
+        parent = {"type": "page_id", "page_id": "p9"} if at else {"type": "workspace", "workspace": True}
+        return {"results": [{"id": f"{source_id or kind}{at}", "title": [{"plain_text": f"T{at}"}] if at else [], "parent": parent}], "has_more": True, "next_cursor": str(at + 1) if at < 2 else ""}
+
+    return fetch
+
+
+def test_listing_source(spark):
+    at = "tests.test_rules:client"
+    rows = listing.listed(spark, at, "data_source").orderBy("pos").collect()
+    assert [(r["id"], r["title"]) for r in rows] == [("data_source0", listing.UNTITLED), ("data_source1", "T1"), ("data_source2", "T2")]
+    assert sorted(r["id"] for r in listing.listed(spark, at, "row", ["a", "broken", "b"]).collect()) == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert listing.listed(spark, None, "page").count() == 0
+    alone = pages.standalone_pages(listing.listed(spark, at, "page")).orderBy("page_id").collect()
+    assert [tuple(r) for r in alone] == [("page0", "workspace", None), ("page1", "page_id", "p9"), ("page2", "page_id", "p9")]
+    found = pages.load_pages(spark.createDataFrame([("page1",), ("gone",)], "page_id string"), spark.createDataFrame([("page1", "x")], "page_id string, content string"))
+    assert [r["content"] for r in found.collect()] == ["x"]
+    assert listing.reachable(client()) and not listing.reachable(None) and not listing.reachable(lambda *a: 1 / 0)
+
+
+def test_trees_of_any_depth_and_many_paths(spark):
+    """Eight pages a level, all linked to all of the next: 8^8 paths, every page found once. Child pages are found, not entered."""
+    links = [("0", f"0{s}") for s in range(8)] + [(f"{i}{s}", f"{i + 1}{t}") for i in range(7) for s in range(8) for t in range(8)] + [("70", "0")]
+    got = pages.child_pages(spark.createDataFrame([("0", "s", "n")], "page_id string, source_id string, source_name string"), spark.createDataFrame(links, "parent_id string, child_id string")).collect()
+    assert len(got) == 65 and max(r["depth"] for r in got) == 8
+    rows = [("p", "a", None, 1, "paragraph"), ("p", "b", "a", 0, "child_page"), ("p", "c", "b", 0, "child_page"), ("p", "t", None, 0, "table"), ("p", "d", "t", 0, "child_page")]
+    blocks = spark.createDataFrame(rows, "page_id string, block_id string, parent_id string, position int, type string")
+    assert [r["child_id"] for r in pages.child_page_ids(blocks).orderBy("pos").collect()] == ["d", "b"]
+    assert [r["block_id"] for r in pages.flatten_blocks(blocks).orderBy("pos").collect()] == ["t", "a", "b"]
+
+
+def test_sync_job(spark, tmp_path):
+    kind = "id string, title string, content string, last_edited_time string"
+    docs = lambda *rows: spark.createDataFrame(rows, kind).withColumn("properties", corpus.properties(lang=corpus.string_value(F.lit("en"))))
+    at = str(tmp_path / "store")
+    first = sync.run(docs(("1", "t", "red cat", "a"), ("2", "t", "blue dog", "b")), at)
+    assert (first["documents_new"], first["chunks_written"], first["columns_planned"]) == (2, 2, 3)
+    again = sync.run(docs(("1", "t", "red fox", "z"), ("2", "t", "ignored", "b"), ("3", "t", "tree", "")), at)
+    assert (again["documents_new"], again["documents_changed"], again["documents_skipped"]) == (1, 1, 1)
+    points = {r["document_id"]: r for r in sync.stored_points(spark, f"{at}/points").collect()}
+    assert {k: r["body"] for k, r in points.items()} == {"1": "red fox", "2": "blue dog", "3": "tree"} and all(len(r["embedding"]) == 64 for r in points.values())
+    index = bm25.Index.load(spark, f"{at}/bm25")
+    assert index.corpus.first()["n"] == 3 and index.term_stats.filter("term = 'cat'").isEmpty()
+    assert schema.read_schema(spark, f"{at}/schema").count() == 1 and sync.exists(spark, f"{at}/points") and not sync.exists(spark, f"{at}/none")
+    bad = spark.createDataFrame([("9_0", "9", "t", 0, None, "x", "x", "", [])], sync.KIND)
+    with pytest.raises(Exception, match="empty embedding"):
+        sync.write_documents(spark, f"{at}/points", bad, bad.select("document_id"))
+    assert sync.main([str(tmp_path / "none"), at]) == 1
+
+
+def test_sentences_split_at_any_white_space(spark):
+    said = "One here.\u00a0Two there.\u2003Three at Bob. Four? (Five) end! no"
+    got = spark.createDataFrame([(said,)], "t string").select(X.sentences(F.col("t")).alias("s")).first()["s"]
+    assert got == ["One here.", "Two there.", "Three at Bob. Four?", "(Five) end! no"]
 
 
 def test_stream_sync(spark, tmp_path):
@@ -200,8 +336,7 @@ def test_stream_sync(spark, tmp_path):
         q.processAllAvailable()
         spark.createDataFrame([("1", "t", "new", "c"), ("2", "t", "ignored", "b"), ("3", "t", "more", "")], kind).coalesce(1).write.mode("append").parquet(str(src))
         q.processAllAvailable()
-        last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-        got = {r["document_id"]: r["body"] for r in spark.read.parquet(str(tmp_path / "out" / f"version={last}")).collect()}
+        got = {r["document_id"]: r["body"] for r in sync.stored_points(spark, str(tmp_path / "out")).collect()}
     finally:
         q.stop()
     assert got == {"1": "new", "2": "same", "3": "more"}
