@@ -6,7 +6,7 @@ spaces, long tokens) the first LONGEST characters are a unit and each further ch
 run changes only the k-mers around it.
 
 One permutation serves all components: a hash deals the numbered k-mers to m bins and orders them in each. A text of n
-units costs two sorts of n entries inside its row; the result holds at most m entries. A fingerprint is its entries in
+units costs a sort of n numbers inside its row (two more where k-mers repeat); the result holds at most m entries. A fingerprint is its entries in
 bin order, six hex digits each (two for the bin, four for the tuple). Likeness is the share of equal entries among the
 bins that either text fills.
 
@@ -35,35 +35,46 @@ def units(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(f"{INSIDE}{{{LONGEST + 1}}}")), cut).otherwise(words(text))
 
 
-def add_fingerprint(df: DataFrame, text: str, out: str, k: int = 3, bins: int = 64, l: int = 2) -> DataFrame:  # noqa: E741
-    """df with the entries (bin * 65536 + tuple hash) of the text column as array<bigint>."""
-    unit = lambda i: F.get(F.col("_hashes"), i)
-    kmer = lambda i: F.struct(F.xxhash64(*(unit(i + j) for j in range(k))).alias("kmer"), i.alias("at"))
-    kmers = F.when(F.size("_hashes") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size("_hashes") - k, F.lit(0))), kmer)).otherwise(F.array().cast("array<struct<kmer:bigint,at:int>>"))
-    df = df.withColumn("_hashes", F.transform(units(F.col(text)), lambda w: F.xxhash64(w)))
-    df = df.withColumn("_sorted", F.sort_array(kmers))
+def _numbered(kmers: Column) -> Column:
+    """Hashes of the k-mers and their occurrence numbers, in text order. An occurrence number is the distance to the first
+    equal k-mer in sorted order; texts without repeated k-mers, the most, need no sort for it."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  evaluates value once
 
-    def numbered(x: Column, i: Column) -> Column:
-        """Bin and order by the hash of the k-mer and its occurrence number, which is the distance to the first equal k-mer
-        in sorted order (searched for repeated ones only)."""
-        again = F.coalesce(F.get(F.col("_sorted"), i - 1)["kmer"] == x["kmer"], F.lit(False))
-        first = bisect(F.col("_sorted"), lambda y: y["kmer"] < x["kmer"]) + 1
-        h = F.xxhash64(x["kmer"], F.when(again, i - first).otherwise(F.lit(0)))
-        return F.struct(F.pmod(h, F.lit(bins)).alias("bin"), h.alias("hash"), x["at"].alias("at"))
+    def of_sorted(s: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            again = F.coalesce(F.get(s, i - 1)["kmer"] == x["kmer"], F.lit(False))
+            first = bisect(s, lambda y: y["kmer"] < x["kmer"]) + 1
+            return F.struct(x["at"].alias("at"), F.xxhash64(x["kmer"], F.when(again, i - first).otherwise(F.lit(0))).alias("hash"))
 
-    df = df.withColumn("_keyed", F.sort_array(F.transform("_sorted", numbered)))
-    least = F.filter("_keyed", lambda x, i: ~F.coalesce(F.get(F.col("_keyed"), i - l)["bin"] == x["bin"], F.lit(False)))
-    df = df.withColumn("_least", least)
+        return F.transform(F.sort_array(F.transform(s, one)), lambda x: x["hash"])
+
+    placed = F.sort_array(F.transform(kmers, lambda k, i: F.struct(k.alias("kmer"), i.alias("at"))))
+    single = F.transform(kmers, lambda k: F.xxhash64(k, F.lit(0)))
+    return F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), single).otherwise(let(placed, of_sorted))
+
+
+def add_fingerprint(df: DataFrame, text: str, out: str, k: int = 3, bits: int = 6, l: int = 2) -> DataFrame:  # noqa: E741
+    """df with the entries (bin * 65536 + tuple hash) of the text column as array<bigint>. There are 2^bits bins, which are
+    the highest bits of a hash, so sorted hashes lie bin by bin."""
+    unit = lambda i: F.get(F.col("_units"), i)
+    kmer = lambda i: F.xxhash64(*(unit(i + j) for j in range(k)))
+    kmers = F.when(F.size("_units") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size("_units") - k, F.lit(0))), kmer)).otherwise(F.array().cast("array<bigint>"))
+    bin_of = lambda h: F.shiftright(h, 64 - bits) + (1 << bits - 1)
+    df = df.withColumn("_units", F.transform(units(F.col(text)), lambda w: F.xxhash64(w))).withColumn("_kmers", kmers)
+    df = df.withColumn("_hashes", _numbered(F.col("_kmers"))).withColumn("_sorted", F.sort_array("_hashes"))
+    least = F.filter("_sorted", lambda h, i: ~F.coalesce(bin_of(F.get(F.col("_sorted"), i - l)) == bin_of(h), F.lit(False)))
+    df = df.withColumn("_least", F.array_intersect(F.col("_hashes"), least))  # the l least of each bin, in text order
+    df = df.withColumn("_dealt", F.sort_array(F.transform("_least", lambda h, i: bin_of(h) * 65536 + i)))  # bin by bin, in text order
+    same_bin = lambda x, i: F.coalesce(F.shiftright(F.get(F.col("_dealt"), i), 16) == F.shiftright(x, 16), F.lit(False))
+    hash_at = lambda i: F.get(F.col("_least"), F.get(F.col("_dealt"), i).bitwiseAND(65535).cast("int"))
 
     def entry(x: Column, i: Column) -> Column:
         """At the first k-mer of a bin: the bin and the hash of its l k-mers in text order."""
-        begins = ~F.coalesce(F.get(F.col("_least"), i - 1)["bin"] == x["bin"], F.lit(False))
-        own = F.filter(F.slice("_least", i + 1, F.lit(l)), lambda y: y["bin"] == x["bin"])
-        placed = F.array_sort(F.transform(own, lambda y: F.struct(y["at"].alias("at"), y["hash"].alias("hash"))))
-        return F.when(begins, x["bin"] * 65536 + F.pmod(F.xxhash64(F.transform(placed, lambda p: p["hash"])), F.lit(65536)))
+        own = F.array(hash_at(i), *(F.when(same_bin(x, i + j), hash_at(i + j)) for j in range(1, l)))
+        return F.when(~same_bin(x, i - 1), F.shiftright(x, 16) * 65536 + F.pmod(F.xxhash64(own), F.lit(65536)))
 
-    df = df.withColumn(out, F.filter(F.transform("_least", entry), lambda e: e.isNotNull()))
-    return df.drop("_hashes", "_sorted", "_keyed", "_least")
+    df = df.withColumn(out, F.filter(F.transform("_dealt", entry), lambda e: e.isNotNull()))
+    return df.drop("_units", "_kmers", "_hashes", "_sorted", "_least", "_dealt")
 
 
 def likeness(a: str, b: str) -> Column:
