@@ -1,13 +1,13 @@
-"""What the training-data operators share: table access and lineage cuts in the cluster's shared folder."""
+"""What the training-data operators share: table access, row identity and batch sizes. Lineage is cut by tables written
+into the cluster's shared folder (quarry.storage)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.storage import written
+
 #: ASCII white space, the separators of words.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -17,24 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (local tests), a temporary one that is set once."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it again, so that it is computed once
-    and the loss of an executor does not repeat the work."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bounds the bytes of a batch that goes to a Python worker, whatever the length of texts (a row at least). Sets the
     session's spark.sql.execution.arrow.maxBytesPerBatch where it is larger."""

@@ -1,5 +1,6 @@
 """Suffix-array dedup: removes every byte covered by a string of `length` bytes that also starts earlier in the corpus
-(smaller doc_id, or the same document and an earlier start). Exact on bytes, judged on the input.
+(smaller doc_id, or the same document and an earlier start). Judged on the input, and exact on bytes but for one step:
+whole contexts (below) are taken as copies when two independent 64-bit hashes of them agree, without a look at the bytes.
 
 1. Anchors. In every window of `length` bytes the k-gram of least hash (leftmost first) is the window's anchor, so equal
    windows have equal anchors at equal offsets. Consecutive windows of one anchor and the bytes under them form its
@@ -49,16 +50,20 @@ def _values() -> np.ndarray:
     return rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> np.ndarray:
-    power = np.full(1 << bits, 0x9E3779B97F4A7C15, np.uint64)
+@lru_cache(maxsize=4)
+def _powers(bits: int, base: int) -> np.ndarray:
+    power = np.full(1 << bits, base, np.uint64)
     power[0] = 1
     return np.cumprod(power, dtype=np.uint64)
 
 
-def _power(n: int) -> np.ndarray:
-    """At least n powers of the odd base modulo 2^64."""
-    return _powers(max(BITS + 1, n.bit_length()))
+#: Odd bases of the two hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _power(n: int, which: int = 0) -> np.ndarray:
+    """At least n powers of an odd base modulo 2^64."""
+    return _powers(max(BITS + 1, n.bit_length()), BASES[which])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,15 +71,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def _prefixes(data: np.ndarray, values: np.ndarray) -> np.ndarray:
+def _prefixes(data: np.ndarray, values: np.ndarray, which: int = 0) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * _power(len(data))[: len(data)], out=out[1:])
+    np.cumsum(values[data] * _power(len(data), which)[: len(data)], out=out[1:])
     return out
 
 
-def _hash(prefix: np.ndarray, at: np.ndarray, length) -> np.ndarray:
+def _hash(prefix: np.ndarray, at: np.ndarray, length, which: int = 0) -> np.ndarray:
     """Equal strings have equal values wherever they lie: the difference is scaled to one common power."""
-    return (prefix[at + length] - prefix[at]) * _power(len(prefix) + 1)[len(prefix) - at]
+    return (prefix[at + length] - prefix[at]) * _power(len(prefix) + 1, which)[len(prefix) - at]
 
 
 def _anchors(data: np.ndarray, starts_ok: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -95,9 +100,9 @@ def _anchors(data: np.ndarray, starts_ok: np.ndarray, length: int) -> tuple[np.n
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts_ok[1:] != starts_ok[:-1] + 1)]))
     low, high = starts_ok[first], starts_ok[np.append(first[1:], len(starts_ok)) - 1]
     anchor = anchor[first]
-    second = _prefixes(data, others)
+    second = _prefixes(data, others, 1)
     size = high - low + length
-    context = _mix(_hash(second, low, size) + _mix((size * 256 + anchor - low).astype(np.uint64)))
+    context = _mix(_hash(second, low, size, 1) + _mix((size * 256 + anchor - low).astype(np.uint64)))
     return low, high - low + 1, anchor - low, grams[anchor], context
 
 
