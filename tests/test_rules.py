@@ -318,6 +318,16 @@ def test_sync_job(spark, tmp_path):
     assert sync.main([str(tmp_path / "none"), at]) == 1
 
 
+def test_written_tables_can_be_dropped(spark):
+    from quarry import storage
+
+    one = storage.written(spark.range(3), "some")
+    files = one.inputFiles()
+    assert one.count() == 3 and storage.drop_written(spark) > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(*files)
+
+
 def test_sentences_split_at_any_white_space(spark):
     said = "One here.\u00a0Two there.\u2003Three at Bob. Four? (Five) end! no"
     got = spark.createDataFrame([(said,)], "t string").select(X.sentences(F.col("t")).alias("s")).first()["s"]
