@@ -303,14 +303,14 @@ def dropped_citations(spark, d):
 
 # The contexts are folded a rank at a time: a source is left out if a kept one holds it or is held by it, and the first that
 # passes the budget ends the list.
-SQL_CONTEXT = f"""{SQL_LISTS}, best AS (SELECT query_id, fused_rank AS rank, chunk_id, text AS content, lower({sql_collapse('text')}) AS norm, greatest(1, length(text) // 4) AS tokens FROM ranked JOIN documents ON doc_id = chunk_id WHERE fused_rank <= 5),
-walk AS (SELECT DISTINCT query_id, 0 AS rank, 0::BIGINT AS used, false AS done, []::VARCHAR[] AS norms, []::INTEGER[] AS kept FROM best
-  UNION ALL SELECT query_id, rank, CASE WHEN take THEN used + tokens ELSE used END, done OR (NOT again AND over), CASE WHEN take THEN list_append(norms, norm) ELSE norms END, CASE WHEN take THEN list_append(kept, rank) ELSE kept END
+SQL_CONTEXT = f"""{SQL_LISTS}, best AS (SELECT query_id, fused_rank AS rank, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS pos, chunk_id, text AS content, lower({sql_collapse('text')}) AS norm, greatest(1, length(text) // 4) AS tokens FROM ranked JOIN documents ON doc_id = chunk_id WHERE fused_rank <= 5),
+walk AS (SELECT DISTINCT query_id, 0::BIGINT AS pos, 0::BIGINT AS used, false AS done, []::VARCHAR[] AS norms, []::BIGINT[] AS kept FROM best
+  UNION ALL SELECT query_id, pos, CASE WHEN take THEN used + tokens ELSE used END, done OR (NOT again AND over), CASE WHEN take THEN list_append(norms, norm) ELSE norms END, CASE WHEN take THEN list_append(kept, pos) ELSE kept END
   FROM (SELECT *, NOT done AND NOT again AND NOT over AS take FROM (
-    SELECT w.query_id, b.rank, used, done, norms, kept, norm, tokens, len(list_filter(norms, lambda k: contains(k, norm) OR contains(norm, k))) > 0 AS again, len(kept) > 0 AND used + tokens > 2000 AS over
-    FROM walk w JOIN best b ON b.query_id = w.query_id AND b.rank = w.rank + 1))),
-context AS (SELECT w.query_id, list_position(kept, b.rank)::INTEGER AS reference_id, b.rank, chunk_id, content, tokens FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1) w
-  JOIN best b ON b.query_id = w.query_id AND list_contains(kept, b.rank))"""
+    SELECT w.query_id, b.pos, used, done, norms, kept, norm, tokens, len(list_filter(norms, lambda k: contains(k, norm) OR contains(norm, k))) > 0 AS again, len(kept) > 0 AND used + tokens > 2000 AS over
+    FROM walk w JOIN best b ON b.query_id = w.query_id AND b.pos = w.pos + 1))),
+context AS (SELECT w.query_id, list_position(kept, b.pos)::INTEGER AS reference_id, b.rank, chunk_id, content, tokens FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) = 1) w
+  JOIN best b ON b.query_id = w.query_id AND list_contains(kept, b.pos))"""
 
 
 def _context(spark, d):
