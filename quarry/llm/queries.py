@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe_queries, chat_queries, divergence_queries, html_queries, importance_queries, langid_queries, minhash_queries, packing_queries, quality_queries, simhash_queries, suffix_queries, url_queries
+from quarry.llm import bpe_queries, chat_queries, divergence_queries, html_queries, importance_queries, langid_queries, minhash_queries, packing_queries, quality_queries, simhash_queries, suffix_queries, toxicity_queries, url_queries
 
-MODULES = (chat_queries, url_queries, quality_queries, minhash_queries, suffix_queries, simhash_queries, bpe_queries, packing_queries, langid_queries, html_queries, divergence_queries, importance_queries)
+MODULES = (chat_queries, url_queries, quality_queries, minhash_queries, suffix_queries, simhash_queries, bpe_queries, packing_queries, langid_queries, html_queries, divergence_queries, importance_queries, toxicity_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
