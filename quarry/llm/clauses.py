@@ -118,20 +118,22 @@ class Composed:
         self.start, self.steps = tuple(s for s, _ in parts), [f for _, f in parts]
         self.arcs: dict[tuple, tuple] = {}
 
-    def _arc(self, state: tuple, symbol: int) -> tuple:
+    def _arc(self, state: tuple, symbol: int) -> tuple[tuple, bool]:
         out = []
         for at, step in zip(state, self.steps, strict=True):
             at, symbol = step(at, symbol)
             out.append(at)
-        return tuple(out)
+        return tuple(out), isinstance(symbol, tuple)
 
-    def run(self, symbols: bytes) -> tuple:
-        state = self.start
+    def run(self, symbols: bytes) -> tuple[tuple, int]:
+        """The last state, and how many events were written."""
+        state, events = self.start, 0
         for x in symbols:
-            if (to := self.arcs.get((state, x))) is None:
-                to = self.arcs[state, x] = self._arc(state, x)
-            state = to
-        return state
+            if (arc := self.arcs.get((state, x))) is None:
+                arc = self.arcs[state, x] = self._arc(state, x)
+            state, is_event = arc
+            events += is_event
+        return state, events
 
 
 #: Classes: event (threat, tiers), denied, reported, aimed at somebody.
@@ -147,17 +149,19 @@ _GRAMMAR = grammar()
 
 
 @lru_cache(1 << 16)
-def class_of(clause: bytes) -> int:
-    """The class of a clause's symbols, or -1."""
-    if max(clause) < HARM:
-        return -1
-    best, aimed = _GRAMMAR.run(clause)[-1]
-    return -1 if best is None else _NUMBER[(*best, aimed)]
+def class_of(clause: bytes) -> tuple[int, int]:
+    """The class of a clause's symbols (by its strongest event) and the number of its events."""
+    state, events = _GRAMMAR.run(clause)
+    best, aimed = state[-1]
+    return (-1, 0) if best is None else (_NUMBER[(*best, aimed)], events)
 
 
 def parse(text: str, symbols: Symbols) -> tuple[int, Counter]:
-    """How many clauses a text has, and how many of each class."""
-    read = CLAUSE.findall(bytes(map(symbols.__getitem__, TOKEN.findall(text.lower()))))
-    found = Counter(class_of(c) for c in read if max(c) >= HARM)
+    """How many clauses a text has, and how many events are in the clauses of each class."""
+    read, found = CLAUSE.findall(bytes(map(symbols.__getitem__, TOKEN.findall(text.lower())))), Counter()
+    for c in read:
+        if max(c) >= HARM:
+            of, events = class_of(c)
+            found[of] += events
     found.pop(-1, None)
     return len(read), found

@@ -41,10 +41,11 @@ def words(text: Column) -> Column:
 
 def features(found: Column, longest: int) -> Column:
     """Runs of 1 to `longest` words."""
-    if longest == 1:
-        return found
-    runs = [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(found) - (k - 1), F.lit(1))), lambda i, k=k: i + (k - 1) <= F.size(found)), lambda i, k=k: F.array_join(F.slice(found, i, k), " ")) for k in range(1, longest + 1)]
-    return F.concat(*runs)
+    def runs(k: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(found) - (k - 1), F.lit(1))), lambda i: i + (k - 1) <= F.size(found))
+        return F.transform(starts, lambda i: F.array_join(F.slice(found, i, k), " "))
+
+    return found if longest == 1 else F.concat(*map(runs, range(1, longest + 1)))
 
 
 def bucketed(texts: DataFrame, r: Resampling, *carry: str) -> DataFrame:

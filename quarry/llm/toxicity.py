@@ -2,10 +2,10 @@
 
 1. Lexicon: of each word and word beginning, how many toxic and other documents have it. Those that are significantly (by
    likelihood ratio) and at least e times as frequent in toxic ones are insults, in four tiers by that ratio.
-2. Weights: a class of clauses weighs the log of its rate in toxic over its rate in other documents, drawn towards the
+2. Weights: a class of clauses weighs the log of the rate of its events in toxic over that in other documents, drawn towards the
    weight of its tier (halved if denied or reported), and that towards none. Clauses are parsed with a lexicon that was
    learned without their fold of documents, so a word that is frequent by chance earns no weight.
-3. Score: a logistic function of a document's matched clauses (their sum, the heaviest, their share), fitted by Newton steps,
+3. Score: a logistic function of the weights of a document's matched clauses (sum over their events, heaviest clause, sum a clause), fitted by Newton steps,
    each one aggregation, with a ridge towards DEFAULT.
 
 Learned from at most about `toxic_rows` and `other_rows` labels, chosen by hash (all where there are fewer; documents with a
@@ -49,12 +49,12 @@ class Learning:
     tiers: tuple[float, ...] = (1.0, 2.0, 3.0, 4.5)
     #: Weight, in clauses, of what a class's weight is drawn to; and of the ridge.
     pull: float = 10.0
-    ridge: float = 1.0
+    ridge: float = 0.5
     newton: int = 12
 
 
 #: The logistic function's coefficients before anything is learned: constant, log of the sum, heaviest clause, log of the share.
-DEFAULT = (-4.0, 0.5, 1.0, 0.0)
+DEFAULT = (-6.0, 1.5, 0.0, 1.0)
 #: The weight of a threat before anything is learned.
 THREAT_WEIGHT = 4.0
 
