@@ -1,48 +1,130 @@
-"""BM25 as tables: postings (term, chunk_id, tf, dl) and term_stats (term, df, idf), built once and written; a search
-touches only the postings of the query's terms."""
+"""BM25 as tables: postings (term, chunk_id, tf, dl) and term_stats (term, df, idf); a search touches only the postings of the
+query's terms. A saved index is a pair of tables that change by batches (quarry.operators.store): a batch's postings are a
+segment, what it takes out are tombstones, and statistics are sums over segments whose rows can be negative, so that only the
+batch is tokenized and the index equals a rebuild."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.functions.text import tokenize
+from quarry.operators.store import Table
+from quarry.storage import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
+def term_counts(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """chunk_id, dl, term, tf, and for each chunk a row without a term. Texts are tokenized once: the counts are written."""
+    split = chunks.select("chunk_id", tokenize(F.coalesce(text, F.lit(""))).alias("tokens"))
+    every = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    rows = split.select("chunk_id", F.size("tokens").alias("dl"), F.explode(every).alias("term"))
+    return written(rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")), "term-counts")
+
+
+def _postings(counts: DataFrame) -> DataFrame:
+    return counts.filter("term IS NOT NULL").select("chunk_id", "term", "tf", "dl")
+
+
+def _frequencies(counts: DataFrame) -> DataFrame:
+    return counts.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _sizes(counts: DataFrame) -> dict:
+    """How many chunks, and their length in all."""
+    row = counts.filter("term IS NULL").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).head()
+    return {"n": row["n"], "length": row["length"]}
+
+
+def _with_idf(df: DataFrame, n: int) -> DataFrame:
+    """term, df, idf: negative ones become a share of the mean."""
+    raw = df.select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # mean has one row
+
+
+def _corpus(spark: SparkSession, n: int, length: int) -> DataFrame:
+    return spark.range(1, numPartitions=1).select(F.lit(n).cast("long").alias("n"), (F.lit(length) / F.lit(n)).alias("avgdl"))
+
+
+def _tables(spark: SparkSession, path: str, ids: str = "string") -> tuple[Table, Table]:
+    postings = Table(spark, f"{path}/postings", f"chunk_id {ids}, term string, tf long, dl int", ("chunk_id",), order=("term", "chunk_id"))
+    return postings, Table(spark, f"{path}/term_stats", "term string, df long", (), order=("term",))
+
+
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame  # one row: n, avgdl
+    frequencies: DataFrame | None = None
+    sizes: dict | None = None
 
     def save(self, path: str) -> None:
-        """postings are laid out by term, so that a search skips the row groups of other terms."""
-        if self.postings.isEmpty():
+        """Postings are laid out by term and chunk, so that a search skips the row groups of other terms and a frequent term
+        is spread over files."""
+        if not self.sizes or not self.sizes["length"]:
             raise ValueError("nothing to index")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        spark = self.postings.sparkSession
+        postings, stats = _tables(spark, path, self.postings.schema["chunk_id"].dataType.simpleString())
+        postings.rollback(0)
+        stats.rollback(0)
+        stats.replace(self.frequencies, self.sizes)
+        postings.replace(self.postings.repartitionByRange("term", "chunk_id"), self.sizes)
 
     @staticmethod
-    def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "corpus")))
+    def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
+        """Of a version, by default the last that both tables have."""
+        postings, stats = _tables(spark, path)
+        there = set(postings.versions()) & set(stats.versions())
+        version = max(there, default=0) if version is None else version
+        if version not in there:
+            raise ValueError(f"no index of version {version} under {path}")
+        facts = stats.facts(version)
+        df = stats.read(version).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        first = next(s for s in postings.segments(version) if s.kind == "rows")
+        ids = spark.read.parquet(f"{path}/postings/rows/{first.name}").schema["chunk_id"].dataType.simpleString()
+        rows = _tables(spark, path, ids)[0].read(version)
+        return Index(rows, _with_idf(df, facts["n"]), _corpus(spark, facts["n"], facts["length"]), df, facts)
 
 
 def build(chunks: DataFrame, text: str = "text") -> Index:
     """chunks: chunk_id and a text column."""
-    split = chunks.select("chunk_id", tokenize(F.coalesce(text, F.lit(""))).alias("tokens"))
-    corpus = split.agg(F.count("*").alias("n"), (F.sum(F.size("tokens")) / F.count("*")).alias("avgdl"))
-    postings = split.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(corpus), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # corpus has one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    stats = raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, stats, corpus)
+    counts = term_counts(chunks, text)
+    sizes, df = _sizes(counts), _frequencies(counts)
+    return Index(_postings(counts), _with_idf(df, sizes["n"]), _corpus(chunks.sparkSession, sizes["n"], sizes["length"]), df, sizes)
+
+
+def update(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame, after: int | None = None) -> int:
+    """Takes the chunks `gone` (chunk_id, text as it was indexed) out and puts `fresh` (chunk_id, text) in; returns the
+    version. Only these texts are tokenized. after: the version that this one follows; later ones, which a job that died
+    has left, are forgotten. A chunk_id of fresh that is stored must be in gone as well."""
+    ids = fresh.schema["chunk_id"].dataType.simpleString()
+    postings, stats = _tables(spark, path, ids)
+    after = min(max(t.versions(), default=0) for t in (postings, stats)) if after is None else after
+    for t in (postings, stats):
+        t.rollback(after)
+    come, go = term_counts(fresh), term_counts(gone)
+    plus, minus = _sizes(come), _sizes(go)
+    facts = {k: plus[k] - minus[k] for k in plus}
+    signed = _frequencies(come).unionByName(_frequencies(go).withColumn("df", -F.col("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+    stats.write(signed, facts=facts)
+    rows = _postings(come).repartitionByRange("term", "chunk_id")
+    postings.write(rows, {"chunk_id": go.filter("term IS NULL").select(F.col("chunk_id").alias("key"))} if minus["n"] else None, facts)
+    return max(postings.versions())
+
+
+def compact(spark: SparkSession, path: str, ids: str = "string", **how) -> int:  # noqa: ANN003
+    """Merges segments (Table.compact) and adds the statistics up."""
+    postings, stats = _tables(spark, path, ids)
+    merged = postings.compact(**how)
+    if merged:
+        stats.replace(stats.read().groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), stats.facts())
+    return merged
 
 
 def scores(index: Index, queries: DataFrame, text: str = "text", broadcast_terms: int = 200_000) -> DataFrame:

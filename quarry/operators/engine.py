@@ -21,7 +21,7 @@ Analyzer = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Engine:
-    """chunks: chunk_id (long), content, properties and others; embeddings: chunk_id, embedding; index: a BM25 index (or a
+    """chunks: chunk_id, content, properties and others; embeddings: chunk_id, embedding; index: a BM25 index (or a
     callable that loads one when it is first needed); analyzer: from query_id, text to query_id, semantic_query, filters;
     encode: texts to vectors, for requests without given ones."""
 
@@ -84,7 +84,7 @@ class Engine:
         """The first chunks of each filter set, then of the requests that have it."""
         held = self.chunks.select("chunk_id", F.explode(F.array(F.lit(-1), *(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(self._conditions(sets, "index"))))).alias("filter_set"))
         first = held.filter("filter_set IS NOT NULL").withColumn("rank", F.row_number().over(W.partitionBy("filter_set").orderBy("chunk_id"))).filter(F.col("rank") <= depth)
-        return asked.select("query_id", "filter_set").join(first, "filter_set").select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.lit(0.0).alias("score"), "rank")
+        return asked.select("query_id", "filter_set").join(first, "filter_set").select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank")
 
     def _passing(self, found: DataFrame, asked: DataFrame, sets: list[list[Filter]], mode: str) -> DataFrame:
         """The rows whose chunk passes the filters of their request."""

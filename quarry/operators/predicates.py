@@ -4,7 +4,7 @@ a store does; `memory` compares normalized text, and dates by calendar day."""
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 from typing import Any
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.dates import iso_date
 from quarry.functions.text import strip
+from quarry.operators import columns as typed_columns
 
 # Operator names and the fields that are columns of their own.
 OPERATORS = ("equals", "contains", "gt", "gte", "lt", "lte", "between")
@@ -38,11 +39,16 @@ def _stored(f: Filter, columns: list[str]) -> Column | None:
 
 
 def compile_filters(filters: list[Filter], mode: str, columns: list[str]) -> Column:
-    """All filters hold; no filter holds everywhere. columns: those of the rows, which tells the system fields there are."""
+    """All filters hold; no filter holds everywhere. columns: those of the rows, which tells the system fields and the typed
+    columns there are; a field with typed columns is asked there, others in the map."""
     parts = []
     for f in filters:
         if f.operator not in OPERATORS:
             raise ValueError(f"unsupported filter operator: {f.operator}")
+        typed = typed_columns.parts(f.field, columns)
+        if typed:
+            parts.append({"memory": _typed_memory, "index": _typed_index}[mode](f, typed))
+            continue
         stored = _stored(f, columns)
         one = {"memory": _memory, "index": _index}[mode](f, stored) if stored is not None else F.lit(False)
         parts.append(F.coalesce(one, F.lit(False)))
@@ -115,6 +121,69 @@ def _exact(v: Column, wanted: Any) -> Column:
     return F.when(v["kind"] == "list", F.array_contains(v["items"], str(wanted))).otherwise((v["kind"] == "string") & (v["text"] == str(wanted)))
 
 
+def _any(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
+def _typed_memory(f: Filter, c: dict[str, Column]) -> Column:
+    """What _memory finds, on typed columns. Rows without a value give null, which a filter drops, so that plain comparisons
+    reach the scan."""
+    if f.operator not in RANGES:
+        wanted = sorted({str(x).strip().lower() for x in (f.value if _listed(f.value) else [f.value])})
+        one = [c["norm"].isin(wanted)] if "norm" in c else []
+        if "norms" in c:
+            one.append(F.arrays_overlap(c["norms"], F.array(*map(F.lit, wanted)).cast("array<string>")))
+        return one[0] if len(one) == 1 else _any([F.coalesce(x, F.lit(False)) for x in one])
+    bounds = list(f.value) if f.operator == "between" and isinstance(f.value, (list, tuple)) else [f.value]
+    if len(bounds) != (2 if f.operator == "between" else 1):
+        return F.lit(False)
+    found = []
+    if "day" in c and all(map(_date_text, bounds)):
+        found.append(_compare(f.operator, c["day"], [F.lit(date.fromisoformat(b.strip()[:10])) for b in bounds]))
+    numbers = [_number(b) for b in bounds]
+    if None not in numbers:
+        numbers = list(map(F.lit, numbers))
+        found += [_compare(f.operator, c["num"], numbers)] if "num" in c else []
+        found += [_compare(f.operator, c["flag"].cast("double"), numbers)] if "flag" in c else []
+        if "text" in c:
+            no_day = c["day"].isNull() if "day" in c else F.lit(True)
+            found.append(no_day & _compare(f.operator, strip(c["text"]).try_cast("double"), numbers))
+    return found[0] if len(found) == 1 else _any([F.coalesce(x, F.lit(False)) for x in found])
+
+
+def _typed_index(f: Filter, c: dict[str, Column]) -> Column:
+    """What _index finds, on typed columns."""
+    if f.operator not in RANGES:
+        found = []
+        for w in list(f.value) if _listed(f.value) else [f.value]:
+            part = "flag" if isinstance(w, bool) else "num" if isinstance(w, (int, float)) else "text"
+            if part in c:
+                found.append(c[part] == (float(w) if part == "num" else w if part == "flag" else str(w)))
+            if part == "text" and "items" in c:
+                found.append(F.coalesce(F.array_contains(c["items"], str(w)), F.lit(False)))
+        return found[0] if len(found) == 1 else _any([F.coalesce(x, F.lit(False)) for x in found])
+    _index(f, F.struct(F.lit("").alias("kind"), F.lit("").alias("text"), F.lit(0.0).alias("num"), F.lit(False).alias("flag"), F.array(F.lit("")).alias("items")))  # refuses malformed bounds
+    bounds = list(f.value) if f.operator == "between" else [f.value]
+    if any(map(_date_text, bounds)):
+        instants = [F.try_to_timestamp(F.lit(str(b))) for b in bounds]
+        holds = lambda x: F.coalesce(_compare(f.operator, F.try_to_timestamp(x), instants), F.lit(False))
+        found = [holds(c["text"]) & _near(f.operator, c["day"], bounds) if "day" in c and "text" in c else holds(c["text"])] if "text" in c else []
+        return _any(found + ([F.coalesce(F.exists(c["items"], holds), F.lit(False))] if "items" in c else []))
+    return _compare(f.operator, c["num"], [F.lit(_number(b)) for b in bounds]) if "num" in c else F.lit(False)
+
+
+def _near(operator: str, day: Column, bounds: list[Any]) -> Column:
+    """Holds wherever instants can satisfy the comparison: days compared two days wider (instants have zones), so that the
+    scan can skip. Rows without a day are not decided here."""
+    days = [date.fromisoformat(b.strip()[:10]) if _date_text(b) else None for b in bounds]
+    if None in days:
+        return F.lit(True)
+    wide = timedelta(days=2)
+    low = day >= F.lit(days[0] - wide) if operator in ("gt", "gte", "between") else F.lit(True)
+    high = day <= F.lit(days[-1] + wide) if operator in ("lt", "lte", "between") else F.lit(True)
+    return day.isNull() | (low & high)
+
+
 def _compare(operator: str, value: Column, bounds: list[Column]) -> Column:
     if operator == "between":
         return value.between(*bounds)

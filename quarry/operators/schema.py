@@ -26,18 +26,31 @@ def by_type(kind: Column, table: dict) -> Column:
     return out
 
 
-def infer_schema(documents: DataFrame) -> DataFrame:
+def seen(documents: DataFrame) -> DataFrame:
+    """name and how many values of each kind it has: list, plain (texts that are no dates), dated, flag, number. Counts add up
+    over batches and, taken negative, undo what is deleted, so a schema needs only the batches."""
+    text = F.col("kind") == "string"
+    kinds = {"list": F.col("kind") == "list", "plain": text & ~is_iso_date(F.col("text")), "dated": text & is_iso_date(F.col("text")), "flag": F.col("kind") == "boolean", "number": F.col("kind") == "number"}
+    return property_rows(documents).groupBy("name").agg(*(F.count_if(c).alias(k) for k, c in kinds.items()))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Counts of kinds added up; names without any value left are gone."""
+    kinds = ("list", "plain", "dated", "flag", "number")
+    return parts.groupBy("name").agg(*(F.sum(k).alias(k) for k in kinds)).filter(" OR ".join(f"{k} > 0" for k in kinds))
+
+
+def of_seen(counts: DataFrame) -> DataFrame:
     """name, type, multi, operators. A list anywhere makes a multiple string; then a plain string a string; then a date,
-    or "date" in the name, a date; then booleans, numbers. Partial aggregation, one row a name."""
-    rows = property_rows(documents)
-    kind = lambda k: F.col("kind") == k
-    text = kind("string")
-    seen = rows.groupBy("name").agg(
-        F.bool_or(kind("list")).alias("list"), F.bool_or(text & ~is_iso_date(F.col("text"))).alias("plain"), F.bool_or(text & is_iso_date(F.col("text"))).alias("dated"),
-        F.bool_or(kind("boolean")).alias("flag"), F.bool_or(kind("number")).alias("number"),
-    )
-    found = F.when(F.col("list") | F.col("plain"), "string").when(F.col("dated") | F.contains(F.lower("name"), F.lit("date")), "date").when(F.col("flag"), "boolean").when(F.col("number"), "number").otherwise("string")
-    return seen.select("name", found.alias("type"), F.col("list").alias("multi")).withColumn("operators", by_type(F.col("type"), BY_TYPE))
+    or "date" in the name, a date; then booleans, numbers."""
+    there = lambda k: F.col(k) > 0
+    found = F.when(there("list") | there("plain"), "string").when(there("dated") | F.contains(F.lower("name"), F.lit("date")), "date").when(there("flag"), "boolean").when(there("number"), "number").otherwise("string")
+    return counts.select("name", found.alias("type"), there("list").alias("multi")).withColumn("operators", by_type(F.col("type"), BY_TYPE))
+
+
+def infer_schema(documents: DataFrame) -> DataFrame:
+    """The schema of documents' properties. Partial aggregation, one row a name."""
+    return of_seen(seen(documents))
 
 
 def schema_of_fields(fields: DataFrame) -> DataFrame:

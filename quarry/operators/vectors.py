@@ -1,5 +1,5 @@
 """Exact cosine search: query vectors go to every task, which multiplies them with its vectors and keeps the best k of each
-query; a window picks the best of those."""
+query over all its rows; a window picks the best of those."""
 
 from __future__ import annotations
 
@@ -26,31 +26,33 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, sets: list[Column] | None = None, most_bytes: int = 64 << 20) -> DataFrame:
-    """query_id, rank, chunk_id, score. vectors: chunk_id (long), embedding; queries: query_id, embedding and, if sets are
-    given, `filter_set`, the index of the condition on the rows of vectors that the query asks for (-1: none). Queries are
-    given vectors, sent to the tasks in turns of most_bytes and multiplied in blocks of BLOCK, so the table is read once a
-    turn and nothing but the best k of a task and query moves."""
+    """query_id, rank, chunk_id, score. vectors: chunk_id, embedding; queries: query_id, embedding (ids of any type that sorts)
+    and, if sets are given, `filter_set`, the index of the condition on the rows of vectors that the query asks for (-1:
+    none). Queries are given vectors, sent to the tasks in turns of most_bytes and multiplied in blocks of BLOCK, so the table
+    is read once a turn. A task keeps the best k of each query over all its batches, and nothing else moves."""
     if k <= 0:
         raise ValueError("k must be positive")
     spark, found = vectors.sparkSession, None
+    ids, asks = (df.schema[c].dataType.simpleString() for df, c in ((vectors, "chunk_id"), (queries, "query_id")))
+    kind = f"query_id {asks}, chunk_id {ids}, score double"
     passed = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(sets or []))).cast("array<int>"), lambda x: x.isNotNull())
-    rows = vectors.select(F.col("chunk_id").cast("long"), "embedding", passed.alias("passed")).filter("embedding IS NOT NULL")
+    rows = vectors.select("chunk_id", "embedding", passed.alias("passed")).filter("embedding IS NOT NULL")
     for turn in _turns(queries, most_bytes):
         sent = spark.sparkContext.broadcast(turn)
-        part = rows.mapInArrow(_best(sent, k, len(sets or [])), "query_id long, chunk_id long, score double")
+        part = rows.mapInArrow(_best(sent, k, len(sets or [])), kind)
         found = part if found is None else found.unionAll(part)
     if found is None:
-        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+        return spark.createDataFrame([], f"{kind}, rank int")
     return top_k(found, k)
 
 
-def _turns(queries: DataFrame, most_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _turns(queries: DataFrame, most_bytes: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """ids, filter sets and unit vectors of the queries, so many at a time."""
     wanted = queries if "filter_set" in queries.columns else queries.withColumn("filter_set", F.lit(-1))
     held: list = []
 
-    def emit():
-        return np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64), _unit(np.array([r[2] for r in held], np.float64))
+    def emit():  # noqa: ANN202
+        return [r[0] for r in held], np.array([r[1] for r in held], np.int64), _unit(np.array([r[2] for r in held], np.float64))
 
     for row in wanted.filter("embedding IS NOT NULL").select("query_id", "filter_set", "embedding").toLocalIterator():
         held.append(row)
@@ -61,11 +63,22 @@ def _turns(queries: DataFrame, most_bytes: int) -> Iterator[tuple[np.ndarray, np
         yield emit()
 
 
-def _best(sent, k: int, n_sets: int):  # noqa: ANN001
-    """The best k rows of each batch and query (and ties of the last)."""
+def _first(rows: pa.Table, k: int) -> pa.Table:
+    """The first k rows of each query, by score (to nine digits) and id."""
+    rows = rows.append_column("by", pa.array(-np.round(rows.column("score").to_numpy(), 9)))
+    rows = rows.sort_by([("q", "ascending"), ("by", "ascending"), ("chunk_id", "ascending")])
+    q = rows.column("q").to_numpy()
+    begins = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    nth = np.arange(len(q)) - np.repeat(begins, np.diff(np.r_[begins, len(q)]))
+    return rows.filter(pa.array(nth < k)).drop_columns(["by"])
+
+
+def _best(sent, k: int, n_sets: int):  # noqa: ANN001, ANN202
+    """The best k rows of each query in a task. Rows below the k-th score that a query has so far are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_ids, all_sets, all_unit = sent.value
+        held, least = None, np.full(len(all_ids), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -74,13 +87,20 @@ def _best(sent, k: int, n_sets: int):  # noqa: ANN001
             allowed[-1] = True
             lists = batch.column(2)
             allowed[lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))] = True
+            met = [] if held is None else [held]
             for a in range(0, len(all_ids), BLOCK):
-                ids = all_ids[a : a + BLOCK]
                 score = np.where(allowed[all_sets[a : a + BLOCK]], all_unit[a : a + BLOCK] @ own, -np.inf)
-                n = min(k + 1, score.shape[1])  # one more, for ties that the key decides
-                kept = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n < score.shape[1] else np.full(len(ids), -np.inf)
+                n = min(k, score.shape[1])
+                kept = np.maximum(np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n == k else -np.inf, least[a : a + BLOCK])
                 q, at = np.nonzero((score >= kept[:, None] - 1e-9) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), batch.column(0).take(pa.array(at)), pa.array(score[q, at])], ["query_id", "chunk_id", "score"])
+                met.append(pa.table([pa.array(q + a), batch.column(0).take(pa.array(at)), pa.array(score[q, at])], ["q", "chunk_id", "score"]))
+            held = _first(pa.concat_tables(met), k).combine_chunks()
+            q, counts = np.unique(held.column("q").to_numpy(), return_counts=True)
+            ends = np.cumsum(counts) - 1
+            least[q[counts == k]] = held.column("score").to_numpy()[ends[counts == k]]
+        if held is not None and held.num_rows:
+            ids = pa.array(all_ids).take(held.column("q").combine_chunks())
+            yield from pa.table([ids, held.column("chunk_id"), held.column("score")], ["query_id", "chunk_id", "score"]).to_batches(max_chunksize=10_000)
 
     return run
 

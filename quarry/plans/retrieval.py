@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.config import Settings
 from quarry.functions.text import strip, words
 from quarry.operators import bm25, chunking, context, fusion, sync, vectors
+from quarry.operators.store import Table
 from quarry.operators.engine import Engine
 from quarry.operators.predicates import Filter, compile_filters
 from quarry.plans.common import sql_collapse, sql_strip, sql_words, table
@@ -96,6 +97,48 @@ def delete_documents(spark, d):
     return sync.delete_documents(o, o.filter("document_id % 5 = 0").select("document_id"))
 
 
+def _stored_orders(spark, d):
+    """All orders as points of their customers, written as one batch into a new table."""
+    stored = Table(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "chunk_id string, document_id string, status string, version string", ("chunk_id", "document_id"), bloom=("document_id",), order=("document_id",))
+    rows = table(spark, d, "orders").select(C("o_orderkey").cast("string").alias("chunk_id"), C("o_custkey").cast("string").alias("document_id"), C("o_orderstatus").alias("status"), F.lit("old").alias("version"))
+    stored.write(rows)
+    return stored, rows
+
+
+@query("SELECT o_orderkey::VARCHAR AS chunk_id, o_custkey::VARCHAR AS document_id, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS version FROM orders")
+def store_upsert(spark, d):
+    """Finished orders come again: their rows replace the stored ones by chunk_id, and segments are merged."""
+    stored, rows = _stored_orders(spark, d)
+    again = rows.filter("status = 'F'").withColumn("version", F.lit("new"))
+    stored.write(again, {"chunk_id": again.select(C("chunk_id").alias("key"))})
+    stored.compact(least=2)
+    return stored.read().select("chunk_id", "document_id", "version")
+
+
+@query("SELECT o_orderkey::VARCHAR AS chunk_id, o_custkey::VARCHAR AS document_id FROM orders ANTI JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_mktsegment = 'BUILDING') USING (o_custkey)")
+def store_delete(spark, d):
+    """The orders of a market segment's customers go; nothing comes in."""
+    stored, _ = _stored_orders(spark, d)
+    stored.write(None, {"document_id": table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(C("c_custkey").cast("string").alias("key"))})
+    return stored.read().select("chunk_id", "document_id")
+
+
+SQL_BATCHED = """tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tokens FROM documents WHERE lang IS DISTINCT FROM 'es'),
+corpus AS (SELECT count(*) AS n FROM tok),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY term), corpus)"""
+
+
+@query(f"WITH {SQL_BATCHED} SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS idf FROM raw")
+def index_batches(spark, d):
+    """The index after three batches: English documents come, then all others, then the Spanish ones go."""
+    docs = table(spark, d, "documents").select(C("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    path, none = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}", docs.limit(0)
+    english, spanish = F.coalesce(C("lang") == "en", F.lit(False)), F.coalesce(C("lang") == "es", F.lit(False))
+    for fresh, gone in ((docs.filter(english), none), (docs.filter(~english), none), (none, docs.filter(spanish))):
+        bm25.update(spark, path, fresh.select("chunk_id", "text"), gone.select("chunk_id", "text"))
+    return bm25.Index.load(spark, path).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 SQL_SYNC = """plan AS (SELECT c_custkey AS document_id, CASE WHEN c_custkey % 4 = 0 THEN 'new' WHEN c_custkey % 4 = 1 OR c_custkey % 9 = 0 THEN 'changed' ELSE 'unchanged' END AS action FROM customer WHERE c_custkey % 6 > 0)"""
 
 

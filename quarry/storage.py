@@ -20,6 +20,51 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system and the path, as the cluster sees them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder; nothing if there is none."""
+    fs, at = _files(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _files(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that must not be there yet: whole under another name first, then renamed."""
+    fs, at = _files(spark, path)
+    _, part = _files(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(part, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(at) or not fs.rename(part, at):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    fs, at = _files(spark, path)
+    return int(fs.getContentSummary(at).getLength())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 _WRITTEN: list[str] = []
 
 
@@ -33,8 +78,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(spark: SparkSession) -> int:
     """Deletes the tables that this program has written, when the results that read them are no longer needed."""
-    jvm, n = spark.sparkContext._jvm, len(_WRITTEN)
+    n = len(_WRITTEN)
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _WRITTEN.pop())
     return n

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Settings
 from quarry.functions import text as X
-from quarry.operators import bm25, context, evaluation, fusion, models, requests, roles, schema, sync, vectors
+from quarry.operators import bm25, columns, context, evaluation, fusion, models, requests, roles, schema, sync, vectors
 from quarry.operators.engine import Engine, build_engine
 from quarry.operators.predicates import Filter, compile_filters
 from quarry.operators.requests import Field
@@ -56,6 +56,44 @@ def test_evaluators_differ_as_stated(stored, f, index, memory):
     assert (passes("index"), passes("memory")) == (index, memory)
 
 
+@pytest.mark.parametrize(
+    "f",
+    [Filter(field, op, v) for field in ("flag", "number", "name", "tags", "day", "mixed", "none") for op, v in (
+        ("equals", "true"), ("equals", True), ("equals", 133), ("equals", "133"), ("contains", ["x", "Ab c", "X"]), ("equals", " ab C "), ("gt", "2024-01-01"), ("lte", "2024-05-06"),
+        ("between", ["2024-01-01", "2024-12-31"]), ("gt", "2024-05-06T01:00:00+05:00"), ("gte", 1), ("lt", "200"), ("between", [100, 133]), ("between", ["20240101", "20250101"]), ("equals", []))],
+)
+def test_typed_columns_agree_with_the_map(many, f):
+    wide, names = many
+    for mode in ("index", "memory"):
+        by = lambda columns, f=f, mode=mode: sorted(r["i"] for r in wide.filter(compile_filters([f], mode, columns)).select("i").collect())
+        assert by(wide.columns) == by([c for c in wide.columns if c not in names])
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Rows with properties of all kinds, one of them mixed, and their typed columns."""
+    c, at = F.col, str(tmp_path_factory.mktemp("typed") / "t")
+    rows = spark.range(40).select(c("id").alias("i"), corpus.properties(
+        flag=corpus.flag_value(F.when(c("id") % 3 > 0, c("id") % 2 == 0)), number=corpus.whole_value(c("id") * 19), name=corpus.string_value(F.when(c("id") % 4 == 0, "Ab c").when(c("id") % 4 == 1, " AB C").otherwise(c("id").cast("string"))),
+        tags=corpus.list_value(F.when(c("id") % 2 == 0, F.array(F.lit("X"), F.lit("2024-01-02")))), day=corpus.string_value(F.when(c("id") % 5 > 0, F.concat(F.lit("2024-05-0"), (c("id") % 9 + 1).cast("string"), F.when(c("id") % 2 == 0, "T03:00:00Z").otherwise("")))),
+        mixed=F.when(c("id") % 4 == 0, corpus.string_value(F.lit("133"))).when(c("id") % 4 == 1, corpus.whole_value(c("id") * 7)).when(c("id") % 4 == 2, corpus.string_value(F.lit("2024-05-06"))).otherwise(corpus.flag_value(F.lit(True))),
+    ).alias("properties"))
+    names = columns.wanted(schema.seen(rows))
+    columns.write(rows, names, at)
+    return spark.read.parquet(at).cache(), names
+
+
+def test_typed_filters_reach_the_scan(spark, tmp_path):
+    rows = corpus.orders(spark, "/root/testdata/sf0.001")
+    names = columns.wanted(schema.seen(rows))
+    columns.write(rows, names, str(tmp_path / "o"))
+    wide = spark.read.parquet(str(tmp_path / "o"))
+    pushed = lambda mode, f: wide.filter(compile_filters([f], mode, wide.columns)).select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
+    for mode, f, part in (("index", Filter("price", "gt", 250000), "GreaterThan(price__num,250000.0)"), ("memory", Filter("priority", "equals", ["1-URGENT", "x"]), "In(priority__norm"), ("memory", Filter("orderDate", "between", ["1997-01-01", "1997-12-31"]), "GreaterThanOrEqual(orderDate__day,1997-01-01)"), ("index", Filter("open", "equals", True), "open__flag")):
+        plan = pushed(mode, f)
+        assert part in plan.split("PushedFilters: ")[1].split("ReadSchema")[0] and "properties" not in plan.split("ReadSchema: ")[1]
+
+
 def test_malformed_ranges(stored):
     bad = Filter("number", "between", [1])
     assert stored.filter(compile_filters([bad], "memory", stored.columns)).count() == 0
@@ -312,7 +350,7 @@ def test_sync_job(spark, tmp_path):
     index = bm25.Index.load(spark, f"{at}/bm25")
     assert index.corpus.first()["n"] == 3 and index.term_stats.filter("term = 'cat'").isEmpty()
     assert schema.read_schema(spark, f"{at}/schema").count() == 1 and sync.exists(spark, f"{at}/points") and not sync.exists(spark, f"{at}/none")
-    bad = spark.createDataFrame([("9_0", "9", "t", 0, None, "x", "x", "", [])], sync.KIND)
+    bad = spark.createDataFrame([("9_0", "9", "t", 0, None, "x", "x", "", None, [])], sync.KIND)
     with pytest.raises(Exception, match="empty embedding"):
         sync.write_documents(spark, f"{at}/points", bad, bad.select("document_id"))
     assert sync.main([str(tmp_path / "none"), at]) == 1
@@ -346,7 +384,7 @@ def test_stream_sync(spark, tmp_path):
         q.processAllAvailable()
         spark.createDataFrame([("1", "t", "new", "c"), ("2", "t", "ignored", "b"), ("3", "t", "more", "")], kind).coalesce(1).write.mode("append").parquet(str(src))
         q.processAllAvailable()
-        got = {r["document_id"]: r["body"] for r in sync.stored_points(spark, str(tmp_path / "out")).collect()}
+        got = {r["document_id"]: r["body"] for r in sync.stored_points(spark, str(tmp_path / "out" / "points")).collect()}
     finally:
         q.stop()
     assert got == {"1": "new", "2": "same", "3": "more"}
