@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # The Unicode white space characters and the four ASCII separators, for Java and RE2 patterns alike.
 SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[{SPACES}]"
-WORD = f"[^{SPACES}]+"
 
 
 def let(value: Column, body) -> Column:
@@ -16,14 +15,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), 0)
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
+def words(text: Column) -> Column:
+    """Runs without white space, by splitting, which is several times faster than collecting matches."""
+    return let(strip(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"{SPACE}+", -1)))
+
+
 def collapse(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.array_join(words(text), " ")

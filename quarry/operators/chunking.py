@@ -11,7 +11,6 @@ from quarry.functions.text import SPACE, let, sentences, strip, words
 MAX_WORDS = 250
 # Fixed value: what a heading line looks like.
 HEADING = rf"(?s)^#{{1,3}}{SPACE}+.+\z"
-PACKED = "struct<n: int, held: string, out: array<string>>"
 
 
 def n_words(text: Column) -> Column:
@@ -24,37 +23,41 @@ def sections(content: Column) -> Column:
 
     def of(lines: Column) -> Column:
         heads = F.filter(F.transform(lines, lambda x, i: F.when(F.rlike(x, F.lit(HEADING)), i)), lambda i: i.isNotNull())
-        cuts = F.concat(F.array(F.lit(-1)), heads)
+        return let(F.concat(F.array(F.lit(-1)), heads), lambda cuts: F.filter(F.transform(cuts, lambda at, i: one(lines, cuts, at, i)), lambda s: s["body"] != ""))
 
-        def one(at: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(cuts, i + 1), F.size(lines))
-            title = F.when(at >= 0, strip(F.regexp_replace(F.get(lines, at), rf"^#+{SPACE}+", "")))
-            return F.struct(title.alias("title"), strip(F.array_join(F.slice(lines, at + 2, end - at - 1), "\n")).alias("body"))
-
-        return F.filter(F.transform(cuts, one), lambda s: s["body"] != "")
+    def one(lines: Column, cuts: Column, at: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(cuts, i + 1), F.size(lines))
+        title = F.when(at >= 0, strip(F.regexp_replace(F.get(lines, at), rf"^#+{SPACE}+", "")))
+        return F.struct(title.alias("title"), strip(F.array_join(F.slice(lines, at + 2, end - at - 1), "\n")).alias("body"))
 
     whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), content.alias("body")))
     return let(let(F.split(content, "\n", -1), of), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 
 
-def _packed(parts: Column, joint: str, split) -> Column:
-    """Greedy packing of parts into groups of at most MAX_WORDS words; a longer part is split on its own."""
+def _packed(parts: Column, joint: str, split) -> Column:  # noqa: ANN001
+    """Greedy packing of parts into groups of at most MAX_WORDS words; a longer part is split on its own. Words are counted
+    once a part; a fold over the counts finds where groups begin, and each group is joined once."""
 
-    def add(acc: Column, part: Column) -> Column:
-        flushed = F.when(acc["held"].isNotNull(), F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"])
+    def cuts(counts: Column) -> Column:
+        """Where groups begin, and the end. A part begins one if it, the part before or both together are too long."""
 
-        def by(n: Column) -> Column:
-            state = lambda n, held, out: F.struct(n.cast("int").alias("n"), held.cast("string").alias("held"), out.alias("out"))
-            return (
-                F.when(n > MAX_WORDS, state(F.lit(0), F.lit(None), F.concat(flushed, split(part))))
-                .when(acc["n"] + n > MAX_WORDS, state(n, part, flushed))
-                .otherwise(state(acc["n"] + n, F.concat_ws(joint, acc["held"], part), acc["out"]))
+        def step(acc: Column, n: Column) -> Column:
+            begins = (n > MAX_WORDS) | (acc["run"] + n > MAX_WORDS)
+            return F.struct(
+                F.when(begins, n).otherwise(acc["run"] + n).alias("run"), (acc["at"] + 1).alias("at"), F.when(begins, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts")
             )
 
-        return let(n_words(part), by)
+        start = F.struct(F.lit(MAX_WORDS + 1).alias("run"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+        return F.aggregate(counts, start, step, lambda acc: F.concat(acc["cuts"], F.array(acc["at"])))
+
+    def joined(ps: Column, counts: Column, at: Column) -> Column:
+        def group(begin: Column, i: Column) -> Column:
+            whole = lambda: F.array_join(F.slice(ps, begin + 1, F.get(at, i + 1) - begin), joint)
+            return F.when(F.get(counts, begin) > MAX_WORDS, split(F.get(ps, begin))).otherwise(F.array(whole()))
+
+        return F.flatten(F.transform(F.slice(at, 1, F.size(at) - 1), group))
 
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("held"), F.array().cast("array<string>").alias("out")).cast(PACKED)
-    return F.aggregate(parts, start, add, lambda acc: F.when(acc["held"].isNotNull(), F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"]))
+    return let(parts, lambda ps: let(F.transform(ps, n_words), lambda counts: let(cuts(counts), lambda at: joined(ps, counts, at))))
 
 
 def by_words(text: Column) -> Column:
@@ -88,7 +91,8 @@ def chunk_documents(documents: DataFrame) -> DataFrame:
     """documents: id, title, content and others, which are kept. Adds document_id, document_title, chunk_index, chunk_id,
     section_title and replaces content by the chunk's."""
     out = documents.withColumn("content", F.coalesce("content", F.lit("")))
-    out = out.select("*", F.posexplode(bodies(F.col("content"))).alias("chunk_index", "chunk"))
+    # an inner explode would have the optimizer evaluate its argument twice more, for a filter on its size
+    out = out.select("*", F.posexplode_outer(bodies(F.col("content"))).alias("chunk_index", "chunk")).filter("chunk_index IS NOT NULL")
     kept = [c for c in documents.columns if c not in ("id", "title", "content")]
     return out.select(
         F.concat_ws("_", "id", "chunk_index").alias("chunk_id"), F.col("id").alias("document_id"), F.col("title").alias("document_title"), "chunk_index",

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from quarry.config import Settings
 from quarry.functions.text import strip, words
 from quarry.operators import bm25, chunking, context, fusion, sync, vectors
-from quarry.operators.store import Table
 from quarry.operators.engine import Engine
 from quarry.operators.predicates import Filter, compile_filters
-from quarry.plans.common import sql_collapse, sql_strip, sql_words, table
+from quarry.operators.store import Table
+from quarry.plans.common import sql_by_paragraphs, sql_by_sentences, sql_collapse, sql_strip, sql_words, table
 from quarry.sources import corpus
 from quarry.storage import shared_dir, written
 
@@ -58,18 +58,35 @@ def chunk_build(spark, d):
     return table(spark, d, "documents").select("doc_id", chunking.chunk_text(C("source"), F.when(C("doc_id") % 2 == 0, C("lang")).otherwise(""), C("text")).alias("content"))
 
 
-@query(None)
+TWO = "text || chr(10) || chr(10) || left(text, 400) || repeat(chr(10), 2) || ' ' || repeat(chr(10), 2) || text"
+
+
+@query(f"""WITH RECURSIVE {sql_by_paragraphs('p', f'SELECT doc_id::VARCHAR AS key, {TWO} AS text FROM documents')}
+SELECT key::BIGINT AS doc_id, (row_number() OVER (PARTITION BY key ORDER BY i, j, k) - 1)::INTEGER AS pos, body FROM p""")
 def chunk_paragraphs(spark, d):
     two = F.concat("text", F.lit("\n\n"), F.left("text", F.lit(400)), F.lit("\n\n \n\n"), "text")
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.by_paragraphs(two)).alias("pos", "body"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {sql_by_sentences('s', 'SELECT doc_id::VARCHAR AS key, text FROM documents')}
+SELECT key::BIGINT AS doc_id, (row_number() OVER (PARTITION BY key ORDER BY i, j) - 1)::INTEGER AS pos, body FROM s""")
 def chunk_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.by_sentences(C("text"))).alias("pos", "body"))
 
 
-@query(None)
+SQL_MARKDOWN = "'# ' || source || chr(10) || text || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || text || chr(10) || '### ' || chr(10) || '#### no heading' || chr(10) || '# Empty'"
+
+
+@query(f"""WITH RECURSIVE docs AS (SELECT doc_id::VARCHAR AS id, source, {SQL_MARKDOWN} AS content, text, lang FROM documents),
+short AS (SELECT *, len({sql_words('content')}) <= 250 AS whole FROM docs),
+sections AS (SELECT id, 0 AS n, source AS title, {sql_strip('text')} AS body FROM short WHERE NOT whole UNION ALL SELECT id, 1, lang, {sql_strip("text || chr(10) || '### ' || chr(10) || '#### no heading'")} FROM short WHERE NOT whole),
+sized AS (SELECT *, len({sql_words('body')}) <= 250 AS fits FROM sections WHERE body <> ''),
+{sql_by_paragraphs('p', "SELECT id || '/' || n AS key, body AS text FROM sized WHERE NOT fits")},
+parts AS (SELECT id, 0 AS n, 0 AS i, 0 AS j, 0 AS k, NULL AS title, content AS body FROM short WHERE whole UNION ALL SELECT id, n, 0, 0, 0, title, body FROM sized WHERE fits
+  UNION ALL SELECT id, n, i, j, k, title, p.body FROM sized JOIN p ON p.key = id || '/' || n WHERE NOT fits),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY n, i, j, k) - 1)::INTEGER AS chunk_index FROM parts)
+SELECT id || '_' || chunk_index AS chunk_id, id AS document_id, source AS document_title, chunk_index, nullif(title, '') AS section_title,
+  '**' || source || '**' || chr(10) || chr(10) || CASE WHEN title <> '' THEN '### ' || title || chr(10) || chr(10) ELSE '' END || body AS content, body FROM placed JOIN docs USING (id)""")
 def chunk_documents(spark, d):
     docs = table(spark, d, "documents").select(C("doc_id").cast("string").alias("id"), C("source").alias("title"), _markdown().alias("content"))
     return chunking.chunk_documents(docs)
