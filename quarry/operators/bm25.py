@@ -1,13 +1,17 @@
 """BM25 as tables: postings (term, chunk_id, tf, dl) and term_stats (term, df, idf); a search touches only the postings of the
 query's terms. A saved index is a pair of tables that change by batches (quarry.operators.store): a batch's postings are a
 segment, what it takes out are tombstones, and statistics are sums over segments whose rows can be negative, so that only the
-batch is tokenized and the index equals a rebuild."""
+batch is tokenized and the index equals a rebuild.
+
+A term's postings lie in blocks by size of tf and of dl; of each block the greatest tf and the least length are kept, which
+bound what it can add to a score. search() reads the most promising blocks first, takes the k-th score found as a threshold
+and then reads only blocks that can still reach it."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,11 +31,21 @@ def term_counts(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _postings(counts: DataFrame) -> DataFrame:
-    return counts.filter("term IS NOT NULL").select("chunk_id", "term", "tf", "dl")
+    level = lambda c, base: F.floor(F.log(base, F.col(c).cast("double")) + 1e-9).cast("int")
+    return counts.filter("term IS NOT NULL").select("chunk_id", "term", "tf", "dl", (level("tf", 2.0) * 64 + level("dl", 2.0)).alias("block"))
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
 
 
-def _frequencies(counts: DataFrame) -> DataFrame:
-    return counts.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+def _merged(blocks: DataFrame) -> DataFrame:
+    """Blocks of several segments; bounds stay bounds where postings have gone."""
+    return blocks.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).filter("n <> 0")
+
+
+def _frequencies(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def _sizes(counts: DataFrame) -> dict:
@@ -52,8 +66,8 @@ def _corpus(spark: SparkSession, n: int, length: int) -> DataFrame:
 
 
 def _tables(spark: SparkSession, path: str, ids: str = "string") -> tuple[Table, Table]:
-    postings = Table(spark, f"{path}/postings", f"chunk_id {ids}, term string, tf long, dl int", ("chunk_id",), order=("term", "chunk_id"))
-    return postings, Table(spark, f"{path}/term_stats", "term string, df long", (), order=("term",))
+    postings = Table(spark, f"{path}/postings", f"chunk_id {ids}, term string, tf long, dl int, block int", ("chunk_id",), order=("term", "block", "chunk_id"))
+    return postings, Table(spark, f"{path}/blocks", "term string, block int, n long, most long, least int", (), order=("term", "block"))
 
 
 @dataclass(frozen=True)
@@ -61,7 +75,7 @@ class Index:
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame  # one row: n, avgdl
-    frequencies: DataFrame | None = None
+    blocks: DataFrame | None = None  # term, block, n, most (greatest tf), least (length)
     sizes: dict | None = None
 
     def save(self, path: str) -> None:
@@ -73,8 +87,8 @@ class Index:
         postings, stats = _tables(spark, path, self.postings.schema["chunk_id"].dataType.simpleString())
         postings.rollback(0)
         stats.rollback(0)
-        stats.replace(self.frequencies, self.sizes)
-        postings.replace(self.postings.repartitionByRange("term", "chunk_id"), self.sizes)
+        stats.replace(self.blocks, self.sizes)
+        postings.replace(self.postings.repartitionByRange("term", "block", "chunk_id"), self.sizes)
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
@@ -85,18 +99,19 @@ class Index:
         if version not in there:
             raise ValueError(f"no index of version {version} under {path}")
         facts = stats.facts(version)
-        df = stats.read(version).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        blocks = _merged(stats.read(version))
         first = next(s for s in postings.segments(version) if s.kind == "rows")
         ids = spark.read.parquet(f"{path}/postings/rows/{first.name}").schema["chunk_id"].dataType.simpleString()
         rows = _tables(spark, path, ids)[0].read(version)
-        return Index(rows, _with_idf(df, facts["n"]), _corpus(spark, facts["n"], facts["length"]), df, facts)
+        return Index(rows, _with_idf(_frequencies(blocks), facts["n"]), _corpus(spark, facts["n"], facts["length"]), blocks, facts)
 
 
 def build(chunks: DataFrame, text: str = "text") -> Index:
     """chunks: chunk_id and a text column."""
     counts = term_counts(chunks, text)
-    sizes, df = _sizes(counts), _frequencies(counts)
-    return Index(_postings(counts), _with_idf(df, sizes["n"]), _corpus(chunks.sparkSession, sizes["n"], sizes["length"]), df, sizes)
+    sizes, postings = _sizes(counts), _postings(counts)
+    blocks = written(_blocks(postings), "blocks")
+    return Index(postings, _with_idf(_frequencies(blocks), sizes["n"]), _corpus(chunks.sparkSession, sizes["n"], sizes["length"]), blocks, sizes)
 
 
 def update(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame, after: int | None = None) -> int:
@@ -111,9 +126,8 @@ def update(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame, af
     come, go = term_counts(fresh), term_counts(gone)
     plus, minus = _sizes(come), _sizes(go)
     facts = {k: plus[k] - minus[k] for k in plus}
-    signed = _frequencies(come).unionByName(_frequencies(go).withColumn("df", -F.col("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
-    stats.write(signed, facts=facts)
-    rows = _postings(come).repartitionByRange("term", "chunk_id")
+    stats.write(_blocks(_postings(come)).unionByName(_blocks(_postings(go)).withColumn("n", -F.col("n"))), facts=facts)
+    rows = _postings(come).repartitionByRange("term", "block", "chunk_id")
     postings.write(rows, {"chunk_id": go.filter("term IS NULL").select(F.col("chunk_id").alias("key"))} if minus["n"] else None, facts)
     return max(postings.versions())
 
@@ -123,19 +137,60 @@ def compact(spark: SparkSession, path: str, ids: str = "string", **how) -> int:
     postings, stats = _tables(spark, path, ids)
     merged = postings.compact(**how)
     if merged:
-        stats.replace(stats.read().groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), stats.facts())
+        stats.replace(_merged(stats.read()), stats.facts())
     return merged
 
 
+def _gain(tf: str, dl: str) -> Column:
+    return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.col("avgdl")))
+
+
+def _asked(index: Index, queries: DataFrame, text: str, broadcast_terms: int) -> tuple[DataFrame, bool]:
+    """query_id, term, qtf, idf of the indexed terms, and whether they are few enough to be sent to every task."""
+    terms = queries.select("query_id", F.explode(tokenize(F.coalesce(text, F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    few = (queries.agg(F.sum(F.length(text))).first()[0] or 0) <= 2 * broadcast_terms  # a term takes two characters at least
+    return terms.join(index.term_stats.select("term", "idf"), "term"), few
+
+
 def scores(index: Index, queries: DataFrame, text: str = "text", broadcast_terms: int = 200_000) -> DataFrame:
     """query_id, chunk_id, score for every chunk that shares a term; a repeated query term counts each time."""
-    terms = queries.select("query_id", F.explode(tokenize(F.coalesce(text, F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = terms.join(index.term_stats.select("term", "idf"), "term")
-    if (queries.agg(F.sum(F.length(text))).first()[0] or 0) <= 2 * broadcast_terms:  # a term takes two characters at least
-        asked = F.broadcast(asked)
-    met = index.postings.join(asked, "term").join(F.broadcast(index.corpus), how="cross")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * part).alias("score"))
+    asked, few = _asked(index, queries, text, broadcast_terms)
+    met = index.postings.join(F.broadcast(asked) if few else asked, "term").join(F.broadcast(index.corpus), how="cross")
+    return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("idf") * _gain("tf", "dl")).alias("score"))
+
+
+def search(index: Index, queries: DataFrame, k: int, text: str = "text", first: int = 64, broadcast_terms: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """What top_k(scores(...), k) finds, by two rounds over blocks; and of each query how many blocks and postings its terms
+    have and how many were read (query_id, blocks, blocks_read, postings, postings_read). first: the first round reads the
+    blocks that can add most, until they have `first` times k postings.
+
+    A chunk in a block cannot score more than the block's bound and the greatest bounds of the query's other terms. Where
+    that is under the k-th score of the first round, no chunk of the block is among the first k, so neither round misses
+    any. Terms of negative weight count with what they can take away at most."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    asked, few = _asked(index, queries, text, broadcast_terms)
+    sent = F.broadcast if few else (lambda df: df)
+    weight = F.col("qtf") * F.col("idf")
+    bound = F.greatest(weight * _gain("most", "least"), F.lit(0.0))
+    of = W.partitionBy("query_id")
+    rows = index.blocks.join(sent(asked), "term").join(F.broadcast(index.corpus.select("avgdl")), how="cross").withColumn("bound", bound).withColumn("loss", F.least(weight * (K1 + 1), F.lit(0.0)))
+    rows = rows.withColumn("top", F.max("bound").over(W.partitionBy("query_id", "term"))).withColumn("one", F.row_number().over(W.partitionBy("query_id", "term").orderBy("block")) == 1)
+    rows = rows.withColumn("reach", F.col("bound") + F.sum(F.when(F.col("one"), F.col("top"))).over(of) - F.col("top")).withColumn("loss", F.coalesce(F.sum(F.when(F.col("one"), F.col("loss"))).over(of), F.lit(0.0)))
+    before = F.sum("n").over(of.orderBy(F.desc("bound"), "term", "block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = written(rows.select("query_id", "term", "block", "n", "qtf", "idf", "reach", "loss", (F.coalesce(before, F.lit(0)) < first * k).alias("early")), "query-blocks")
+
+    def summed(chosen: DataFrame) -> DataFrame:
+        met = index.postings.join(sent(chosen.select("query_id", "term", "block", "qtf", "idf", "loss")), ["term", "block"]).join(F.broadcast(index.corpus.select("avgdl")), how="cross")
+        part = weight * _gain("tf", "dl")
+        return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), (F.sum(F.greatest(part, F.lit(0.0))) + F.first("loss")).alias("at_least"))
+
+    kth = summed(blocks.filter("early")).withColumn("nth", F.row_number().over(of.orderBy(F.desc("at_least")))).filter(F.col("nth") == k)
+    kth = kth.select("query_id", (F.col("at_least") - 1e-6).alias("least_score"))
+    judged = blocks.join(kth, "query_id", "left").withColumn("read", F.coalesce(F.col("reach") >= F.col("least_score"), F.lit(True)))
+    judged = written(judged, "read-blocks")
+    report = judged.groupBy("query_id").agg(F.count("*").alias("blocks"), F.count_if("read").alias("blocks_read"), F.sum("n").alias("postings"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)).alias("postings_read"))
+    return top_k(summed(judged.filter("read")).select("query_id", "chunk_id", "score"), k), report
 
 
 def top_k(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:

@@ -231,6 +231,17 @@ def bm25_topk(spark, d):
     return _lexical(spark, d, 10).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+SQL_TITLED = SQL_BM25.replace("SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0", "SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(concat_ws('/', source, doc_id::VARCHAR)), '[a-z0-9]+')) AS term FROM documents WHERE doc_id % 20 = 0")
+
+
+@query(f"WITH {SQL_TITLED} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM lexical WHERE rank <= 10")
+def bm25_titles(spark, d):
+    """The titles of the documents with ids divisible by 20 as queries, by blocks that can reach the first ten."""
+    docs = table(spark, d, "documents").filter("doc_id % 20 = 0")
+    asked = docs.select(C("doc_id").alias("query_id"), F.concat_ws("/", "source", C("doc_id").cast("string")).alias("text"))
+    return bm25.search(_index(spark, d), asked, 10)[0].select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {SQL_BM25} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS rank, chunk_id FROM lexical JOIN documents ON doc_id = chunk_id WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
 def bm25_filtered(spark, d):
     docs = corpus.documents(spark, d)

@@ -81,7 +81,11 @@ def test_a_taken_version_is_refused(spark, table):
 def as_sets(index):
     posts = {(r["chunk_id"], r["term"], r["tf"], r["dl"]) for r in index.postings.collect()}
     stats = {(r["term"], r["df"], round(r["idf"], 9)) for r in index.term_stats.collect()}
-    return posts, stats, tuple(index.corpus.first())
+    bounds = {(r["term"], r["block"]): (r["n"], r["most"], r["least"]) for r in index.blocks.collect()}
+    for r in index.postings.collect():
+        _, most, least = bounds[r["term"], r["block"]]
+        assert r["tf"] <= most and r["dl"] >= least
+    return posts, stats, tuple(index.corpus.first()), {k: v[0] for k, v in bounds.items()}
 
 
 def test_index_of_batches_equals_a_rebuild(spark, tmp_path):
@@ -100,6 +104,21 @@ def test_index_of_batches_equals_a_rebuild(spark, tmp_path):
     assert as_sets(bm25.Index.load(spark, at)) == as_sets(bm25.build(frame(plain)))
 
 
+def test_search_by_blocks_equals_all_scores(spark, tmp_path):
+    """Random texts with rare and very frequent terms (whose weight can be negative), one to six terms a query; blocks are left out."""
+    rng = random.Random(8)
+    terms = ["the"] * 60 + ["of"] * 30 + [f"w{i}" for i in range(40) for _ in range(40 - i)]
+    texts = [(i, " ".join(rng.choices(terms, k=rng.choice([3, 12, 60, 300])))) for i in range(600)]
+    index = bm25.build(spark.createDataFrame(texts, "chunk_id long, text string"))
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(terms, k=rng.randrange(1, 7)))) for i in range(40)] + [(99, "absent")], "query_id long, text string")
+    by = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    for k in (1, 10):
+        found, report = bm25.search(index, asked, k, first=4)
+        assert by(found) == by(bm25.top_k(bm25.scores(index, asked), k))
+        read = report.groupBy().sum("blocks", "blocks_read", "postings", "postings_read").first()
+        assert read[1] < read[0] and read[3] < read[2]
+
+
 def test_sync_then_filtered_search_then_citations(spark, tmp_path):
     """What was synchronised is searched with filters on stored properties, and cited; documents change, go and come."""
     at = str(tmp_path / "s")
