@@ -520,3 +520,13 @@ def test_packing(docs, repeated, empty):
 
 def test_given_rows_are_odd():
     assert {1, 2, 12} <= {r[0] for r in rows()}
+
+
+def test_close_pairs_of_a_crowd_are_candidates():
+    """Two equal fingerprints among 3,000 that are all within the radius of a centre that is near to none of their texts."""
+    rng = np.random.default_rng(1)
+    two = np.uint64(0x0123456789ABCDEF) ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)) for _ in range(3000)], np.uint64)
+    five = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    two[2], five[2] = two[1], five[1]
+    pairs = {tuple(sorted(p)) for p in near_dedup.shard_pairs(np.arange(3000), two, five, 14, 2000)}
+    assert (1, 2) in pairs and len(pairs) <= 20 * 3000
