@@ -1,8 +1,8 @@
 """HTML extraction by wrappers inferred per host. Pages are token streams of tags and texts (html_tree). The streams of a
 host are aligned one after the other into a union-free regular expression (wrappers): what differs becomes a text slot,
 an optional node or a repeated group. Each page is then matched against its host's wrapper, and the texts that fall on
-its fields are the page's text. Element names and labels (menu, header, advert, ...) only say which slots of the wrapper
-are no fields.
+its fields are the page's text: where nothing is marked as the article, the wrapper tells it by where nearly all of the
+host's running text stands. Element names and labels (menu, header, advert, ...) only say which slots are no fields.
 
 A task aligns the pages that it reads itself and sends one wrapper a host (several where it meets very many hosts), so a
 frequent host sends no more than any other; these are aligned in salted parts, then the parts, as a stream of which one

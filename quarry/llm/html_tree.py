@@ -3,7 +3,8 @@
 A node is a list. A text is ["#", value, optional, repeated, pages, chars, links] and an element [label, children, optional,
 repeated]; value is the text itself, and links counts its characters inside anchors. A label is a mark and the element's
 name with its first class or id (digits as 0). Inline elements belong to the text around them, elements without text are
-left out, and elements nested deeper than DEEPEST add no level of their own (their texts stay)."""
+left out, and elements nested deeper than DEEPEST add no level of their own (their texts stay), but for those that are never
+content."""
 
 from __future__ import annotations
 
@@ -11,8 +12,8 @@ import html as entities
 import re
 from collections import Counter
 
-#: A comment, a declaration, or a tag with attributes in which quoted values may hold ">".
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: A comment, a declaration, or a tag with attributes in which quoted values may hold ">"; a quote that never ends is a character.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
 LABEL = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
@@ -97,10 +98,11 @@ def parse(page: str) -> list[list]:
 
     def push(name: str, node: list, inside: bool) -> None:
         names[name] += 1
-        if len(stack) < DEEPEST:
-            stack[-1][1][1].append(node)
+        above = stack[-1][1]
+        if len(stack) < DEEPEST or (node[0][:1] in (OUT, COMMENTS) and above[0][:1] not in (OUT, COMMENTS)):
+            above[1].append(node)
         else:
-            node = stack[-1][1]
+            node = above
         stack.append((name, node, inside))
 
     def pop() -> str:

@@ -8,6 +8,7 @@ a repeated group with it. The result accepts all that either side accepts."""
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from typing import NamedTuple
 
@@ -16,6 +17,7 @@ import numpy as np
 from quarry.llm.html_tree import COMMENTS, FURNITURE, HEAD, IN, OUT
 
 TEXT, GROUP, BARE = "#", "(", "*"
+HEADING = re.compile(r"h[1-6]\b")
 #: Lists with more nodes name their elements without classes, so that a wrapper does not grow with the number of pages.
 WIDEST = 200
 
@@ -276,16 +278,21 @@ def fields(wrapper: list[list], least: int = 3, least_inside: int = 10, linked:
     long as most characters of the wrapper are in slots. Outside of an article, a text of which over `linked` of the
     characters are links is template. The name of an element (sidebar, advert, ...) makes it furniture, unless it holds
     over half of the characters of all slots and `main` a page; that of comments always does; a header by name is content
-    if it has a heading that differs from page to page."""
+    if it has a heading that differs from page to page. Outside of an article, what stands beside an element that holds
+    nearly all of the host's running text is furniture as well (_beside). Paragraphs that stand among others that differ from page to page
+    are content, also constant ones and those that are a link."""
     slots, constants = _weights(wrapper)
     whole, varied, of = slots or constants, slots > constants, 0 if slots else 1
     enough = max(whole / 2, main * _pages(wrapper))
 
-    def level(nodes: list[list], rank: int, sure: bool, back: int | None, out: Level) -> Level:
+    def level(nodes: list[list], rank: int, sure: bool, back: int | None, out: Level, kept: bool = False, among: bool = False) -> Level:
+        """kept: of a paragraph among others; among: in a group beside such."""
+        among = among or _told(nodes) > 1
+        beside = _beside(nodes, of) if rank == FIELD else ()
         for n in nodes:
             at = len(out.held)
             if n[0] == GROUP:
-                level(n[1], rank, sure and not n[2], at if back is None else back, out)
+                level(n[1], rank, sure and not n[2], at if back is None else back, out, kept, among)
                 continue
             out.places.setdefault(n[0], []).append(at)
             out.back.append(back if back is not None else at if n[3] else at + 1)
@@ -296,16 +303,44 @@ def fields(wrapper: list[list], least: int = 3, least_inside: int = 10, linked:
                     below = NEVER
                 elif mark == IN and rank > NEVER:
                     below = ARTICLE
-                out.held.append(level(n[1], below, always, None, Level({}, [], [])))
+                elif id(n) in beside:
+                    below = NEVER
+                out.held.append(level(n[1], below, always, None, Level({}, [], []), among and _is_paragraph(n)))
                 continue
             _, value, _, _, pages, chars, links = n
             template = value is not None and always and varied and pages >= (least_inside if rank == ARTICLE else least)
-            out.held.append(NEVER if template or (rank < ARTICLE and links > linked * chars) else rank)
+            out.held.append(NEVER if not kept and (template or (rank < ARTICLE and links > linked * chars)) else rank)
         return out
 
     return level(wrapper, FIELD, True, None, Level({}, [], []))
 
 
+def _beside(nodes: list[list], of: int, most: float = 0.9, least: float = 0.1) -> set[int]:
+    """The elements beside one that holds over `most` of a list's running text (over all pages of the host), each under `least`
+    of it: what stands next to the article. Paragraphs, headings and what has one are not among them."""
+    held = [(_weights([n])[of], n) for n in nodes if n[0] not in (TEXT, GROUP)]
+    top, all_of = max((w for w, _ in held), default=0), sum(w for w, _ in held) + _weights([n for n in nodes if n[0] in (TEXT, GROUP)])[of]
+    if not top or top < most * all_of:
+        return set()
+    return {id(n) for w, n in held if w < least * top and n[0][0] != IN and not _is_paragraph(n) and not _headed([n])}
+
+
+def _headed(nodes: list[list]) -> bool:
+    return any(n[0] != TEXT and (HEADING.match(n[0][1:]) is not None or _headed(n[1])) for n in nodes)
+
+
+def _is_paragraph(n: list) -> bool:
+    return n[0][1:].split(".", 1)[0].rstrip(BARE) == "p"
+
+
+def _told(nodes: list[list]) -> int:
+    """0 if no paragraph of a list differs from page to page (or from the next); else how many paragraphs it has, at least."""
+    ps = [n for n in nodes if n[0] not in (TEXT, GROUP) and _is_paragraph(n)]
+    inside = [n for v in nodes if v[0] == GROUP for n in v[1] if n[0] not in (TEXT, GROUP) and _is_paragraph(n)]
+    differs = any(t[1] is None and t[5] > 2 * t[6] for n in ps + inside for t in n[1] if t[0] == TEXT)
+    return sum(2 if n[3] else 1 for n in ps) + 2 * len(inside) if differs else 0
+
+
 def _pages(nodes: list[list]) -> int:
     """Pages that the most common text is on, at least."""
     return max((n[4] if n[0] == TEXT and not n[3] else _pages(n[1]) if n[0] != TEXT and not n[3] else 1 for n in nodes), default=1)
@@ -380,7 +415,9 @@ def _texts(node: list):
 
 
 def main_text(page: list[list], level: Level) -> str:
-    """The page's texts of the best class that it has."""
+    """The page's texts on fields of the article, and those on other fields where they are most of the text (what is marked
+    as the article is then a teaser)."""
     found = match(page, level)
-    best = max((c for _, c in found), default=NEVER)
-    return "\n".join(t for t, c in found if c == best) if best > NEVER else ""
+    chars = {c: sum(len(t) for t, k in found if k == c) for c in (FIELD, ARTICLE)}
+    least = ARTICLE if chars[FIELD] < 2 * chars[ARTICLE] else FIELD
+    return "\n".join(t for t, c in found if c >= least)
