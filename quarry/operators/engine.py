@@ -3,7 +3,6 @@ rank, fusion and reranking follow. Each request has its own filters."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.config import Settings
-from quarry.operators import bm25, fusion, models, vectors
-from quarry.operators.predicates import Filter, compile_filters
+from quarry.operators import bm25, filter_rows, fusion, models, vectors
 from quarry.operators.requests import DEFAULT_FIELDS, Field, parse_queries
+from quarry.storage import written
 
 Analyzer = Callable[[DataFrame], DataFrame]
 
@@ -41,81 +40,66 @@ class Engine:
         semantic_query and, if any has some, filters (array<struct<field, operator, value or values>>). query_vectors:
         query_id and embedding. A request without semantic text ranks by its filters alone (by chunk_id, score 0).
         score replaces the fused order where reranking is on."""
-        sets, asked = _filter_sets(requests)
-        depth, lists = self.settings.depth, []
+        sets, asked = filter_rows.filter_sets(requests)
+        return self.ranked(self.fused(self.lists(asked, sets, query_vectors)), asked, score)
+
+    def lists(self, asked: DataFrame, sets: DataFrame | None, query_vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+        """What each strategy of the mode finds (query_id, chunk_id, score, rank), for requests with the filter_set that they
+        ask for (filter_rows.filter_sets)."""
+        depth, lists = self.settings.depth, {}
         if self.settings.mode in ("vector", "hybrid"):
             if self.embeddings is None:
                 raise ValueError("vector search needs embeddings")
-            lists.append(self._dense(asked, sets, query_vectors, depth))
+            lists["vector"] = self._dense(asked, sets, query_vectors, depth)
         if self.settings.mode in ("bm25", "hybrid"):
             if self.index is None:
                 raise ValueError("lexical search needs an index")
             index = self.index() if callable(self.index) else self.index
-            lists.append(bm25.top_k(self._passing(bm25.scores(index, asked, "semantic_query"), asked, sets, "memory"), depth))
+            lists["bm25"] = bm25.top_k(self._passing(bm25.scores(index, asked, "semantic_query"), asked, sets), depth)
+        return lists
+
+    def fused(self, lists: dict[str, DataFrame]) -> DataFrame:
+        """query_id, fused_rank, chunk_id, score."""
         whole = None
-        for i, one in enumerate(lists):
+        for i, one in enumerate(lists.values()):
             part = one.select("query_id", F.lit(i).alias("strategy"), "rank", "chunk_id", "score")
             whole = part if whole is None else whole.unionByName(part)
-        fused = fusion.reciprocal_rank(whole, self.settings.rrf_k) if len(lists) > 1 else fusion.concatenated(whole).drop("strategy", "rank")
+        return fusion.reciprocal_rank(whole, self.settings.rrf_k) if len(lists) > 1 else fusion.concatenated(whole).drop("strategy", "rank")
+
+    def ranked(self, fused: DataFrame, asked: DataFrame, score: Column | None = None) -> DataFrame:
+        """The fused rows with their chunks, reranked if that is on, at most settings.sources a request."""
         out = fused.join(self.chunks, "chunk_id")
         if self.settings.rerank:
-            ranked = out.withColumn("rank", F.col("fused_rank")).join(asked.select("query_id", F.col("semantic_query").alias("question")), "query_id")
+            placed = out.withColumn("rank", F.col("fused_rank")).join(asked.select("query_id", F.col("semantic_query").alias("question")), "query_id")
             scored = score if score is not None else fusion.overlap_score(F.col("question"), F.col("content"))
-            out = fusion.rerank(ranked, scored, self.settings.pool, self.settings.top_n).drop("rank", "fused_rank", "question").withColumnRenamed("new_rank", "fused_rank")
+            out = fusion.rerank(placed, scored, self.settings.pool, self.settings.top_n).drop("rank", "fused_rank", "question").withColumnRenamed("new_rank", "fused_rank")
         return out.filter(F.col("fused_rank") <= self.settings.sources)
 
-    def _conditions(self, sets: list[list[Filter]], mode: str) -> list[Column]:
-        return [compile_filters(s, mode, self.chunks.columns) for s in sets]
-
-    def _dense(self, asked: DataFrame, sets: list[list[Filter]], query_vectors: DataFrame | None, depth: int) -> DataFrame:
+    def _dense(self, asked: DataFrame, sets: DataFrame | None, query_vectors: DataFrame | None, depth: int) -> DataFrame:
         blank = F.trim(F.coalesce("semantic_query", F.lit(""))) == ""
         spoken = asked.filter(~blank)
         if query_vectors is None:
             texts = spoken.select(F.col("query_id").alias("chunk_id"), F.col("semantic_query").alias("text"))
             query_vectors = models.embed(texts, self.encode).withColumnRenamed("chunk_id", "query_id")
         wanted = query_vectors.select("query_id", "embedding").join(spoken.select("query_id", "filter_set"), "query_id")
-        rows = self.embeddings.select("chunk_id", "embedding")
-        if sets:
-            rows = rows.join(self.chunks.drop("embedding"), "chunk_id")
-        found = vectors.search(rows, wanted, depth, self._conditions(sets, "index"))
-        return found.unionByName(self._by_filters(asked.filter(blank), sets, depth))
-
-    def _by_filters(self, asked: DataFrame, sets: list[list[Filter]], depth: int) -> DataFrame:
-        """The first chunks of each filter set, then of the requests that have it."""
-        held = self.chunks.select("chunk_id", F.explode(F.array(F.lit(-1), *(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(self._conditions(sets, "index"))))).alias("filter_set"))
-        first = held.filter("filter_set IS NOT NULL").withColumn("rank", F.row_number().over(W.partitionBy("filter_set").orderBy("chunk_id"))).filter(F.col("rank") <= depth)
-        return asked.select("query_id", "filter_set").join(first, "filter_set").select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank")
-
-    def _passing(self, found: DataFrame, asked: DataFrame, sets: list[list[Filter]], mode: str) -> DataFrame:
+        rows, first = self.embeddings.select("chunk_id", "embedding"), self.chunks.select("chunk_id").orderBy("chunk_id").limit(depth).withColumn("filter_set", F.lit(-1).cast("long"))
+        if sets is not None:
+            passed = written(filter_rows.passing(self.chunks, sets, "index"), "passed")
+            of_chunk = self.chunks.select("chunk_id").join(passed.groupBy("chunk_id").agg(F.collect_list("filter_set").alias("passed")), "chunk_id", "left")
+            rows = rows.join(of_chunk, "chunk_id")
+            first = first.unionByName(passed)
+        found = vectors.search(rows, wanted, depth)
+        by_filters = first.withColumn("rank", F.row_number().over(W.partitionBy("filter_set").orderBy("chunk_id"))).filter(F.col("rank") <= depth)
+        alone = asked.filter(blank).select("query_id", "filter_set").join(by_filters, "filter_set")
+        return found.unionByName(alone.select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank"))
+
+    def _passing(self, found: DataFrame, asked: DataFrame, sets: DataFrame | None) -> DataFrame:
         """The rows whose chunk passes the filters of their request."""
-        if not sets:
+        if sets is None:
             return found
-        passed = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(self._conditions(sets, mode)))), lambda x: x.isNotNull())
-        of_chunk = self.chunks.select("chunk_id", passed.alias("passed"))
-        both = found.join(asked.select("query_id", "filter_set"), "query_id").join(of_chunk, "chunk_id")
-        return both.filter((F.col("filter_set") < 0) | F.array_contains("passed", F.col("filter_set"))).select(*found.columns)
-
-
-def _filter_sets(requests: DataFrame) -> tuple[list[list[Filter]], DataFrame]:
-    """The distinct filter lists of the requests, and the requests with the index of theirs (-1: none). Requests often share
-    their filters, so the lists are few; they become conditions of the plan."""
-    if "filters" not in requests.columns:
-        return [], requests.withColumn("filter_set", F.lit(-1))
-    keyed = requests.withColumn("_key", F.when(F.size("filters") > 0, F.to_json("filters")))
-    keys = sorted(r["_key"] for r in keyed.select("_key").filter("_key IS NOT NULL").distinct().collect())
-    place = F.coalesce(F.array_position(F.array(*map(F.lit, keys)).cast("array<string>"), F.col("_key")).cast("int") - 1, F.lit(-1))
-    return [[_filter(f) for f in json.loads(k)] for k in keys], keyed.withColumn("filter_set", place).drop("_key", "filters")
-
-
-def _filter(said: dict) -> Filter:
-    value = said.get("values", said.get("value"))
-    if isinstance(value, list) and len(value) == 1:
-        value = value[0]
-    if said.get("type") == "boolean" and isinstance(value, str):
-        value = value == "true"
-    elif said.get("type") == "number":
-        value = [float(v) for v in value] if isinstance(value, list) else float(value)
-    return Filter(said["field"], said["operator"], value)
+        passed = filter_rows.passing(self.chunks, sets, "memory").withColumn("_passed", F.lit(True))
+        both = found.join(asked.select("query_id", "filter_set"), "query_id").join(passed, ["chunk_id", "filter_set"], "left")
+        return both.filter((F.col("filter_set") < 0) | F.col("_passed")).select(*found.columns)
 
 
 def build_engine(chunks: DataFrame, settings: Settings, embeddings: DataFrame | None = None, index=None, fields: DataFrame | None = None, schema: DataFrame | None = None, intent: Callable[[DataFrame], DataFrame] | None = None, today: str | None = None) -> Engine:  # noqa: ANN001

@@ -93,24 +93,26 @@ def _memory(f: Filter, v: Column) -> Column:
     return (v["kind"] != "list") & F.when(day.isNotNull(), _compare(f.operator, day, days)).otherwise(_compare(f.operator, number, numbers))
 
 
+def _index_bounds(f: Filter) -> list[Any]:
+    """The bounds of a range in a store: dates or numbers."""
+    if f.operator == "between" and (not isinstance(f.value, (list, tuple)) or len(f.value) != 2):
+        raise ValueError("between needs a low and a high value")
+    bounds = list(f.value) if f.operator == "between" else [f.value]
+    if not any(map(_date_text, bounds)) and any(isinstance(b, bool) or _number(b) is None for b in bounds):
+        raise ValueError(f"range bound is not numeric: {f.value!r}")
+    return bounds
+
+
 def _index(f: Filter, v: Column) -> Column:
     if f.operator not in RANGES:
         wanted = list(f.value) if _listed(f.value) else [f.value]
         return reduce(lambda a, b: a | b, (_exact(v, w) for w in wanted), F.lit(False))
-    if f.operator == "between":
-        if not isinstance(f.value, (list, tuple)) or len(f.value) != 2:
-            raise ValueError("between needs a low and a high value")
-        bounds = list(f.value)
-    else:
-        bounds = [f.value]
+    bounds = _index_bounds(f)
     if any(map(_date_text, bounds)):
         instants = [F.try_to_timestamp(F.lit(str(b))) for b in bounds]
         own = F.when(v["kind"] == "list", v["items"]).otherwise(F.array(F.when(v["kind"] == "string", v["text"])))
         return F.exists(own, lambda x: F.coalesce(_compare(f.operator, F.try_to_timestamp(x), instants), F.lit(False)))
-    numbers = [_number(b) for b in bounds]
-    if any(isinstance(b, bool) for b in bounds) or None in numbers:
-        raise ValueError(f"range bound is not numeric: {f.value!r}")
-    return (v["kind"] == "number") & _compare(f.operator, v["num"], [F.lit(n) for n in numbers])
+    return (v["kind"] == "number") & _compare(f.operator, v["num"], [F.lit(_number(b)) for b in bounds])
 
 
 def _exact(v: Column, wanted: Any) -> Column:
@@ -162,8 +164,7 @@ def _typed_index(f: Filter, c: dict[str, Column]) -> Column:
             if part == "text" and "items" in c:
                 found.append(F.coalesce(F.array_contains(c["items"], str(w)), F.lit(False)))
         return found[0] if len(found) == 1 else _any([F.coalesce(x, F.lit(False)) for x in found])
-    _index(f, F.struct(F.lit("").alias("kind"), F.lit("").alias("text"), F.lit(0.0).alias("num"), F.lit(False).alias("flag"), F.array(F.lit("")).alias("items")))  # refuses malformed bounds
-    bounds = list(f.value) if f.operator == "between" else [f.value]
+    bounds = _index_bounds(f)
     if any(map(_date_text, bounds)):
         instants = [F.try_to_timestamp(F.lit(str(b))) for b in bounds]
         holds = lambda x: F.coalesce(_compare(f.operator, F.try_to_timestamp(x), instants), F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.bm25 import top_k
@@ -25,21 +25,21 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, sets: list[Column] | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, most_bytes: int = 64 << 20) -> DataFrame:
     """query_id, rank, chunk_id, score. vectors: chunk_id, embedding; queries: query_id, embedding (ids of any type that sorts)
-    and, if sets are given, `filter_set`, the index of the condition on the rows of vectors that the query asks for (-1:
-    none). Queries are given vectors, sent to the tasks in turns of most_bytes and multiplied in blocks of BLOCK, so the table
+    and perhaps `filter_set`: rows of vectors are then found only if their array `passed` has it (-1: all rows). Queries are given vectors, sent to the tasks in turns of most_bytes and multiplied in blocks of BLOCK, so the table
     is read once a turn. A task keeps the best k of each query over all its batches, and nothing else moves."""
     if k <= 0:
         raise ValueError("k must be positive")
     spark, found = vectors.sparkSession, None
     ids, asks = (df.schema[c].dataType.simpleString() for df, c in ((vectors, "chunk_id"), (queries, "query_id")))
     kind = f"query_id {asks}, chunk_id {ids}, score double"
-    passed = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(sets or []))).cast("array<int>"), lambda x: x.isNotNull())
+    none = F.array().cast("array<long>")
+    passed = F.coalesce(F.col("passed").cast("array<long>"), none) if "passed" in vectors.columns else none
     rows = vectors.select("chunk_id", "embedding", passed.alias("passed")).filter("embedding IS NOT NULL")
     for turn in _turns(queries, most_bytes):
         sent = spark.sparkContext.broadcast(turn)
-        part = rows.mapInArrow(_best(sent, k, len(sets or [])), kind)
+        part = rows.mapInArrow(_best(sent, k), kind)
         found = part if found is None else found.unionAll(part)
     if found is None:
         return spark.createDataFrame([], f"{kind}, rank int")
@@ -73,7 +73,7 @@ def _first(rows: pa.Table, k: int) -> pa.Table:
     return rows.filter(pa.array(nth < k)).drop_columns(["by"])
 
 
-def _best(sent, k: int, n_sets: int):  # noqa: ANN001, ANN202
+def _best(sent, k: int):  # noqa: ANN001, ANN202
     """The best k rows of each query in a task. Rows below the k-th score that a query has so far are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +83,15 @@ def _best(sent, k: int, n_sets: int):  # noqa: ANN001, ANN202
             if not batch.num_rows:
                 continue
             own = _unit(_rows(batch.column(1))).T
-            allowed = np.zeros((n_sets + 1, batch.num_rows), bool)
-            allowed[-1] = True
             lists = batch.column(2)
-            allowed[lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))] = True
+            passed, of_row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             met = [] if held is None else [held]
             for a in range(0, len(all_ids), BLOCK):
-                score = np.where(allowed[all_sets[a : a + BLOCK]], all_unit[a : a + BLOCK] @ own, -np.inf)
+                asked, which = np.unique(all_sets[a : a + BLOCK], return_inverse=True)
+                allowed = np.repeat((asked < 0)[:, None], batch.num_rows, axis=1)
+                place = np.minimum(np.searchsorted(asked, passed), len(asked) - 1)
+                allowed[place[asked[place] == passed], of_row[asked[place] == passed]] = True
+                score = np.where(allowed[which], all_unit[a : a + BLOCK] @ own, -np.inf)
                 n = min(k, score.shape[1])
                 kept = np.maximum(np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n == k else -np.inf, least[a : a + BLOCK])
                 q, at = np.nonzero((score >= kept[:, None] - 1e-9) & np.isfinite(score))

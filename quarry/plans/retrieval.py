@@ -445,6 +445,24 @@ def engine_search(spark, d):
     return engine.search(spoken.unionByName(blank), _query_vectors(spark, d)).select("query_id", "fused_rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
+@query("""SELECT o_orderkey AS query_id, count(*) AS n, min(doc_id) AS least FROM orders JOIN documents ON n_chars BETWEEN o_orderkey * 7 % 3000 AND o_orderkey * 7 % 3000 + 400 AND lang IN ('en', CASE o_orderkey % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'es' END)
+  WHERE o_orderkey % 20 = 0 GROUP BY o_orderkey""")
+def filter_lists(spark, d):
+    """A filter list of its own for every order whose key 20 divides (the stated query set), over all documents."""
+    from quarry.operators import filter_rows
+
+    key = C("o_orderkey")
+    one = lambda field, op, kind, *values: F.struct(F.lit(field).alias("field"), F.lit(op).alias("operator"), F.array(*(v.cast("string") for v in values)).alias("values"), F.lit(kind).alias("type"))
+    lang = F.when(key % 3 == 0, "de").when(key % 3 == 1, "fr").otherwise("es")
+    filters = F.array(one("nChars", "between", "number", key * 7 % 3000, key * 7 % 3000 + 400), one("lang", "equals", "string", F.lit("en"), lang))
+    sets, asked = filter_rows.filter_sets(table(spark, d, "orders").filter(key % 20 == 0).select(key.alias("query_id"), filters.alias("filters")))
+    if sets is None:
+        return asked.select("query_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("least"))
+    rows = corpus.documents(spark, d).select(C("id").alias("chunk_id"), "properties")
+    found = filter_rows.passing(rows, sets, "index").groupBy("filter_set").agg(F.count("*").alias("n"), F.min(C("chunk_id").cast("long")).alias("least"))
+    return asked.join(found, "filter_set").select("query_id", "n", "least")
+
+
 @query(f"""SELECT conv_id, turn, '{{"sources":[{{"id":' || conv_id || ',"snippet":"' || left({sql_collapse('text')}, 20) || '"}}]}}' || chr(10) || text || chr(0) || '{{"citations":[' || turn || '],"generation_ms":' || (turn * 10) || '}}' AS frame FROM conversations WHERE role = 'assistant'""")
 def frame_protocol(spark, d):
     from quarry.functions.text import snippet

@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.operators.schema import infer_schema
 
-#: kind ("data_source", "page", or "row" with the id of a source), that id, cursor, size -> {results, has_more, next_cursor}
+#: kind ("data_source", "page", "row" with the id of a source, or "block" with the id of the page or block above), that id, cursor, size -> {results, has_more, next_cursor}
 Fetch = Callable[[str, str | None, str | None, int], dict]
 PAGE = 100
 # Fixed value: the name of a source that has none.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Settings
 from quarry.functions import text as X
-from quarry.operators import bm25, columns, context, evaluation, fusion, models, requests, roles, schema, sync, vectors
+from quarry.operators import bm25, columns, context, evaluation, filter_rows, fusion, models, requests, roles, schema, sync, vectors
 from quarry.operators.engine import Engine, build_engine
 from quarry.operators.predicates import Filter, compile_filters
 from quarry.operators.requests import Field
@@ -94,6 +94,32 @@ def test_typed_filters_reach_the_scan(spark, tmp_path):
         assert part in plan.split("PushedFilters: ")[1].split("ReadSchema")[0] and "properties" not in plan.split("ReadSchema: ")[1]
 
 
+def test_filters_as_data_agree_with_conditions(spark, stored, many):
+    """Each filter of the two tests above as the list of a request, and lists of several; one plan for all of them."""
+    said = [
+        ("flag", "equals", ["true"], "boolean"), ("flag", "equals", ["true"], "string"), ("number", "equals", ["133"], "number"), ("number", "equals", ["133"], "string"), ("name", "equals", [" ab C "], "string"),
+        ("name", "contains", ["Ab"], "string"), ("tags", "contains", ["X"], "string"), ("tags", "equals", ["y", "x"], "string"), ("tags", "gt", ["2024-01-01"], "string"), ("number", "between", ["100", "133"], "number"),
+        ("day", "between", ["2024-05-06", "2024-05-06"], "string"), ("last_edited_time", "lte", ["2024-03-04"], "string"), ("last_edited_time", "gt", ["2024-03-04T23:00:00Z"], "string"), ("created_time", "gt", ["1990-01-01"], "string"),
+        ("none", "equals", [""], "string"), ("absent", "equals", ["x"], "string"), ("number", "lt", ["133.5"], "number"), ("number", "gte", ["0"], "number"), ("day", "gt", ["2024-01-01"], "string"),
+    ]
+    lists = [[f] for f in said] + [[f, g] for f in said[:10] for g in said[9:]] + [[]]
+    kind = "query_id long, filters array<struct<field:string,operator:string,values:array<string>,type:string>>"
+    sets, asked = filter_rows.filter_sets(spark.createDataFrame(list(enumerate(lists)), kind))
+    of = {r["query_id"]: r["filter_set"] for r in asked.collect()}
+    assert of[len(lists) - 1] == -1 and len(set(of.values())) == len({json.dumps(x) for x in lists})
+    for rows in (stored, many[0]):
+        rows = rows.select("*", F.monotonically_increasing_id().alias("chunk_id"))
+        for mode in ("index", "memory"):
+            got = {(r["filter_set"], r["chunk_id"]) for r in filter_rows.passing(rows, sets, mode).collect()}
+            names = ("field", "operator", "values", "type")
+            conditions = [compile_filters([filter_rows.parsed(dict(zip(names, f, strict=True))) for f in x], mode, [c for c in rows.columns if columns.SEP not in c]) for x in lists[:-1]]
+            held = rows.select("chunk_id", F.array(*conditions).alias("c")).collect()
+            assert got == {(of[q], r["chunk_id"]) for r in held for q, c in enumerate(r["c"]) if c}
+    bad, _ = filter_rows.filter_sets(spark.createDataFrame([(1, [("number", "gt", ["x"], "string")])], kind))
+    with pytest.raises(Exception, match="not numeric"):
+        filter_rows.passing(rows, bad, "index").collect()
+
+
 def test_malformed_ranges(stored):
     bad = Filter("number", "between", [1])
     assert stored.filter(compile_filters([bad], "memory", stored.columns)).count() == 0
@@ -137,7 +163,7 @@ def test_vector_search_is_exact(spark):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     table = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(7)
     asked = spark.createDataFrame([(*r, -1) for r in rows[:3]] + [(9, rows[0][1], 0)], "query_id long, embedding array<double>, filter_set int")
-    found = vectors.search(table, asked, 4, [F.col("chunk_id") % 2 == 1], most_bytes=100).collect()
+    found = vectors.search(table.withColumn("passed", F.expr("CASE WHEN chunk_id % 2 = 1 THEN array(0L) END")), asked, 4, most_bytes=100).collect()
     assert len(found) == 16 and all(r["chunk_id"] % 2 for r in found if r["query_id"] == 9)
     m = np.array([v for _, v in rows], np.float32).astype(float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -252,7 +278,10 @@ def test_drivers(spark):
     cases = spark.createDataFrame([(1, "red cat", "easy", ["d0"]), (2, "old tree", None, ["d3"])], "case_id long, query string, category string, expected array<string>")
     judged, timings, said = drivers.pipeline_comparison(engine, cases, depth=3)
     assert {r["mode"] for r in judged.collect()} == {"vector", "bm25", "hybrid", "hybrid_reranked"} and all(r["first_rank"] == 1 for r in judged.collect())
-    assert {r["stage"] for r in timings.collect()} == {"analysis", "vector", "bm25", "fusion", "rerank", "total"}
+    assert {r["stage"] for r in timings.collect()} == {"analysis", "filters", "vector", "bm25", "fusion", "rerank", "sources", "total"}
+    for mode in ("vector", "hybrid_reranked"):
+        took = {r["stage"]: r["ms"] for r in timings.collect() if r["mode"] == mode}
+        assert abs(sum(took.values()) - 2 * took["total"]) < 0.1 * took["total"]
     assert "[PASS] hybrid 1 (easy)" in said and "avg_latency_ms" in said
     _, _, moved = drivers.intent_comparison(engine, engine, cases, depth=3)
     assert "delta_mrr" in moved and "vector" in drivers.vector_evaluation(engine, cases)[2]
