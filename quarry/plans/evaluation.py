@@ -56,11 +56,15 @@ MODEL = [("q one", 'Sure: {"semantic_query": " find  it ", "filters": [{"field":
          ("q two", '{"semantic_query": "  ", "filters": [], "temporal": {"kind": "range", "unit": "week", "anchor": "last week"}}'), ("q three", "no json"), ("q four", "{broken"), ("q five", '{"filters": []}')]
 
 
-@query(f"""SELECT question, CASE question WHEN 'q one' THEN 'find it' WHEN 'q two' THEN 'q two' WHEN 'q five' THEN 'q five' END AS semantic_query, CASE question WHEN 'q one' THEN 2 WHEN 'q two' THEN 0 WHEN 'q five' THEN 0 END AS n_filters,
-  CASE question WHEN 'q two' THEN 'last week' END AS anchor FROM {sql_values('question string, answer string', MODEL)}""")
+@query("""SELECT conv_id, turn, [role || ' ' || conv_id, role, NULL, NULL, role][k + 1] AS semantic_query, [2, 0, NULL, NULL, 0][k + 1]::INTEGER AS n_filters, [NULL, turn || ' days ago', NULL, NULL, NULL][k + 1] AS anchor
+  FROM (SELECT *, (conv_id + turn) % 5 AS k FROM conversations)""")
 def parse_llm_json(spark, d):
-    x = values(spark, "question string, answer string", MODEL).withColumn("i", R.parse_intent(C("answer"), C("question")))
-    return x.select("question", "i.semantic_query", F.when(C("i").isNotNull(), F.size("i.filters")).alias("n_filters"), C("i.temporal.anchor").alias("anchor"))
+    conv, turn = C("conv_id").cast("string"), C("turn").cast("string")
+    whole = F.concat(F.lit('Sure: {"semantic_query": "  '), C("role"), F.lit("   "), conv, F.lit(' ", "filters": [{"field": "conv", "operator": "=", "value": "'), conv, F.lit('"}, {"field": "turn", "operator": "gt", "value": "1"}], "temporal": null} ok'))
+    dated = F.concat(F.lit('{"semantic_query": "  ", "filters": [], "temporal": {"kind": "range", "unit": "week", "anchor": "'), turn, F.lit(' days ago"}}'))
+    answer = F.element_at(F.array(whole, dated, F.lit("no json"), F.concat(F.lit("{broken "), conv), F.lit('{"filters": []}')), ((C("conv_id") + C("turn")) % 5 + 1).cast("int"))
+    x = table(spark, d, "conversations").withColumn("i", R.parse_intent(answer, C("role")))
+    return x.select("conv_id", "turn", "i.semantic_query", F.when(C("i").isNotNull(), F.size("i.filters")).alias("n_filters"), C("i.temporal.anchor").alias("anchor"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'status equals O|last_edited_time between a,b' ELSE 'date equals x|status equals O|last_edited_time gt y' END AS filters FROM orders")

@@ -250,12 +250,13 @@ def discover_fields(spark, d):
     return schema.discover_fields(corpus.documents(spark, d), "id")
 
 
-FIELDS = [(0, "lang", False), (1, "nChars", False), (2, "tags", True), (3, "lastUpdated", False), (4, "dueDate", False), (5, "tags", False), (6, "", False)]
-
-
-@query(f"SELECT name, type, multi, array_to_string({SQL_OPS}, ' ') AS operators FROM (SELECT name, CASE WHEN multi THEN 'string' WHEN lower(name) LIKE '%date%' THEN 'date' ELSE 'string' END AS type, multi FROM {sql_values('pos int, name string, multi boolean', FIELDS)} WHERE pos <> 5)")
+@query(f"""SELECT name, type, multi, array_to_string({SQL_OPS}, ' ') AS operators FROM (SELECT name, CASE WHEN multi THEN 'string' WHEN lower(name) LIKE '%date%' THEN 'date' ELSE 'string' END AS type, multi
+  FROM (SELECT name, arg_min(multi, p_partkey) AS multi FROM (SELECT p_partkey, p_brand || CASE WHEN p_size % 7 = 0 THEN 'Date' ELSE '' END AS name, p_size % 2 = 0 AS multi FROM part) GROUP BY name))""")
 def schema_fallback(spark, d):
-    return schema.schema_of_fields(values(spark, "pos int, name string, multi boolean", FIELDS)).withColumn("operators", F.array_join("operators", " "))
+    """Fields named by the brands of parts; the part with the least key tells whether a field has lists."""
+    named = F.concat("p_brand", F.when(C("p_size") % 7 == 0, "Date").otherwise(""))
+    fields = table(spark, d, "part").select(C("p_partkey").alias("pos"), named.alias("name"), (C("p_size") % 2 == 0).alias("multi"))
+    return schema.schema_of_fields(fields).withColumn("operators", F.array_join("operators", " "))
 
 
 SQL_REGISTRY = """registry AS (SELECT DISTINCT name AS canonical, unnest([words, lower(name)]) AS surface, CASE WHEN words LIKE '%date%' THEN 'date' ELSE 'text' END AS kind, multi

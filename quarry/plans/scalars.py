@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
 from quarry.functions import text as X
-from quarry.plans.common import TODAY, sql_collapse, sql_strip, sql_values, sql_words, table, values
+from quarry.plans.common import TODAY, sql_collapse, sql_strip, sql_words, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,11 +20,6 @@ def on(name: str, source: str, key: str, sql: str, columns):
     QUERIES[name], ORACLES[name] = run, f"SELECT {key}, {sql} FROM {source}"
 
 
-def literal(name: str, schema: str, rows: list[tuple], select, sql: str):
-    QUERIES[name] = lambda spark, sf_dir: select(values(spark, schema, rows))
-    ORACLES[name] = sql.replace("$rows", sql_values(schema, rows))
-
-
 C = F.col
 PART = lambda: F.concat_ws(" ", C("p_name"), F.concat(C("p_brand"), F.lit("_"), C("p_type")), F.lit("--x9"))
 SQL_PART = "concat_ws(' ', p_name, p_brand || '_' || p_type, '--x9')"
@@ -65,36 +60,50 @@ on("normalize_dates", "orders", "o_orderkey", "CASE WHEN o_orderkey % 3 < 2 THEN
 TEXT_DATE = lambda: F.when(C("o_orderkey") % 4 == 0, C("o_orderdate").cast("string")).when(C("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "yyyyMMdd")).when(C("o_orderkey") % 4 == 2, C("o_orderpriority")).otherwise(F.lit("2023-02-30 x"))
 on("is_iso_date", "orders", "o_orderkey", "o_orderkey % 4 = 0 AS is_date, CASE WHEN o_orderkey % 4 < 2 THEN o_orderdate::DATE END AS day", lambda: dict(is_date=D.is_iso_date(TEXT_DATE()), day=D.iso_date(TEXT_DATE())))
 
-PHRASES = ["today", "Yesterday", "day before  yesterday", "3 days ago", "1 week ago", "2 months ago", "last week", "this month", "last month", "July 21", "march 1, 2021", "february 29", "December 24", "2024-01-05", "20240105", "2024-W05-3", "sometime", "february 30", ""]
-literal("resolve_phrases", "phrase string", [(p,) for p in PHRASES], lambda df: df.select("phrase", D.resolve_phrase(C("phrase"), F.lit(TODAY).cast("date")).alias("day")),
-    f"""SELECT phrase, CASE p WHEN 'today' THEN t WHEN 'yesterday' THEN t - 1 WHEN 'day before yesterday' THEN t - 2 WHEN 'last week' THEN t - 7 WHEN 'this month' THEN t
-      WHEN 'last month' THEN (t - INTERVAL 1 MONTH)::DATE WHEN 'july 21' THEN DATE '2023-07-21' WHEN 'march 1, 2021' THEN DATE '2021-03-01' WHEN 'february 29' THEN DATE '2024-02-29'
-      WHEN 'december 24' THEN DATE '2023-12-24' WHEN '2024-w05-3' THEN DATE '2024-01-31'
-      ELSE CASE WHEN p LIKE '% days ago' OR p LIKE '% weeks ago' OR p LIKE '% week ago' THEN t - regexp_extract(p, '^[0-9]+')::INTEGER * (CASE WHEN p LIKE '%week%' THEN 7 ELSE 1 END)
-      WHEN p LIKE '% months ago' THEN (t - to_months(regexp_extract(p, '^[0-9]+')::INTEGER))::DATE WHEN length(p) = 10 THEN try_cast(p AS DATE) END END AS day
-    FROM (SELECT phrase, lower({sql_collapse('phrase')}) AS p, DATE '{TODAY}' AS t FROM $rows)""")
-DESCRIPTORS = [("single", "", "yesterday", "what did I do yesterday?"), ("range", "week", "last week", "notes from Last  Week"), ("range", "month", "last month", "last month please"), ("range", "year", "today", "today"), ("single", "week", "July 21", "no date here"), ("", "", "3 days ago", "3 days ago"), ("range", "week", " ", "x")]
-literal("temporal_bounds", "kind string, unit string, anchor string, query string", DESCRIPTORS,
-    lambda df: df.select("query", D.temporal_bounds(C("kind"), C("unit"), C("anchor"), C("query"), F.lit(TODAY).cast("date")).alias("b")).select("query", "b.low", "b.high"),
-    f"""SELECT query, strftime(a::TIMESTAMP, '%Y-%m-%dT%H:%M:%S+00:00') AS low, strftime(b::TIMESTAMP, '%Y-%m-%dT') || '23:59:59.999999+00:00' AS high FROM (
-      SELECT query, CASE WHEN kind = 'range' THEN CASE unit WHEN 'week' THEN date_trunc('week', d) WHEN 'month' THEN date_trunc('month', d) END ELSE d END::DATE AS a,
-             CASE WHEN kind = 'range' THEN CASE unit WHEN 'week' THEN date_trunc('week', d) + INTERVAL 6 DAY WHEN 'month' THEN last_day(d) END ELSE d END::DATE AS b
-      FROM (SELECT *, CASE WHEN contains(lower({sql_collapse('query')}), lower(trim(anchor))) THEN CASE trim(anchor) WHEN 'yesterday' THEN t - 1 WHEN 'last week' THEN t - 7
-              WHEN 'last month' THEN (t - INTERVAL 1 MONTH)::DATE WHEN 'today' THEN t WHEN '3 days ago' THEN t - 3 END END::DATE AS d FROM (SELECT *, DATE '{TODAY}' AS t FROM $rows)))""")
-COERCE = [("true", "boolean"), (" Yes ", "boolean"), ("0", "boolean"), ("maybe", "boolean"), ("133", "number"), ("13.50", "number"), (" 7 ", "number"), ("x1", "number"), ("2024-05-06T07:08", "date"), ("2024-13-01", "date"), ("  ok ", "string"), ("   ", "string"), (None, "string")]
-
-
-def coerced(df):
+# Phrases, descriptions of spans and values said of each order.
+KEY, N = lambda: C("o_custkey") % 8, lambda: C("o_orderkey") % 400
+SAID_WORDS = ("Today", "day before  yesterday", "last week", "this month", "sometime")
+
+
+def chosen(key, *options):
+    """The option with the number that key has."""
+    return F.element_at(F.array(*(o.cast("string") for o in options)), (key + 1).cast("int"))
+
+
+on("resolve_phrases", "orders", "o_orderkey", f"""CASE o_custkey % 8 WHEN 0 THEN DATE '{TODAY}' - (o_orderkey % 400)::INTEGER WHEN 1 THEN DATE '{TODAY}' - 7 * (o_orderkey % 400)::INTEGER WHEN 2 THEN (DATE '{TODAY}' - to_months((o_orderkey % 400)::INTEGER))::DATE
+   WHEN 3 THEN (SELECT CASE WHEN c > DATE '{TODAY}' THEN make_date(2023, m, least(d, day(last_day(make_date(2023, m, 1))))) ELSE c END FROM (SELECT month(o_orderdate) AS m, day(o_orderdate) AS d, make_date(2024, m, d) AS c))
+   WHEN 4 THEN o_orderdate::DATE WHEN 5 THEN o_orderdate::DATE
+   WHEN 7 THEN [DATE '{TODAY}', DATE '{TODAY}' - 2, DATE '{TODAY}' - 7, DATE '{TODAY}', NULL][o_orderkey % 5 + 1] END AS day""",
+   lambda: dict(day=D.resolve_phrase(chosen(KEY(), F.concat(N().cast("string"), F.lit(" days ago")), F.concat(N().cast("string"), F.lit("  Week ago")), F.concat(N().cast("string"), F.lit(" months ago")), F.date_format("o_orderdate", "MMMM d"),
+       F.date_format("o_orderdate", "MMMM d, yyyy"), F.date_format("o_orderdate", " yyyy-MM-dd"), C("o_orderpriority"), chosen(C("o_orderkey") % 5, *map(F.lit, SAID_WORDS))), F.lit(TODAY).cast("date"))))
+
+
+def spans():
+    """Bounds of `N days ago` as a day or as the week or month around it; no anchor in the query, no bounds."""
+    anchor, kind = F.concat(N().cast("string"), F.lit(" days ago")), chosen(C("o_custkey") % 3, F.lit("single"), F.lit(" Range"), F.lit(""))
+    query = F.when(C("o_custkey") % 5 == 4, F.lit("no date here")).otherwise(F.concat(F.lit("What did I do "), N().cast("string"), F.lit("  Days ago?")))
+    found = D.temporal_bounds(kind, chosen(C("o_orderkey") % 4, *map(F.lit, ("week", "month", "year", ""))), anchor, query, F.lit(TODAY).cast("date"))
+    return dict(low=found["low"], high=found["high"])
+
+
+SQL_SPAN = f"""(SELECT {{}} FROM (SELECT CASE WHEN o_custkey % 3 = 1 THEN CASE o_orderkey % 4 WHEN 0 THEN date_trunc('week', d) WHEN 1 THEN date_trunc('month', d) END ELSE d END::DATE AS a,
+   CASE WHEN o_custkey % 3 = 1 THEN CASE o_orderkey % 4 WHEN 0 THEN date_trunc('week', d) + INTERVAL 6 DAY WHEN 1 THEN last_day(d) END ELSE d END::DATE AS b
+   FROM (SELECT CASE WHEN o_custkey % 5 <> 4 THEN DATE '{TODAY}' - (o_orderkey % 400)::INTEGER END AS d)))"""
+on("temporal_bounds", "orders", "o_orderkey", SQL_SPAN.format("strftime(a::TIMESTAMP, '%Y-%m-%dT%H:%M:%S+00:00')") + " AS low, " + SQL_SPAN.format("strftime(b::TIMESTAMP, '%Y-%m-%dT') || '23:59:59.999999+00:00'") + " AS high", spans)
+
+
+def coerced():
     """bool, number, day and text of a value by the field's type; all null where it does not fit."""
-    v = F.lower(X.strip(C("value")))
+    price, key = F.concat(F.lit(" "), C("o_custkey").cast("string"), F.lit(".5 ")), KEY()
+    value = chosen(key, C("o_custkey"), price, C("o_orderstatus"), F.when(C("o_orderstatus") == "O", " True").otherwise("NO"), F.date_format("o_orderdate", "yyyy-MM-dd'T07:08'"), C("o_orderpriority"), F.concat(F.lit("  "), C("o_orderpriority"), F.lit(" ")), F.nullif(F.lit("   "), C("o_orderstatus")))
+    kind = chosen(key, *map(F.lit, ("number", "number", "boolean", "boolean", "date", "number", "string", "string")))
+    v = F.lower(X.strip(value))
     b = F.when(v.isin("true", "yes", "1"), True).when(v.isin("false", "no", "0"), False)
-    return df.select(
-        "value", "type", F.when(C("type") == "boolean", b).alias("flag"), F.when(C("type") == "number", F.expr("try_cast(trim(value) AS DOUBLE)")).alias("num"),
-        F.when(C("type") == "date", D.iso_date(C("value"))).alias("day"), F.when(C("type") == "string", F.nullif(X.strip(C("value")), F.lit(""))).alias("text"),
+    return dict(
+        type=kind, flag=F.when(kind == "boolean", b), num=F.when(kind == "number", F.trim(value).try_cast("double")),
+        day=F.when(kind == "date", D.iso_date(value)), text=F.when(kind == "string", F.nullif(X.strip(value), F.lit(""))),
     )
 
 
-literal("coerce_values", "value string, type string", COERCE, coerced, """SELECT value, type,
-   CASE WHEN type = 'boolean' THEN CASE WHEN lower(trim(value)) IN ('true', 'yes', '1') THEN true WHEN lower(trim(value)) IN ('false', 'no', '0') THEN false END END AS flag,
-   CASE WHEN type = 'number' THEN try_cast(trim(value) AS DOUBLE) END AS num, CASE WHEN type = 'date' THEN try_cast(left(value, 10) AS DATE) END AS day,
-   CASE WHEN type = 'string' THEN nullif(trim(value), '') END AS text FROM $rows""")
+on("coerce_values", "orders", "o_orderkey", """['number', 'number', 'boolean', 'boolean', 'date', 'number', 'string', 'string'][o_custkey % 8 + 1] AS type, CASE WHEN o_custkey % 8 = 3 THEN o_orderstatus = 'O' END AS flag,
+   CASE o_custkey % 8 WHEN 0 THEN o_custkey::DOUBLE WHEN 1 THEN o_custkey + 0.5 END::DOUBLE AS num, CASE WHEN o_custkey % 8 = 4 THEN o_orderdate::DATE END AS day, CASE WHEN o_custkey % 8 = 6 THEN o_orderpriority END AS text""", coerced)
