@@ -39,7 +39,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, most_bytes: int = 64
     rows = vectors.select("chunk_id", "embedding", passed.alias("passed")).filter("embedding IS NOT NULL")
     for turn in _turns(queries, most_bytes):
         sent = spark.sparkContext.broadcast(turn)
-        part = rows.mapInArrow(_best(sent, k), kind)
+        part = rows.mapInArrow(best_of(sent, k, _blocks), kind)
         found = part if found is None else found.unionAll(part)
     if found is None:
         return spark.createDataFrame([], f"{kind}, rank int")
@@ -73,36 +73,47 @@ def _first(rows: pa.Table, k: int) -> pa.Table:
     return rows.filter(pa.array(nth < k)).drop_columns(["by"])
 
 
-def _best(sent, k: int):  # noqa: ANN001, ANN202
-    """The best k rows of each query in a task. Rows below the k-th score that a query has so far are not looked at."""
+def _blocks(sent: tuple, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of queries, all rows, and which rows each query may have."""
+    sets, lists, every = sent[1], batch.column(2), np.arange(batch.num_rows)
+    passed, of_row = lists.flatten().to_numpy(), np.repeat(every, np.diff(lists.offsets.to_numpy()))
+    for a in range(0, len(sets), BLOCK):
+        asked, which = np.unique(sets[a : a + BLOCK], return_inverse=True)
+        allowed = np.repeat((asked < 0)[:, None], batch.num_rows, axis=1)
+        place = np.minimum(np.searchsorted(asked, passed), len(asked) - 1)
+        allowed[place[asked[place] == passed], of_row[asked[place] == passed]] = True
+        yield np.arange(a, a + len(which)), every, allowed[which]
+
+
+def best_of(sent, k: int, parts):  # noqa: ANN001, ANN201
+    """The best k rows of each query in a task. sent: a broadcast tuple of query ids, what parts needs, and unit vectors;
+    parts yields queries, rows and a mask (None: all) to compare. Rows below the k-th score that a query has so far are not
+    looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ids, all_sets, all_unit = sent.value
-        held, least = None, np.full(len(all_ids), -np.inf)
+        ids, _, unit = sent.value
+        held, least = None, np.full(len(ids), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = _unit(_rows(batch.column(1))).T
-            lists = batch.column(2)
-            passed, of_row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            met = [] if held is None else [held]
-            for a in range(0, len(all_ids), BLOCK):
-                asked, which = np.unique(all_sets[a : a + BLOCK], return_inverse=True)
-                allowed = np.repeat((asked < 0)[:, None], batch.num_rows, axis=1)
-                place = np.minimum(np.searchsorted(asked, passed), len(asked) - 1)
-                allowed[place[asked[place] == passed], of_row[asked[place] == passed]] = True
-                score = np.where(allowed[which], all_unit[a : a + BLOCK] @ own, -np.inf)
+            own, met = _unit(_rows(batch.column(1))), [] if held is None else [held]
+            for asked, rows, allowed in parts(sent.value, batch):
+                score = unit[asked] @ own[rows].T
+                if allowed is not None:
+                    score = np.where(allowed, score, -np.inf)
                 n = min(k, score.shape[1])
-                kept = np.maximum(np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n == k else -np.inf, least[a : a + BLOCK])
+                kept = np.maximum(np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n == k else -np.inf, least[asked])
                 q, at = np.nonzero((score >= kept[:, None] - 1e-9) & np.isfinite(score))
-                met.append(pa.table([pa.array(q + a), batch.column(0).take(pa.array(at)), pa.array(score[q, at])], ["q", "chunk_id", "score"]))
+                met.append(pa.table([pa.array(asked[q]), batch.column(0).take(pa.array(rows[at])), pa.array(score[q, at])], ["q", "chunk_id", "score"]))
+            if not met:
+                continue
             held = _first(pa.concat_tables(met), k).combine_chunks()
             q, counts = np.unique(held.column("q").to_numpy(), return_counts=True)
             ends = np.cumsum(counts) - 1
             least[q[counts == k]] = held.column("score").to_numpy()[ends[counts == k]]
         if held is not None and held.num_rows:
-            ids = pa.array(all_ids).take(held.column("q").combine_chunks())
-            yield from pa.table([ids, held.column("chunk_id"), held.column("score")], ["query_id", "chunk_id", "score"]).to_batches(max_chunksize=10_000)
+            own_ids = pa.array(ids).take(held.column("q").combine_chunks())
+            yield from pa.table([own_ids, held.column("chunk_id"), held.column("score")], ["query_id", "chunk_id", "score"]).to_batches(max_chunksize=10_000)
 
     return run
 

@@ -4,6 +4,7 @@ Each takes an engine's parts and a table of cases (case_id, query, category, exp
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -20,25 +21,21 @@ def timed(engine: Engine, mode: str, cases: DataFrame) -> tuple[DataFrame, DataF
     queries."""
     spark, took, n = cases.sparkSession, [], max(1, cases.count())
 
-    def stage(name: str, df: DataFrame) -> DataFrame:
+    def stage(name: str, run: Callable):  # noqa: ANN202
+        """What run gives, planned and done within the stage's time."""
         began = time.perf_counter()
-        out = written(df, f"timed-{name}")
+        out = run()
+        out = written(out, f"timed-{name}") if isinstance(out, DataFrame) else out
         took.append((mode, name, 1000 * (time.perf_counter() - began) / n))
         return out
 
     began = time.perf_counter()
-    requests = stage("analysis", engine.analyzer(cases.select(F.col("case_id").alias("query_id"), F.col("query").alias("text"))))
-    begun = time.perf_counter()
-    sets, asked = filter_rows.filter_sets(requests)
-    took.append((mode, "filters", 1000 * (time.perf_counter() - begun) / n))
-    lists = {}
-    for name in [s for s in ("vector", "bm25") if engine.settings.mode in (s, "hybrid")]:
-        begun = time.perf_counter()
-        lists[name] = written(replace(engine, settings=replace(engine.settings, mode=name)).lists(asked, sets)[name], f"timed-{name}")
-        took.append((mode, name, 1000 * (time.perf_counter() - begun) / n))
-    found = stage("fusion", engine.fused(lists))
-    kept = engine.ranked(found, asked).select("query_id", "fused_rank", "chunk_id", "document_id")
-    found = stage("rerank" if engine.settings.rerank else "sources", kept)
+    requests = stage("analysis", lambda: engine.analyzer(cases.select(F.col("case_id").alias("query_id"), F.col("query").alias("text"))))
+    sets, asked = stage("filters", lambda: filter_rows.filter_sets(requests))
+    alone = {name: replace(engine, settings=replace(engine.settings, mode=name)) for name in ("vector", "bm25") if engine.settings.mode in (name, "hybrid")}
+    lists = {name: stage(name, lambda: one.lists(asked, sets)[name]) for name, one in alone.items()}  # noqa: B023
+    found = stage("fusion", lambda: engine.fused(lists))
+    found = stage("rerank" if engine.settings.rerank else "sources", lambda: engine.ranked(found, asked).select("query_id", "fused_rank", "chunk_id", "document_id"))
     took.append((mode, "total", 1000 * (time.perf_counter() - began) / n))
     ranked = found.select(F.lit(mode).alias("mode"), F.col("query_id").alias("case_id"), F.col("fused_rank").alias("rank"), "chunk_id", "document_id")
     return ranked, spark.createDataFrame(took, "mode string, stage string, ms double")

@@ -274,6 +274,16 @@ def vector_topk_filtered(spark, d):
     return _dense(spark, d, 10, label=3).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {SQL_DENSE} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INTEGER AS rank, chunk_id, round(score, 6) AS score FROM dense QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 10")
+def vector_pruned(spark, d):
+    """vector_topk by clusters and bounds."""
+    from quarry.operators import clusters
+
+    index = clusters.build(table(spark, d, "embeddings").select(C("vec_id").alias("chunk_id"), "embedding"))
+    found, _ = clusters.search(index, _query_vectors(spark, d), 10)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT vec_id AS point_id, 0.0::DOUBLE AS score FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 5")
 def filter_only_search(spark, d):
     return vectors.filter_only(table(spark, d, "embeddings").filter("label = 3").select(C("vec_id").alias("point_id")), 5)

@@ -68,10 +68,11 @@ def delete(spark: SparkSession, path: str) -> None:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: computed once, its lineage cut."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: computed once, its lineage cut. by: columns whose values
+    get folders of their own."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
